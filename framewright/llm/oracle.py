@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import TEMPLATES
+from .licenses import WORD as LICENSE_WORD
 from .quality import BOILERPLATE
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -41,6 +43,81 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
+OP2 = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LICENSE_WORD}') AS w
+  FROM documents
+), places AS (
+  SELECT doc_id, i - 1 AS start,
+         CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache'
+              WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END AS label
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), base AS (
+  SELECT doc_id, count(*) AS n, min(start) AS lo, max(start) AS hi, list(DISTINCT label) AS labels
+  FROM places WHERE label IS NOT NULL GROUP BY doc_id
+), templates(label, words) AS (
+  VALUES {", ".join(f"('{label}', list_distinct(string_split('{words}', ' ')))" for label, words in TEMPLATES)}
+), lines AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LICENSE_WORD}')) AS w
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents)
+), pairs AS (
+  SELECT doc_id, label, len(list_intersect(w, words)) AS shared, len(words) AS size FROM lines, templates
+), matched AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(shared / size) AS score FROM pairs
+  WHERE shared >= ceil(0.8 * size - 1e-9) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+       array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+       CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(m.score, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base b USING (doc_id) LEFT JOIN matched m USING (doc_id)
+"""
+
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS lo FROM windows) WHERE lo < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM repeated
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP9 = rf"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LICENSE_WORD}') AS w
+  FROM benchmark WHERE item_id IS NOT NULL
+), strings AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LICENSE_WORD}') AS w
+  FROM documents
+), found AS (
+  SELECT doc_id, item_id, i, s.m
+  FROM (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS g
+        FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM strings))) o
+  JOIN strings s ON o.g = s.g AND o.m = s.m
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM found) GROUP BY doc_id
+), ids AS (
+  SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(ids.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op2_license_scans": OP2,
+    "op4_substring_dedup": OP4,
     "op7_quality_rules": OP7,
+    "op9_benchmark_decontamination": OP9,
 }

@@ -2,21 +2,74 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import decontaminate, licenses, lm, pieces, private_data, quality, repeats, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality; background: all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm.cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return urls.url_filter(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).select("doc_id", *quality.RESULTS[:7])
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs, model).select("doc_id", "ids"), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.benchmark_hits(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.replace_private_data(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
+#: Stands in for a secret that a deployment would pass; fixed here so that results are repeatable.
+SURROGATE_KEY = "surrogate-key-1"
+
 QUERIES = {
+    "op2_license_scans": op2_license_scans,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_url_filters": op5_url_filters,
     "op7_quality_rules": op7_quality_rules,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_private_data": op10_private_data,
 }
