@@ -28,7 +28,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
+
+from .store import schema_with
 
 MARK = "▁"
 REMEMBERED = 400_000
@@ -202,7 +204,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
                 columns = part.columns[:-1] + [pa.array(lists, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, [*others, ids])
 
-    return frame.mapInArrow(run, frame.drop("_plain").schema.add(ids, ArrayType(IntegerType())))
+    return frame.mapInArrow(run, schema_with(frame.drop("_plain"), ids, ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -219,7 +221,7 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids", text: str = "d
                 texts = [encoder.decode(x or []) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*others, text])
 
-    return frame.mapInArrow(run, frame.schema.add(text, "string"))
+    return frame.mapInArrow(run, schema_with(frame, text, StringType()))
 
 
 _encoders: dict[int, Encoder] = {}

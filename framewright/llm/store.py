@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 _own: list[str] = []
@@ -27,3 +28,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def schema_with(df: DataFrame, name: str, kind: DataType) -> StructType:
+    """The schema of ``df`` and one more column."""
+    return StructType([*df.schema.fields, StructField(name, kind)])

@@ -19,7 +19,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
+
+from .store import schema_with
 
 #: (verdict, host, start of the path)
 RULES = [
@@ -110,7 +112,7 @@ def _with_words(pages: DataFrame, segmenter) -> DataFrame:
             lists = [split(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.string()))], [*batch.schema.names, "words"])
 
-    return pages.mapInArrow(run, pages.schema.add("words", ArrayType(StringType())))
+    return pages.mapInArrow(run, schema_with(pages, "words", ArrayType(StringType())))
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dictionary: int = DICTIONARY) -> DataFrame:
@@ -142,6 +144,6 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dict
             scores = [start + sum(odds.get(w, 0.0) for w in words) for words in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "block_score"])
 
-    scored = judged.mapInArrow(score, judged.schema.add("block_score", "double"))
+    scored = judged.mapInArrow(score, schema_with(judged, "block_score", DoubleType()))
     verdict = F.coalesce("judged", F.when(F.col("block_score") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "words", "block_score")
