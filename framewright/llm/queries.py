@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, pieces, private_data, quality, repeats, urls
+from . import decontaminate, licenses, lm, near_copies, pieces, private_data, quality, repeats, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copy_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,6 +68,7 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 SURROGATE_KEY = "surrogate-key-1"
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_license_scans": op2_license_scans,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_substring_dedup": op4_substring_dedup,
