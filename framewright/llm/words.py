@@ -71,6 +71,14 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
     hashes: np.ndarray
+    sums: np.ndarray
+
+    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, text) of the first ``k`` bytes of each word of more than ``k`` bytes."""
+        long = np.flatnonzero(self.ends - self.starts > k)
+        at = self.starts[long]
+        _, inverse = _power_tables(len(self.sums))
+        return mix((self.sums[at + k] - self.sums[at]) * inverse[at] + np.uint64(k << 32)), self.text_of_word()[long]
 
     @property
     def counts(self) -> np.ndarray:
@@ -97,7 +105,7 @@ def split(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_CODES[data] * power[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), hashes)
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), hashes, sums)
 
 
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
