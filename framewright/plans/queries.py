@@ -228,9 +228,9 @@ _KERNEL = [(dy, dx, (2 - abs(dy)) * (2 - abs(dx)) / 16) for dy in (-1, 0, 1) for
 @query(f"""
 WITH {views.RASTER}, k AS (SELECT c.frame, c.y, c.x, n.v, (2 - abs(c.y - n.y)) * (2 - abs(c.x - n.x)) / 16 AS w
 FROM raster c JOIN raster n ON n.frame = c.frame AND n.y BETWEEN c.y - 1 AND c.y + 1 AND n.x BETWEEN c.x - 1 AND c.x + 1)
-SELECT frame, y, x, round(sum(v * w) / sum(w), 6) AS v FROM k GROUP BY ALL""")
+SELECT frame, y, x, round(sum(v * w) / sum(w), 12) AS v FROM k GROUP BY ALL""")
 def smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stack.rounded(raster.convolve(views.raster(spark, sf_dir), _KERNEL), "v")
+    return stack.rounded(raster.convolve(views.raster(spark, sf_dir), _KERNEL), "v", places=12)
 
 
 _MIRROR = "CASE WHEN (p % 62 + 62) % 62 >= 32 THEN 62 - (p % 62 + 62) % 62 ELSE (p % 62 + 62) % 62 END"
