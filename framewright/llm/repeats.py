@@ -9,12 +9,13 @@ also starts in a document with a smaller doc_id. Three steps:
 2. Confirmation. The windows of the anchors left are shuffled; those of two documents or more are recurring passages, each
    with the smallest document that has it.
 3. Location. Every document is streamed through an automaton: documents go through in shards of about ``SHARD_WORDS``
-   words, for each of which the confirmed passages that can occur in it are compiled (word by word, a word being one
-   symbol), and every occurrence is found with the smallest document of its passage.
+   words, for each of which the confirmed passages that can occur in it are compiled, each by its anchor phrase (word by
+   word, a word being one symbol). Every occurrence of a phrase is found, and the windows around it that are confirmed
+   passages of a smaller document are removed.
 
 One key may be in a third of all documents: each task first gathers an anchor's or a window's documents of about
 ``CHUNK_WORDS`` words into one row, so a key has at most a row for each such chunk, of bounded size. Windows are known by
-64-bit hashes in steps 1 and 2, and by their words in step 3.
+64-bit hashes, phrases in the automaton by their words.
 
 Edge cases: null and empty texts have no words and stay empty; texts shorter than a window lose nothing; documents without
 doc_id count as greater than all others; rows with the same doc_id do not take words from each other and are each returned;
@@ -29,12 +30,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stored
-from .words import NON_SPACE, Words, mix, slices, split
+from .texts import packed, unpacked
+from .words import NON_SPACE, Words, covered, mix, slices, split
 
 CHUNK_WORDS = 1 << 20
 SHARD_WORDS = 300_000
@@ -64,16 +64,24 @@ def _windows(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.nda
     return at, text[at], least
 
 
-def _gathered(keys: np.ndarray, docs: np.ndarray, name: str) -> pa.RecordBatch:
-    """A row for each key with its distinct documents."""
+def _gathered(keys: np.ndarray, docs: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+    """A row for each key: its only document, or the least one and an array of all. Rows of one document stand together."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    keys, docs = keys[new], docs[new]
-    keys, first = np.unique(keys, return_index=True)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(docs)).astype(np.int32)), pa.array(docs))
-    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), lists], [name, "docs"])
+    keys, docs = keys[new].astype(np.int64), docs[new]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(first, len(keys)))
+    one = first[sizes == 1]
+    one = one[np.argsort(docs[one], kind="stable")]
+    none = pa.nulls(len(one), pa.list_(pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array(keys[one]), pa.array(docs[one]), none], [name, "doc", "docs"])
+    more = np.repeat(sizes > 1, sizes)
+    ends = np.concatenate([[0], np.cumsum(sizes[sizes > 1])]).astype(np.int32)
+    many = first[sizes > 1]
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(docs[more]))
+    yield pa.RecordBatch.from_arrays([pa.array(keys[many]), pa.array(docs[many]), lists], [name, "doc", "docs"])
 
 
 def _ids(batch: pa.RecordBatch, row: int, n: int) -> np.ndarray:
@@ -95,42 +103,25 @@ class _Chunks:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.keys and sum(map(len, self.keys)):
-            yield _gathered(np.concatenate(self.keys), np.concatenate(self.docs), self.name)
+            yield from _gathered(np.concatenate(self.keys), np.concatenate(self.docs), self.name)
         self.keys, self.docs, self.words = [], [], 0
 
 
 def _shared_keys(rows: DataFrame, key: str) -> DataFrame:
     """(doc_id, key, lo) of the keys that two documents or more have; ``lo``: the smallest of them."""
     of_key = Window.partitionBy(key)
-    both = rows.select(
-        key,
-        "docs",
-        F.min(F.element_at("docs", 1)).over(of_key).alias("lo"),
-        F.max(F.element_at("docs", -1)).over(of_key).alias("hi"),
-    )
-    return both.filter("lo < hi").select(F.explode("docs").alias("doc_id"), key, "lo")
+    last = F.coalesce(F.element_at("docs", -1), "doc")
+    both = rows.select(key, "doc", "docs", F.min("doc").over(of_key).alias("lo"), F.max(last).over(of_key).alias("hi"))
+    return both.filter("lo < hi").select(F.explode(F.coalesce("docs", F.array("doc"))).alias("doc_id"), key, "lo")
 
 
-def _packed(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id and the text compressed for the shuffle."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for row in range(0, len(batch), 256):
-                part = batch.slice(row, 256)
-                texts = [packer.compress(x) for x in part.column("text").cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "packed"])
-
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return plain.mapInArrow(pack, "doc_id long, packed binary")
+def _with_ids(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def _unpacked(batch: pa.RecordBatch, rows: int = 64) -> Iterator[tuple[int, int, pa.Array]]:
-    unpack = zstandard.ZstdDecompressor()
+def _unpacked(batch: pa.RecordBatch, rows: int = 64) -> Iterator[tuple[int, pa.Array]]:
     for row in range(0, len(batch), rows):
-        texts = [unpack.decompress(x) for x in batch.column("packed").slice(row, rows).to_pylist()]
-        yield row, len(texts), pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        yield row, unpacked(batch.column("packed").slice(row, rows).to_pylist())
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +133,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def recurring_windows(docs: DataFrame, window: int = 13, anchor: int = 7, text: str = "text") -> DataFrame:
     """(doc_id, win, lo): windows of a document, by hash, that the smaller document ``lo`` has too."""
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    plain = _with_ids(docs, text)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _Chunks("anchor")
@@ -155,15 +146,15 @@ def recurring_windows(docs: DataFrame, window: int = 13, anchor: int = 7, text:
                 yield from chunks.add(least[new], _ids(batch, row, len(offsets) - 1)[of[new]], len(words.hashes))
         yield from chunks.flush()
 
-    found = _shared_keys(plain.mapInArrow(anchors, "anchor long, docs array<long>"), "anchor")
-    found = found.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    found = _shared_keys(plain.mapInArrow(anchors, "anchor long, doc long, docs array<long>"), "anchor")
+    found = found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _Chunks("win")
         for batch in batches:
             values, ends = _lists(batch.column("anchors"))
             values = values.to_numpy(zero_copy_only=False).astype(np.uint64)
-            for start, n, texts in _unpacked(batch):
+            for start, texts in _unpacked(batch):
                 for row, data, offsets in slices(texts):
                     words = split(data, offsets, NON_SPACE, lower=False)
                     at, of, least = _windows(words, window, anchor)
@@ -176,48 +167,51 @@ def recurring_windows(docs: DataFrame, window: int = 13, anchor: int = 7, text:
                     yield from chunks.add(hashes, _ids(batch, start + row, len(offsets) - 1)[of[keep]], len(words.hashes))
         yield from chunks.flush()
 
-    joined = _packed(docs, text).join(found, "doc_id")
-    return _shared_keys(joined.mapInArrow(candidates, "win long, docs array<long>"), "win").filter("lo < doc_id")
+    joined = packed(plain).join(found, "doc_id")
+    return _shared_keys(joined.mapInArrow(candidates, "win long, doc long, docs array<long>"), "win").filter("lo < doc_id")
 
 
 def _symbols(codes: np.ndarray) -> str:
-    """One character for each number below a million; surrogates are left out."""
+    """One character for each number up to a million; surrogates are left out."""
     return (codes + np.where(codes < 0xD800, 0, 0x800)).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _removed(words: Words, ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], window: int) -> np.ndarray:
+def _removed(words: Words, ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], window: int, anchor: int) -> np.ndarray:
     """Whether each word goes. ``found``: for each text the recurring windows' hashes and smallest documents."""
-    gone = np.zeros(len(words.hashes) + 1, np.int32)
+    none = np.zeros(len(words.hashes), bool)
     if not any(len(x) for x, _ in found):
-        return gone[:-1] > 0
-    text = words.text_of_word()
-    at = np.flatnonzero(np.arange(window, len(text) + window) <= words.first[text + 1])
+        return none
+    at, text, least = _windows(words, window, anchor)
     hashes = _runs(words.hashes, window)[at].astype(np.int64)
     wins, first = np.unique(np.concatenate([x for x, _ in found]), return_index=True)
     lows = np.concatenate([x for _, x in found])[first]
     place = np.minimum(np.searchsorted(wins, hashes), len(wins) - 1)
-    known = wins[place] == hashes
-    numbers = np.unique(words.hashes, return_inverse=True)[1] + 1
-    line = _symbols(numbers)
-    passages = ahocorasick.Automaton()
-    for i, low in zip(at[known].tolist(), lows[place[known]].tolist(), strict=True):
-        passages.add_word(line[i : i + window], low)
-    if not len(passages):
-        return gone[:-1] > 0
-    passages.make_automaton()
-    hits = list(passages.iter(line))
-    ends = np.fromiter((x for x, _ in hits), np.int64, len(hits))
-    low = np.fromiter((x for _, x in hits), np.int64, len(hits))
-    start = ends - window + 1
-    take = (text[start] == text[ends]) & (low < ids[text[ends]])
-    np.add.at(gone, start[take], 1)
-    np.add.at(gone, ends[take] + 1, -1)
-    return np.cumsum(gone[:-1]) > 0
+    known = np.flatnonzero(wins[place] == hashes)
+    # the phrases that stand for the passages: one for each anchor
+    _, one = np.unique(least[known], return_index=True)
+    one = known[one]
+    runs = _runs(words.hashes, anchor)
+    offset = np.argmax(np.stack([runs[at[one] + j] == least[one] for j in range(window - anchor + 1)]), axis=0)
+    line = _symbols(np.unique(words.hashes, return_inverse=True)[1] % 1_000_000 + 1)
+    phrases = ahocorasick.Automaton()
+    for i in (at[one] + offset).tolist():
+        phrases.add_word(line[i : i + anchor], 0)
+    if not len(phrases):
+        return none
+    phrases.make_automaton()
+    begins = np.fromiter((end for end, _ in phrases.iter(line)), np.int64) - anchor + 1
+    # windows that hold an occurrence, and are passages of a smaller document
+    near = none.copy()
+    for j in range(window - anchor + 1):
+        near[np.maximum(begins - j, 0)] = True
+    take = known[near[at[known]]]
+    take = take[lows[place[take]] < ids[text[take]]]
+    return covered(at[take], window, len(none))
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 7, text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text (the words left, joined by one space)."""
-    recurring = stored(recurring_windows(docs, window, anchor, text))
+    recurring = recurring_windows(docs, window, anchor, text)
     lists = recurring.groupBy("doc_id").agg(F.collect_list(F.struct("win", "lo")).alias("found"))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +219,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 7, text: str
             values, ends = _lists(batch.column("found"))
             win = values.field("win").to_numpy(zero_copy_only=False)
             low = values.field("lo").to_numpy(zero_copy_only=False)
-            for start, n, texts in _unpacked(batch, 1024):
+            for start, texts in _unpacked(batch, 1024):
                 for row, data, offsets in slices(texts, SHARD_WORDS * 6):
                     words = split(data, offsets, NON_SPACE, lower=False)
                     rows = range(start + row, start + row + len(offsets) - 1)
-                    gone = _removed(words, _ids(batch, rows[0], len(rows)), [(win[ends[i] : ends[i + 1]], low[ends[i] : ends[i + 1]]) for i in rows], window)
+                    gone = _removed(words, _ids(batch, rows[0], len(rows)), [(win[ends[i] : ends[i + 1]], low[ends[i] : ends[i + 1]]) for i in rows], window, anchor)
                     removed = np.concatenate([[0], np.cumsum(gone)])
                     removed = removed[words.first[1:]] - removed[words.first[:-1]]
                     yield pa.RecordBatch.from_arrays(
@@ -242,7 +236,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 7, text: str
                         ["doc_id", "n_words", "n_removed", "kept_text"],
                     )
 
-    located = _packed(docs, text).join(lists, "doc_id", "left").mapInArrow(locate, "doc_id long, n_words long, n_removed long, kept_text string")
+    located = packed(_with_ids(docs, text)).join(lists, "doc_id", "left").mapInArrow(locate, "doc_id long, n_words long, n_removed long, kept_text string")
     return located.withColumn("doc_id", F.when(F.col("doc_id") < _LAST, F.col("doc_id")))
 
 
