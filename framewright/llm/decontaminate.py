@@ -30,6 +30,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from .words import ALNUM, covered, slices, split
 
+RESULTS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 SHARD_WINDOWS = 500_000
 LANE = 512
 
@@ -170,7 +171,7 @@ def benchmark_hits(
 ) -> DataFrame:
     """Per document: doc_id, the columns of ``keep``, n_words, n_hit, n_items, items_sha256, contaminated."""
     shards = _tables(docs.sparkSession, items, window, shard_windows)
-    kept = [c for c in dict.fromkeys(keep) if c not in ("doc_id", "text")]
+    kept = [c for c in dict.fromkeys(keep) if c not in ("doc_id", "text", "_text", *RESULTS)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +189,7 @@ def benchmark_hits(
                     "items_sha256": pa.array(digests, pa.string()),
                     "contaminated": pa.array(n_hit > 0),
                 }
-                names = [c for c in batch.schema.names if c != "_text" or c in kept]
+                names = [c for c in batch.schema.names if c != "_text"]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(row, n) for c in names] + list(found.values()), names + list(found)
                 )

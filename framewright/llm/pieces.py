@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .store import schema_with
+from .store import free_name, schema_with
 
 MARK = "▁"
 REMEMBERED = 400_000
@@ -192,7 +192,8 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
     """``docs`` with the column ``ids``: array of the model's ids of the whole text, with the end id if ``end``."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model_file))
     others = [c for c in docs.columns if c != ids]
-    frame = docs.select(*others, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_plain"))
+    plain = free_name(docs, "plain")
+    frame = docs.select(*others, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(plain))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared)
@@ -200,11 +201,11 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
         for batch in batches:
             for row in range(0, len(batch), ROWS):
                 part = batch.slice(row, ROWS)
-                lists = [encoder.encode(x) + last for x in part.column("_plain").to_pylist()]
+                lists = [encoder.encode(x) + last for x in part.columns[-1].to_pylist()]
                 columns = part.columns[:-1] + [pa.array(lists, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, [*others, ids])
 
-    return frame.mapInArrow(run, schema_with(frame.drop("_plain"), ids, ArrayType(IntegerType())))
+    return frame.mapInArrow(run, schema_with(frame.drop(plain), ids, ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

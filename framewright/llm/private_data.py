@@ -158,14 +158,15 @@ def _redrawn(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def replace_private_data(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with private data in the column ``text`` replaced, ``n_entities`` and ``kinds`` (distinct, sorted)."""
-    others = [c for c in docs.columns if c not in RESULTS]
+    names = {f"k{i}": c for i, c in enumerate(docs.columns) if c not in RESULTS and c != text}
     redrawn = _redrawn(docs, text, key)
-    df = docs.select(*others).withColumn("_found", F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
+    plain = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in names.items()), F.col(text).cast("string").alias("_text"))
+    df = plain.withColumn("_found", F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
     if redrawn is None:
         df = df.withColumn("_redrawn", F.lit(None).cast("map<string,string>"))
     else:
-        row = F.xxhash64(F.col(text))
-        holders = docs.select(row.alias("_row"), F.explode(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).alias("entity"))
+        row = F.xxhash64("_text")
+        holders = plain.select(row.alias("_row"), F.explode(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0))).alias("entity"))
         maps = holders.distinct().join(redrawn, "entity").groupBy("_row")
         maps = maps.agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_redrawn"))
         df = df.withColumn("_row", row).join(maps, "_row", "left").drop("_row")
@@ -174,12 +175,17 @@ def replace_private_data(docs: DataFrame, key: str, text: str = "text") -> DataF
         kind = kind_of(entity)
         return F.coalesce(F.col("_redrawn")[entity], surrogate(entity, kind, key, 0))
 
-    pieces = F.split(F.col(text), ANY, -1)
+    pieces = F.split(F.col("_text"), ANY, -1)
     whole = F.array_join(
         F.zip_with(pieces, F.col("_found"), lambda p, e: F.concat(p, F.when(e.isNull(), "").otherwise(replaced(e)))), ""
     )
     n = F.coalesce(F.size("_found"), F.lit(0))
-    columns = [F.when(n > 0, whole).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in others]
+    back = {c: k for k, c in names.items()}
+    columns = [
+        F.when(n > 0, whole).otherwise(F.col("_text")).alias(c) if c == text else F.col(back[c]).alias(c)
+        for c in docs.columns
+        if c not in RESULTS
+    ]
     return df.select(
         *columns,
         n.cast("long").alias("n_entities"),

@@ -28,7 +28,6 @@ BOILERPLATE = (
     "click here", "read more", "sign up", "log in", "subscribe to", "share this", "lorem ipsum",
 )
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
-_WORK = ["_text", "_words", "_lines", "_packed", "_pairs", "_clean"]
 
 
 def _line_fails(line: Column, boilerplate_words: int, unpunctuated_words: int) -> Column:
@@ -74,9 +73,10 @@ def quality_rules(
     unpunctuated_words: int = 40,
 ) -> DataFrame:
     """``docs`` with the rule measures, ``base_failed``, ``kept`` and ``clean_text`` (the lines that passed)."""
-    others = [c for c in docs.columns if c not in RESULTS + _WORK]
-    safe = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select(*others, safe.alias("_text"), F.regexp_extract_all(safe, F.lit(WORD), F.lit(0)).alias("_words"))
+    names = {f"k{i}": c for i, c in enumerate(docs.columns) if c not in RESULTS}
+    others = list(names)
+    safe = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    df = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in names.items()), safe.alias("_text"), F.regexp_extract_all(safe, F.lit(WORD), F.lit(0)).alias("_words"))
     n = F.size("_words")
     df = df.withColumns(
         {
@@ -104,7 +104,7 @@ def quality_rules(
     lost = F.col("word_chars") - F.length(F.regexp_replace("_clean", spaces, ""))
     df = df.withColumn("base_failed", (n_words < min_words) | (100 * repeat > 50 * n_words))
     return df.select(
-        *others,
+        *(F.col(k).alias(c) for k, c in names.items()),
         *RESULTS[:6],
         (~F.col("base_failed") & (lost <= max_removed * F.col("word_chars"))).alias("kept"),
         F.col("_clean").alias("clean_text"),

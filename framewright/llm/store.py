@@ -33,3 +33,10 @@ def stored(df: DataFrame) -> DataFrame:
 def schema_with(df: DataFrame, name: str, kind: DataType) -> StructType:
     """The schema of ``df`` and one more column."""
     return StructType([*df.schema.fields, StructField(name, kind)])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name in df.columns:
+        name += "_"
+    return name
