@@ -36,12 +36,16 @@ def to_boolean(value: Column) -> Column:
 def double_text(value: Column) -> Column:
     """Shortest text without an exponent; whole numbers without a point."""
     text = value.cast("string")
-    plain = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
+    sign, first, rest, power = (F.regexp_extract(text, r"^(-?)(\d)\.(\d+)E(-?\d+)$", k) for k in (1, 2, 3, 4))
+    rest, power = F.regexp_replace(rest, "0+$", ""), F.when(power == "", "0").otherwise(power).cast("int")
+    large = F.when(F.length(rest) <= power, F.concat(first, F.rpad(rest, power, "0")))
+    large = large.otherwise(F.concat(first, F.substring(rest, F.lit(1), power), F.lit("."), F.substring(rest, power + 1, F.length(rest))))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), first, rest)
     return (
         F.when(F.isnan(value), "NaN")
         .when(value == INF, "inf")
         .when(value == -INF, "-inf")
-        .when(text.contains("E"), plain)
+        .when(text.contains("E"), F.concat(sign, F.when(power > 0, large).otherwise(small)))
         .otherwise(F.regexp_replace(text, r"\.0$", ""))
     )
 
