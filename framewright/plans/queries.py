@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import robust, scalar
-from ..operators import catalog, raster, stack
+from ..operators import catalog, raster, regions, stack
 from ..sources import views
 from ..streaming import events
 
@@ -228,9 +228,10 @@ _KERNEL = [(dy, dx, (2 - abs(dy)) * (2 - abs(dx)) / 16) for dy in (-1, 0, 1) for
 @query(f"""
 WITH {views.RASTER}, k AS (SELECT c.frame, c.y, c.x, n.v, (2 - abs(c.y - n.y)) * (2 - abs(c.x - n.x)) / 16 AS w
 FROM raster c JOIN raster n ON n.frame = c.frame AND n.y BETWEEN c.y - 1 AND c.y + 1 AND n.x BETWEEN c.x - 1 AND c.x + 1)
-SELECT frame, y, x, round(sum(v * w) / sum(w), 12) AS v FROM k GROUP BY ALL""")
+SELECT frame, y, x, round(sum(v * w) / sum(w) + 1e-9, 6) AS v FROM k GROUP BY ALL""")
 def smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stack.rounded(raster.convolve(views.raster(spark, sf_dir), _KERNEL), "v", places=12)
+    found = raster.convolve(views.raster(spark, sf_dir), _KERNEL)
+    return stack.rounded(found.withColumn("v", F.col("v") + 1e-9), "v")  # off the ties of rounding
 
 
 _MIRROR = "CASE WHEN (p % 62 + 62) % 62 >= 32 THEN 62 - (p % 62 + 62) % 62 ELSE (p % 62 + 62) % 62 END"
@@ -380,3 +381,28 @@ def debounced_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events.debounced(views.table(spark, sf_dir, "events"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return found.select("user_id", micros("first_ts").alias("first_us"), micros("last_ts").alias("last_us"), "n")
+
+
+@query(f"""
+WITH RECURSIVE {views.RASTER}, mask AS (SELECT frame, y, x, v FROM raster WHERE v > 0.58), reach AS (
+  SELECT frame, y, x, y * 32 + x AS seed FROM mask UNION
+  SELECT m.frame, m.y, m.x, r.seed FROM reach r JOIN mask m ON m.frame = r.frame AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1), region AS (
+  SELECT frame, y, x, min(seed) AS seed FROM reach GROUP BY frame, y, x), p AS (
+  SELECT r.*, v, row_number() OVER (PARTITION BY r.frame, seed ORDER BY v DESC, r.y, r.x) AS k FROM region r JOIN mask USING (frame, y, x))
+SELECT frame, (seed // 32)::INT AS y0, (seed % 32)::INT AS x0, count(*) AS area, min(x) AS x_from, max(x) + 1 AS x_to, min(y) AS y_from, max(y) + 1 AS y_to,
+       round(max(v), 6) AS peak, max(y) FILTER (k = 1) AS peak_y, max(x) FILTER (k = 1) AS peak_x
+FROM p GROUP BY frame, seed""")
+def bright_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = views.raster(spark, sf_dir)
+    found = regions.region_stats(pixels, regions.label_regions(pixels.filter("v > 0.58")))
+    return stack.rounded(found, "peak")
+
+
+@query()
+def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stack.rounded(regions.denoise(views.raster(spark, sf_dir), views.SIDE, views.SIDE), "v")
+
+
+@query()
+def range_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stack.rounded(regions.compress_range(views.raster(spark, sf_dir), views.SIDE, views.SIDE, scales=3), "v")

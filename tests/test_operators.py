@@ -186,3 +186,27 @@ def test_stream_of_bursts(spark, tmp_path):
     run.awaitTermination(120)
     assert sorted(r["n"] for r in spark.table("bursts").collect()) == [1, 2]  # the last burst is still open
     assert sorted(r["n"] for r in events.debounced(source).collect()) == [1, 1, 2]
+
+
+def test_regions(spark):
+    lines = ["##..#", "..#..", "#...#", "##.##"]
+    a = [[1.0 if c == "#" else 0.0 for c in line] for line in lines]
+    pixels = frame(spark, a)
+    mask = pixels.filter("v > 0")
+    from framewright.operators import regions
+
+    found = regions.region_stats(pixels, regions.label_regions(mask)).collect()
+    assert sorted((r["y0"], r["x0"], r["area"], r["x_from"], r["x_to"], r["y_to"]) for r in found) == [(0, 0, 3, 0, 3, 2), (0, 4, 1, 4, 5, 1), (2, 0, 3, 0, 2, 4), (2, 4, 3, 3, 5, 4)]
+    straight = regions.region_stats(pixels, regions.label_regions(mask, diagonal=False)).collect()
+    assert len(straight) == 5
+
+
+def test_scales_add_up(spark):
+    from framewright.operators import regions
+
+    a = np.random.default_rng(2).random((6, 6))
+    details, rest = regions.planes(frame(spark, a), 2, 6, 6)
+    assert np.allclose(sum(grid(d, 6, 6, "w") for d in details) + grid(rest, 6, 6), a)
+    assert np.allclose(grid(regions.denoise(frame(spark, a), 6, 6, strength=0.0), 6, 6), a)
+    flat = grid(regions.compress_range(frame(spark, np.full((6, 6), 0.3)), 6, 6, scales=2), 6, 6)
+    assert np.allclose(flat, 0.3)
