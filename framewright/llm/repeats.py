@@ -1,10 +1,11 @@
 """Removal of passages that repeat across documents, located by sharded Aho-Corasick automata.
 
 A passage is a window of ``window`` consecutive words (not blank, unchanged). A word goes if it is covered by a window that
-also starts in a document with a smaller doc_id. Three steps:
+also starts in a document with a smaller doc_id. A document whose words are all
+those of a smaller one goes whole, and takes no part in what follows. Three steps for the others:
 
 1. Anchors. Each window has one anchor: of its runs of ``anchor`` words the one with the least hash. Equal windows have
-   equal anchors, and neighbouring windows mostly share one, so only about a quarter as many anchors as words are
+   equal anchors, and neighbouring windows mostly share one, so only about a fifth as many anchors as words are
    shuffled. Anchors that a single document has are dropped, and with them nearly all windows.
 2. Confirmation. The windows of the anchors left are shuffled; those of two documents or more are recurring passages, each
    with the smallest document that has it.
@@ -33,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
 from .texts import packed, unpacked
 from .words import NON_SPACE, Words, covered, mix, slices, split
 
@@ -131,8 +133,32 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
 
 
-def recurring_windows(docs: DataFrame, window: int = 13, anchor: int = 7, text: str = "text") -> DataFrame:
-    """(doc_id, win, lo): windows of a document, by hash, that the smaller document ``lo`` has too."""
+def _whole(words: Words) -> np.ndarray:
+    """A hash of each text's whole word sequence."""
+    total = np.zeros(len(words.hashes) + 1, np.uint64)
+    np.cumsum(mix(words.hashes + mix((np.arange(len(words.hashes)) - np.repeat(words.first[:-1], words.counts)).astype(np.uint64))), out=total[1:])
+    return mix(total[words.first[1:]] - total[words.first[:-1]] + words.counts.astype(np.uint64)).astype(np.int64)
+
+
+def whole_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, wholes, only): hashes of a document's texts that a smaller document has too; only: it has no others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in slices(batch.column("text")):
+                words = split(data, offsets, NON_SPACE, lower=False)
+                columns = [batch.column("doc_id").slice(row, len(offsets) - 1), pa.array(_whole(words)), pa.array(words.counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "n"])
+
+    rows = _with_ids(docs, text).mapInArrow(run, "doc_id long, whole long, n long")
+    first = rows.groupBy("whole", "n").agg(F.min("doc_id").alias("lo"))
+    rows = rows.join(first, ["whole", "n"])
+    copies = rows.groupBy("doc_id").agg(F.collect_set(F.when(F.col("lo") < F.col("doc_id"), F.col("whole"))).alias("wholes"), F.min(F.col("lo") < F.col("doc_id")).alias("only"))
+    return copies.filter(F.size("wholes") > 0)
+
+
+def recurring_windows(docs: DataFrame, copies: DataFrame, window: int = 13, anchor: int = 5, text: str = "text") -> DataFrame:
+    """(doc_id, win, lo): windows of a document, by hash, that the smaller document ``lo`` has too; none of whole copies."""
     plain = _with_ids(docs, text)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +173,7 @@ def recurring_windows(docs: DataFrame, window: int = 13, anchor: int = 7, text:
         yield from chunks.flush()
 
     found = _shared_keys(plain.mapInArrow(anchors, "anchor long, doc long, docs array<long>"), "anchor")
+    found = found.join(copies.filter("only").select("doc_id"), "doc_id", "left_anti")
     found = found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,21 +236,29 @@ def _removed(words: Words, ids: np.ndarray, found: list[tuple[np.ndarray, np.nda
     return covered(at[take], window, len(none))
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 7, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 5, text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_text (the words left, joined by one space)."""
-    recurring = recurring_windows(docs, window, anchor, text)
+    copies = stored(whole_copies(docs, text))
+    recurring = recurring_windows(docs, copies, window, anchor, text)
     lists = recurring.groupBy("doc_id").agg(F.collect_list(F.struct("win", "lo")).alias("found"))
 
+    lists = lists.join(copies.select("doc_id", "wholes"), "doc_id", "full")
+
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, ends = _lists(batch.column("found"))
             win = values.field("win").to_numpy(zero_copy_only=False)
             low = values.field("lo").to_numpy(zero_copy_only=False)
+            wholes, bounds = _lists(batch.column("wholes"))
+            wholes = wholes.to_numpy(zero_copy_only=False)
             for start, texts in _unpacked(batch, 1024):
                 for row, data, offsets in slices(texts, SHARD_WORDS * 6):
                     words = split(data, offsets, NON_SPACE, lower=False)
                     rows = range(start + row, start + row + len(offsets) - 1)
                     gone = _removed(words, _ids(batch, rows[0], len(rows)), [(win[ends[i] : ends[i + 1]], low[ends[i] : ends[i + 1]]) for i in rows], window, anchor)
+                    own = _whole(words)
+                    copy = [words.counts[k] >= window and own[k] in wholes[bounds[i] : bounds[i + 1]] for k, i in enumerate(rows)]
+                    gone |= np.repeat(copy, words.counts)
                     removed = np.concatenate([[0], np.cumsum(gone)])
                     removed = removed[words.first[1:]] - removed[words.first[:-1]]
                     yield pa.RecordBatch.from_arrays(
