@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
 from .words import ALNUM, slices, split
 
 BITS = 24
@@ -91,16 +92,27 @@ class FactorizationMachine:
                 self.bias -= rate * steps[2] / np.sqrt(squares[2])
 
 
-def _most_telling(slots: np.ndarray, of: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _slot_counts(sample: DataFrame) -> DataFrame:
+    """(slot, n, toxic): texts and toxic texts of each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in slices(batch.column("text"), 8 << 20):
+                slots, first = term_slots(data, offsets)
+                y = np.repeat(batch.column("toxic").slice(row, len(offsets) - 1).to_numpy(), np.diff(first))
+                kinds, place = np.unique(slots, return_inverse=True)
+                n, toxic = np.bincount(place, minlength=len(kinds)), np.bincount(place, y, len(kinds))
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (kinds, n, toxic)], ["slot", "n", "toxic"])
+
+    counts = sample.mapInArrow(run, "slot long, n long, toxic long").groupBy("slot")
+    return counts.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+
+
+def most_telling(sample: DataFrame, share: float) -> np.ndarray:
     """The slots whose share of texts differs most between the classes, in standard errors."""
-    kinds, place = np.unique(slots, return_inverse=True)
-    one = np.bincount(place, y[of], len(kinds))
-    all_ = np.bincount(place, minlength=len(kinds))
-    share = y.mean()
-    z = (one - all_ * share) / np.sqrt(all_ * share * (1 - share))
-    keep = np.flatnonzero(all_ >= LEAST_TEXTS)
-    keep = keep[np.argsort(-np.abs(z[keep]), kind="stable")[:KEPT]]
-    return np.sort(kinds[keep])
+    z = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    kept = _slot_counts(sample).filter(F.col("n") >= LEAST_TEXTS).orderBy(z.desc(), "slot").limit(KEPT)
+    return np.sort(kept.select("slot").toPandas()["slot"].to_numpy(np.int64))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> FactorizationMachine:
@@ -108,36 +120,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", sample:
     labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("double").alias("toxic"))
     chosen = [labels.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     plain = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    # at most 2 * sample rows of two numbers
+    # at most 2 * sample rows of two numbers; equal texts of the sample count once
     rows = plain.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
+    rows = stored(rows.groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("doc_id", "toxic", "text")).alias("r")).select("r.*"))
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
+    if toxic in (0, n):
+        return FactorizationMachine(np.empty(0, np.int64), 40.0 if n and toxic == n else -40.0)
+    kept = most_telling(rows, toxic / n)
+    shared = docs.sparkSession.sparkContext.broadcast(kept)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
                 slots, first = term_slots(data, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(slots.astype(np.int32)))
+                known = np.isin(slots, shared.value)
+                first = np.concatenate([[0], np.cumsum(known)])[first]
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(slots[known]))
                 part = [batch.column(c).slice(row, len(offsets) - 1) for c in ("doc_id", "toxic")]
                 yield pa.RecordBatch.from_arrays([*part, lists], ["doc_id", "toxic", "slots"])
 
-    found = rows.mapInArrow(terms, "doc_id long, toxic double, slots array<int>").toArrow()
-    seen, slots, y = set(), [], []
-    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
-    lists = found.column("slots").combine_chunks()
-    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-    toxic = found.column("toxic").to_numpy()
-    for i in order.tolist():
-        own = values[offsets[i] : offsets[i + 1]]
-        if (key := own.tobytes()) not in seen:
-            seen.add(key)
-            slots.append(own.astype(np.int64))
-            y.append(toxic[i])
-    y = np.array(y)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return FactorizationMachine(np.empty(0, np.int64), 40.0 if share == 1 else -40.0)
-    first = np.concatenate([[0], np.cumsum([len(x) for x in slots])])
-    flat = np.concatenate(slots)
-    machine = FactorizationMachine(_most_telling(flat, np.repeat(np.arange(len(y)), np.diff(first)), y), float(np.log(y.mean() / (1 - y.mean()))))
+    found = rows.mapInArrow(terms, "doc_id long, toxic double, slots array<long>").orderBy("doc_id").toPandas()
+    first = np.concatenate([[0], np.cumsum(found["slots"].map(len).to_numpy())]).astype(np.int64)
+    flat = np.concatenate(found["slots"].to_list()).astype(np.int64)
+    y = found["toxic"].to_numpy()
+    machine = FactorizationMachine(kept, float(np.log(y.mean() / (1 - y.mean()))))
     machine.fit(machine.rows(flat, first), y)
     return machine
 
