@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import robust, scalar
+from ..functions import imaging, robust, scalar
 from ..operators import catalog, raster, regions, stack
 from ..sources import views
 from ..streaming import events
@@ -406,3 +406,35 @@ def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def range_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.rounded(regions.compress_range(views.raster(spark, sf_dir), views.SIDE, views.SIDE, scales=3), "v")
+
+
+@query(f"""
+WITH {views.RASTER}
+SELECT frame, y, x, round(least(greatest((v * 65535 - 512) / 65023, 0), 1), 6) AS normalised,
+       CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN 'R' WHEN y % 2 = 1 AND x % 2 = 1 THEN 'B' ELSE 'G' END AS colour,
+       round(least(greatest(CASE WHEN v < 0.5 THEN -ln(1 + 4 * (0.5 - v)) ELSE ln(1 + 4 * (v - 0.5)) END / (2 * ln(3.0::DOUBLE)) + 0.5, 0), 1), 6) AS stretched,
+       round(v / sqrt(greatest(9 * 0.02::DOUBLE * 0.02::DOUBLE, 1.1920929e-7)) + 1e-9, 6) AS snr
+FROM raster""")
+def sample_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("v")
+    found = views.raster(spark, sf_dir).select(
+        "frame", "y", "x", imaging.normalised(v * 65535, 512.0, 65535.0).alias("normalised"),
+        imaging.mosaic_colour(F.col("y"), F.col("x"), [["R", "G"], ["G", "B"]]).alias("colour"),
+        imaging.hyperbolic_stretch(v, 4.0, -1.0, 0.5).alias("stretched"),
+        (imaging.signal_to_noise(v, F.lit(0.02), F.lit(9)) + 1e-9).alias("snr"),  # off the ties of rounding
+    )
+    return stack.rounded(found, "normalised", "stretched", "snr")
+
+
+@query(f"""
+WITH {views.STARS}, {_NEAR}, m AS (SELECT frame, distance FROM p WHERE distance <= 40 AND a < b)
+SELECT frame, count(*) AS n, round(sqrt(sum(distance * distance) / count(*)), 6) AS rms, round(max(distance), 6) AS largest,
+       round(CASE WHEN count(*) < 4 THEN 0 ELSE exp(-sqrt(sum(distance * distance) / count(*)) / 2) * least(count(*) / 20, 1) END, 9) AS quality
+FROM m GROUP BY frame""")
+def match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of neighbouring stars judged as if they were matches."""
+    found = views.stars(spark, sf_dir)
+    pairs = catalog.within(found, found, 40.0).filter("a < b").groupBy("frame")
+    sums = pairs.agg(F.count("*").alias("n"), F.sum(F.col("distance") ** 2).alias("ss"), F.max("distance").alias("largest"))
+    judged = sums.select("frame", "n", F.sqrt(F.col("ss") / F.col("n")).alias("rms"), "largest", imaging.registration_quality(F.col("n"), F.col("ss")).alias("quality"))
+    return stack.rounded(stack.rounded(judged, "rms", "largest"), "quality", places=9)

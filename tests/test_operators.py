@@ -210,3 +210,15 @@ def test_scales_add_up(spark):
     assert np.allclose(grid(regions.denoise(frame(spark, a), 6, 6, strength=0.0), 6, 6), a)
     flat = grid(regions.compress_range(frame(spark, np.full((6, 6), 0.3)), 6, 6, scales=2), 6, 6)
     assert np.allclose(flat, 0.3)
+
+
+def test_imaging_formulas(spark):
+    from framewright.functions import imaging
+
+    a = F.col("a")
+    assert one(spark, imaging.sexagesimal(a), a="-00:30:00") == -0.5 and one(spark, imaging.sexagesimal(a), a=" 12 30 36 ") == 12.51
+    assert one(spark, imaging.sexagesimal(a), a="12 30") is None and one(spark, imaging.sexagesimal(a), a="x y z") is None
+    for b in (-2.0, -1.0, 0.0, 3.0):
+        curve = [one(spark, imaging.hyperbolic_stretch(a, 5.0, b, 0.3, 0.1, 0.9), a=x) for x in (0.0, 0.2, 0.3, 0.5, 0.95, 1.0)]
+        assert curve == sorted(curve) and curve[0] == 0 and curve[-1] == pytest.approx(1)
+    assert one(spark, imaging.hyperbolic_stretch(a, 0.0, 1.0, 0.3), a=0.4) == 0.4
