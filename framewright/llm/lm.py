@@ -56,8 +56,8 @@ def vocabulary_of(docs: DataFrame, size: int = VOCABULARY, text: str = "text") -
             yield _pairs([np.unique(np.concatenate(held), return_counts=True)], ["word", "n"])
 
     counts = _texts(docs, text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"]
-    return np.sort(top.to_numpy(np.int64).astype(np.uint64))
+    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow().column("word")
+    return np.sort(top.to_numpy().astype(np.int64).astype(np.uint64))
 
 
 def _numbered(words: Words, vocabulary: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,9 +88,9 @@ def counts_of(docs: DataFrame, vocabulary: np.ndarray, bits: int = BITS, text: s
         used = np.flatnonzero(total)
         yield _pairs([(used, total[used])], ["slot", "n"])
 
-    summed = _texts(docs, text).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    summed = _texts(docs, text).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(2 * v + (1 << bits))
-    total[summed["slot"].to_numpy()] = summed["n"].to_numpy()
+    total[summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
     return total[:v], total[v : 2 * v], total[2 * v :]
 
 
