@@ -100,12 +100,14 @@ def quality_rules(
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words().alias("n_repeat_words"),
         "_clean",
+        # holds a later filter above this projection, whose arrays it would otherwise compute for each element again
+        F.monotonically_increasing_id().alias("_row"),
     )
     lost = F.col("word_chars") - F.length(F.regexp_replace("_clean", spaces, ""))
     df = df.withColumn("base_failed", (n_words < min_words) | (100 * repeat > 50 * n_words))
     return df.select(
         *(F.col(k).alias(c) for k, c in names.items()),
         *RESULTS[:6],
-        (~F.col("base_failed") & (lost <= max_removed * F.col("word_chars"))).alias("kept"),
+        (~F.col("base_failed") & (lost <= max_removed * F.col("word_chars")) & (F.col("_row") >= 0)).alias("kept"),
         F.col("_clean").alias("clean_text"),
     )
