@@ -209,7 +209,8 @@ def near_copy_groups(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     docs = _plain(docs, text)
     sizes = stored(set_sizes(docs, k))
-    same = sizes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
+    # stored, so that Spark can split a hot set's rows in the join
+    same = stored(sizes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
     of_rep = stored(sizes.filter("doc_id IS NOT NULL").join(same, ["n", "a", "b"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).distinct())
     links = near_copy_links(docs, of_rep.filter("doc_id = rep").select("doc_id"), k, percent)
     groups = components(links)
