@@ -22,9 +22,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,18 +106,16 @@ class Encoder:
         border = re.escape(self.borders)
         self.cut = re.compile(f"{MARK}*[^{MARK}{border}]+|{MARK}+" + (f"|[{border}]" if border else "")).findall
         self.byte_ids = {value: i for i, value in v.byte.items()}
+        # texts by id; bytes of longer characters have none of their own
         self.texts = [p.replace(MARK, " ") for p in v.pieces]
-        self.fits: dict[tuple[int, int], bool] = {}
+        for i, value in v.byte.items():
+            self.texts[i] = chr(value) if value < 0x80 else ""
+        for i in v.silent:
+            self.texts[i] = ""
+        self.parts = frozenset(i for i, value in v.byte.items() if value >= 0x80)
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
-        if key not in self.fits:
-            if len(self.fits) >= 4 * REMEMBERED:
-                self.fits.clear()
-            self.fits[key] = self._compatible(left, right)
-        return self.fits[key]
-
     def _compatible(self, left: int, right: int) -> bool:
         pieces, rank, split, normal = self.v.pieces, self.v.rank, self.v.split, self.v.normal
         up_left = up_right = float("inf")  # the ranks at which the two parts are merged into larger ones
@@ -133,25 +133,35 @@ class Encoder:
                 up_right, right = rank[right], r[0]
 
     def _stretch(self, text: str) -> tuple[int, ...]:
-        ends: list[list[tuple[int, int]]] = [[] for _ in text]
-        for end, found in self.automaton.iter(text):
-            ends[end].append(found)
-        last = [(-1, 1)] * (len(text) + 1)  # -1: a character of no piece
-        for end, found in enumerate(ends, 1):
-            for token, length in found:
-                before = last[end - length][0]
-                if end == length or before < 0 or self.compatible(before, token):
-                    last[end] = token, length
-                    break
+        last = [-1] * (len(text) + 1)  # the last token of each prefix; -1: a character of no piece
+        sizes = [1] * (len(text) + 1)
+        fits, base = self.fits, len(self.v.pieces)
+        for end, (token, size) in self.automaton.iter(text):
+            end += 1
+            if last[end] >= 0:
+                continue
+            before = last[end - size]
+            if size < end and before >= 0:
+                pair = before * base + token
+                fit = fits.get(pair)
+                if fit is None:
+                    if len(fits) >= 4 * REMEMBERED:
+                        fits.clear()
+                    fit = fits[pair] = self._compatible(before, token)
+                if not fit:
+                    continue
+            last[end] = token
+            sizes[end] = size
         ids, end = [], len(text)
         while end:
-            token, length = last[end]
+            token = last[end]
             if token < 0:
-                ids.extend(self.byte_ids[b] for b in reversed(text[end - 1].encode()))
+                ids.extend([self.byte_ids[b] for b in reversed(text[end - 1].encode())])
             else:
                 ids.append(token)
-            end -= length
-        return tuple(reversed(ids))
+            end -= sizes[end]
+        ids.reverse()
+        return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         """Ids without the end id."""
@@ -172,8 +182,10 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """Pieces' texts without the dummy space; runs of byte pieces are read as UTF-8."""
-        byte, silent, texts = self.v.byte, self.v.silent, self.texts
-        out, raw = [], bytearray()
+        texts = self.texts
+        if self.parts.isdisjoint(ids):
+            return "".join(map(texts.__getitem__, ids)).removeprefix(" ")
+        byte, out, raw = self.v.byte, [], bytearray()
         for i in ids:
             if i in byte:
                 raw.append(byte[i])
@@ -181,8 +193,7 @@ class Encoder:
             if raw:
                 out.append(raw.decode(errors="replace"))
                 raw.clear()
-            if i not in silent:
-                out.append(texts[i])
+            out.append(texts[i])
         if raw:
             out.append(raw.decode(errors="replace"))
         return "".join(out).removeprefix(" ")
@@ -201,8 +212,12 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
         for batch in batches:
             for row in range(0, len(batch), ROWS):
                 part = batch.slice(row, ROWS)
-                lists = [encoder.encode(x) + last for x in part.columns[-1].to_pylist()]
-                columns = part.columns[:-1] + [pa.array(lists, pa.list_(pa.int32()))]
+                flat, ends = [], [0]
+                for x in part.columns[-1].to_pylist():
+                    flat += encoder.encode(x) + last
+                    ends.append(len(flat))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                columns = part.columns[:-1] + [lists]
                 yield pa.RecordBatch.from_arrays(columns, [*others, ids])
 
     return frame.mapInArrow(run, schema_with(frame.drop(plain), ids, ArrayType(IntegerType())))
@@ -219,7 +234,9 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids", text: str = "d
         for batch in batches:
             for row in range(0, len(batch), ROWS):
                 part = batch.slice(row, ROWS)
-                texts = [encoder.decode(x or []) for x in part.column(ids).to_pylist()]
+                lists = pc.fill_null(part.column(ids), pa.scalar([], pa.list_(pa.int32())))
+                ends, flat = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
+                texts = [encoder.decode(flat[a:b].tolist()) for a, b in pairwise(ends)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*others, text])
 
     return frame.mapInArrow(run, schema_with(frame, text, StringType()))
