@@ -96,7 +96,7 @@ def frequent_shingles(docs: DataFrame, k: int = 4, text: str = "text") -> np.nda
             for _, data, offsets in slices(batch.column("text")):
                 held.append(shingle_sets(data, offsets, k)[0])
                 n += len(held[-1])
-                if n >= 4 * CHUNK:
+                if n >= 2 * CHUNK:
                     yield counted()
                     held, n = [], 0
         if n:

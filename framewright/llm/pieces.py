@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from .store import free_name, schema_with
 
 MARK = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 LONGEST_REMEMBERED = 48
 ROWS = 64
 
