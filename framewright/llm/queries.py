@@ -22,10 +22,11 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the documents labelled as of good quality; background: all documents."""
+    """Target: the documents labelled as of good quality; background: all documents. The join is a merge join at any size:
+    labels grow with the documents, so neither side is broadcast."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return lm.cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+    return lm.cross_entropy_difference(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
