@@ -50,6 +50,7 @@ ALPHABETS = {
     r"\p{Lu}": "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ",
 }
 _TITLE = "(?:" + "|".join(t for group in TITLES.values() for t in group) + ")"
+_FIRST = "(?=[" + "".join(sorted({t[0] for group in TITLES.values() for t in group})) + "])"
 _JUNK = r"[\s|#*$%&!,.-]{0,6}"
 #: Type and pattern, in the order of trial.
 PATTERNS = {
@@ -68,7 +69,7 @@ ANY = "|".join(f"(?:{x})" for x in PATTERNS.values())
 #: What any entity holds or starts with; a quarter of the cost of the patterns where a text has none of it.
 ANCHORS = [
     "[0-9@]",
-    "(?=[MSHDPГК])" + _TITLE + r"\.? \p{Lu}",
+    _FIRST + _TITLE + r"\.? \p{Lu}",
     "(?=[a-fA-F])(?:[a-f]{32}|[A-F]{32})",
     "sk-[A-Za-z_-]{20}|gh[pousr]_[A-Za-z]{36}|AKIA[A-Z]{16}",
 ]

@@ -99,6 +99,16 @@ def test_surrogates(spark):
     assert other != rows[0]["text"]
 
 
+def test_every_title_is_found_in_a_text_without_digits(spark):
+    titles = [t for group in private_data.TITLES.values() for t in group]
+    names = {"Г": "Иванова", "Κ": "Νίκος"}
+    rows = [(i, f"said {t}{dot} {names.get(t[0], 'Schmidt')} today") for i, (t, dot) in enumerate((t, d) for t in titles for d in ("", "."))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in private_data.replace_private_data(docs, "key").collect()}
+    left = [text for i, text in rows if got[i]["n_entities"] != 1 or got[i]["kinds"] != "name" or text.split()[2] in got[i]["text"]]
+    assert left == []
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     real = private_data.surrogate
 
