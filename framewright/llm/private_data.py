@@ -7,7 +7,9 @@ after a title are built from syllables of their script with an ending for their
 
 Collision checks run over the distinct entities of all documents: a surrogate that two entities would share, or that is
 itself an entity somewhere, is drawn again with the next attempt number for all but the first of them, until all are
-distinct. Redrawn entities are few; they are joined to the documents that hold them, all others are computed in place.
+distinct. So that the free surrogates never run out, later attempts draw longer ones: a name gains a syllable and an
+e-mail a letter with each attempt, short phone numbers gain digits, and other kinds, whose 4 billion forms and more have a
+fixed length, gain digits after ``FIXED`` attempts only. Redrawn entities are few; they are joined to the documents that hold them, all others are computed in place.
 
 Edge cases: null texts stay null and have no entities; empty and very long texts are handled whole (the patterns cannot
 backtrack over long words); repeated rows are replaced alike; an empty table stays empty; other columns stay as they are,
@@ -16,6 +18,8 @@ and those named like a result are replaced.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +78,10 @@ ANCHORS = [
     "sk-[A-Za-z_-]{20}|gh[pousr]_[A-Za-z]{36}|AKIA[A-Z]{16}",
 ]
 RESULTS = ["n_entities", "kinds"]
-#: Draws before an entity without a free surrogate is an error.
-ATTEMPTS = 40
+#: Draws of a surrogate of fixed length, before it gains digits.
+FIXED = 8
+#: Places of a digest: each two bytes as four hex digits.
+PLACES = 32
 
 
 def entities_of(text: Column) -> Column:
@@ -115,23 +121,40 @@ def _same_shape(text: Column, digest: Column, hexadecimal: Column, keep: Column)
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _name(entity: Column, digest: Column) -> Column:
+def _more(digest: Column, letters: str, n: int) -> Column:
+    """``n`` drawn characters; places from the digest's end, as the shape takes them from its start."""
+    drawn = [F.substring(F.lit(letters), _draw(digest, F.lit(PLACES - 1 - k % PLACES), len(letters)) + 1, F.lit(1)) for k in range(n)]
+    return F.concat(*drawn) if n > 0 else F.lit("")
+
+
+def _longer_phone(entity: Column, digest: Column) -> Column:
+    """As many digits more as the format takes after the last one."""
+    out = F.lit("")
+    for n in range(1, 7):
+        fits = F.concat(entity, F.lit("0" * n)).rlike(f"^(?:{PATTERNS['phone']})$")
+        out = F.when(fits, _more(digest, "0123456789", n)).otherwise(out)
+    return out
+
+
+def _name(entity: Column, digest: Column, attempt: int) -> Column:
     title = F.regexp_extract(entity, rf"^{_TITLE}\.? ", 0)
     gender = F.lit("n")
     for g, titles in TITLES.items():
         gender = F.when(title.rlike(rf"^(?:{'|'.join(titles)})\.? $"), g).otherwise(gender)
     words = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
+    n = 4 + attempt
 
     def build(word: Column, k: Column) -> Column:
         built = F.lit("")
         for script, syllables in SYLLABLES.items():
             table = F.array(*map(F.lit, syllables))
-            parts = [F.element_at(table, _draw(digest, k * 5 + j, 16) + 1) for j in range(4)]
+            parts = [F.element_at(table, _draw(digest, k * (n + 1) + j, 16) + 1) for j in range(n)]
             end = F.lit("")
             for g, ending in ENDINGS[script].items():
                 end = F.when(gender == g, ending).otherwise(end)
-            built = F.when(word.rlike(rf"\p{{Is{script}}}"), F.initcap(F.concat(*parts, end))).otherwise(built)
-        return F.when(built == "", word).otherwise(built)
+            here = word.rlike(rf"\p{{Is{script}}}") if script != "Latin" else F.lit(True)  # also of scripts without a table
+            built = F.when(here, F.initcap(F.concat(*parts, end))).otherwise(built)
+        return built
 
     return F.concat(title, F.array_join(F.transform(words, build), " "))
 
@@ -143,14 +166,19 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: int) -> Column:
     domain = F.regexp_extract(entity, r"\.[A-Za-z0-9-]+$", 0)
     before = F.substring(entity, F.lit(1), F.length(entity) - F.length(domain))
     no, none = F.lit(False), F.lit(0)
-    return (
+    letters = _more(digest, "abcdefghijklmnopqrstuvwxyz", attempt)
+    digits = _more(digest, "0123456789", attempt - FIXED)
+    fixed = (
         F.when(kind == "ip", F.concat_ws(".", *(x.cast("string") for x in octets)))
-        .when(kind == "name", _name(entity, digest))
-        .when(kind == "email", F.concat(_same_shape(before, digest, no, none), domain))
-        .when(kind == "phone", _same_shape(entity, digest, no, country))
+        .when(kind == "phone", F.concat(_same_shape(entity, digest, no, country), _longer_phone(entity, digest) if attempt else F.lit("")))
         .when(kind == "iban", _same_shape(entity, digest, no, F.lit(2)))
         .otherwise(_same_shape(entity, digest, entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), none))
     )
+    return (
+        F.when(kind == "name", _name(entity, digest, attempt))
+        .when(kind == "email", F.concat(letters, _same_shape(before, digest, no, none), domain))
+        .otherwise(F.concat(fixed, digits) if attempt > FIXED else fixed)
+    )
 
 
 def _redrawn(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -158,7 +186,7 @@ def _redrawn(docs: DataFrame, text: str, key: str) -> DataFrame:
     found = docs.select(F.explode(F.array_distinct(entities_of(F.col(text).cast("string")))).alias("entity"))
     entities = stored(found.distinct().withColumn("kind", kind_of(F.col("entity"))))
     pending, settled, extra = entities, None, None
-    for attempt in range(ATTEMPTS):
+    for attempt in count():
         drawn = pending.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, attempt))
         taken = entities.select(F.col("entity").alias("surrogate"))
         if settled is not None:
@@ -171,7 +199,6 @@ def _redrawn(docs: DataFrame, text: str, key: str) -> DataFrame:
             extra = first if extra is None else extra.unionByName(first)
         if pending.isEmpty():
             return extra
-    raise ValueError(f"no free surrogate for some entities after {ATTEMPTS} draws")
 
 
 def replace_private_data(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

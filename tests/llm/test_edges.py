@@ -118,3 +118,27 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(private_data, "surrogate", narrow)
     docs = spark.createDataFrame([(i, f"user{i}@mail.com") for i in range(20)], "doc_id long, text string")
     assert len({r["text"] for r in private_data.replace_private_data(docs, "key").collect()}) == 20
+
+
+def test_surrogates_never_run_out(spark, monkeypatch):
+    """More one-word names and short e-mails than surrogates of their first length, and a script without syllables."""
+    monkeypatch.setitem(private_data.SYLLABLES, "Latin", ["ba"] * 8 + ["ce"] * 8)
+    names = [f"Mr. {a}{b}n" for a in "ABCDEFGH" for b in "aeiou"]
+    mails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrst"]
+    docs = spark.createDataFrame(list(enumerate([*names, *mails, "Mr. Արամ"])), "doc_id long, text string")
+    got = [(r["doc_id"], r["text"], r["kinds"]) for r in private_data.replace_private_data(docs, "key").collect()]
+    texts = {t for _, t, _ in got}
+    assert len(texts) == len(got) == 40 + 520 + 1 and not texts & {*names, *mails, "Mr. Արամ"}
+    assert all(t.startswith("Mr. ") and t.endswith("mir") if k == "name" else t.endswith(".co") for _, t, k in got)
+
+
+def test_later_draws_keep_the_kind(spark):
+    rows = [("+49 22 33 44", "phone"), ("+49 22 33 44 55", "phone"), ("(017) 555-7713", "phone"), ("a@b.co", "email"), ("Mme Anna Roy", "name"), ("10.0.0.1", "ip")]
+    df = spark.createDataFrame(rows, "entity string, kind string")
+    for attempt in (1, 5):
+        drawn = private_data.surrogate(F.col("entity"), F.col("kind"), "key", attempt)
+        got = df.select("entity", "kind", drawn.alias("s"), private_data.kind_of(drawn).alias("k")).collect()
+        assert all(r["k"] == r["kind"] for r in got)
+        assert {r["entity"]: len(r["s"]) - len(r["entity"]) for r in got if r["kind"] in ("phone", "email")} == {
+            "+49 22 33 44": 6, "+49 22 33 44 55": 2, "(017) 555-7713": 0, "a@b.co": attempt
+        }
