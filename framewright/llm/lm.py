@@ -1,12 +1,15 @@
 """Cross-entropy difference scoring with matched word bigram models of a target and a background corpus.
 
-Both models share one vocabulary (the ``vocabulary`` most frequent words of the whole corpus; all others are one unknown
-word) and one smoothing: a bigram's probability is its count plus ``prior`` times the word's unigram probability, over the
-count of the word before plus ``prior``. Bigram counts lie in ``2**bits`` hashed cells, so that a model's size is fixed,
-whatever the corpus; the counts themselves come from every word of every document. A document's score is the mean over its
-words of target loss less background loss (nats): the lower, the more it is like the target.
+Both models share one vocabulary (all words of the whole corpus, unless ``vocabulary`` asks for its most frequent ones
+only; the others are one unknown word) and one smoothing: a bigram's probability is its count plus ``prior`` times the
+word's unigram probability, over the count of the word before plus ``prior``. A document's score is the mean over its words
+of target loss less background loss (nats): the lower, the more it is like the target.
 
-Counting is a shuffle of partial counts of each task; only the vocabulary and the fixed-size tables reach the driver.
+Words and bigrams are counted under 64-bit hashes, so that the tables grow with the corpus; they are dealt to ``SHARDS``
+shards by hash, never gathered. The documents are stored in slices of about 3 MB. Each slice sends a shard its distinct
+hashes with their counts, one row for each shard; the shard adds them up and answers each slice with the totals in the
+slice's own order; the slice is scored from the answers. A hot word is one entry of a slice, however often it stands there,
+so no key is dealt unevenly. Only totals (words, documents, distinct words) reach the driver.
 
 Edge cases: null and empty texts have 0 tokens, null losses and score 0; a target without documents gives the unsmoothed
 prior for the target; repeated rows count and are scored each time; texts of any length are whole; an empty table gives an
@@ -19,30 +22,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, Words, mix, slices, split
+from .store import stored
+from .words import ALNUM, mix, slices, split
 
-VOCABULARY = 1 << 16
-BITS = 20
+SHARDS_BITS = 10
+SHARDS = 1 << SHARDS_BITS
+SLICE = 3 << 20
 PRIOR = 50.0
 ALPHA = 0.1
 COUNTED = 1 << 21
+#: Stand for the start of a text and, with a limited vocabulary, for unknown words.
+START, UNKNOWN = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
+_WORD = np.uint64(0xA0761D6478BD642F)
+_REQUEST = "shard int, slice long, target boolean, n int, keys binary, counts binary"
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).cast("string").alias("text"))
 
 
-def _pairs(batches: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    keys, counts = (np.concatenate(x) for x in zip(*batches, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names)
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
 
 
-def vocabulary_of(docs: DataFrame, size: int = VOCABULARY, text: str = "text") -> np.ndarray:
+def _unpacked(blob: bytes, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Differences of sorted keys, byte by byte of all of them, so that the upper zero bytes cost nothing."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpacked_keys(blob: bytes, n: int) -> np.ndarray:
+    steps = np.ascontiguousarray(_unpacked(blob, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64)
+    return np.cumsum(steps.reshape(n), dtype=np.uint64)
+
+
+def vocabulary_of(docs: DataFrame, size: int, text: str = "text") -> np.ndarray:
     """Sorted hashes of the ``size`` most frequent words, ties by hash."""
 
+    def pairs(held: list[np.ndarray]) -> pa.RecordBatch:
+        words, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -50,85 +77,170 @@ def vocabulary_of(docs: DataFrame, size: int = VOCABULARY, text: str = "text") -
                 held.append(split(data, offsets, ALNUM, lower=True).hashes)
                 n += len(held[-1])
                 if n >= COUNTED:
-                    yield _pairs([np.unique(np.concatenate(held), return_counts=True)], ["word", "n"])
+                    yield pairs(held)
                     held, n = [], 0
         if n:
-            yield _pairs([np.unique(np.concatenate(held), return_counts=True)], ["word", "n"])
+            yield pairs(held)
 
     counts = _texts(docs, text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow().column("word")
     return np.sort(top.to_numpy().astype(np.int64).astype(np.uint64))
 
 
-def _numbered(words: Words, vocabulary: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, word before, bigram cell) of each word: 0..V-1, V for unknown words, V + 1 for a text's start."""
-    v = len(vocabulary)
-    at = np.minimum(np.searchsorted(vocabulary, words.hashes), max(v - 1, 0))
-    word = np.where(vocabulary[at] == words.hashes, at, v) if v else np.full(len(words.hashes), v)
+def _keys(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None, bits: int) -> tuple[np.ndarray, ...]:
+    """(words of each text, first word of each text, key of each word, of each word before (0 at a start), of each bigram)."""
+    found = split(data, offsets, ALNUM, lower=True)
+    word = found.hashes
+    if known is not None:
+        word = np.where(np.isin(word, known), word, UNKNOWN)
     before = np.empty_like(word)
     before[1:] = word[:-1]
-    before[words.first[:-1][words.counts > 0]] = v + 1
-    cell = mix(before.astype(np.uint64) * np.uint64(0x100000001B3) + word.astype(np.uint64)) >> np.uint64(64 - bits)
-    return word, before, cell.astype(np.int64)
-
-
-def counts_of(docs: DataFrame, vocabulary: np.ndarray, bits: int = BITS, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over all words of all documents: counts of words, of words before, and of bigram cells."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    v = len(vocabulary) + 2
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * v + (1 << bits), np.int64)
+    starts = found.first[:-1][found.counts > 0]
+    before[starts] = START
+    bigram = mix(mix(before) * np.uint64(0x100000001B3) + word)
+    if bits < 64:
+        bigram = mix(bigram >> np.uint64(64 - bits))
+    return found.counts, found.first, mix(word ^ _WORD), np.where(before == START, np.uint64(0), mix(before ^ _WORD)), bigram
+
+
+def _counts(n: np.ndarray, word: np.ndarray, before: np.ndarray, bigram: np.ndarray, parts: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, counts): of words as words, as words before, and of bigrams, in the texts of each of ``parts``."""
+    keys, place = np.unique(np.concatenate([word, bigram]), return_inverse=True)
+    counts = np.zeros((6, len(keys)), np.uint32)
+    at, m = np.searchsorted(keys, before), len(word)
+    for k, texts in enumerate(parts):
+        if texts is not None:
+            own = np.repeat(texts, n)
+            counts[3 * k] = np.bincount(place[:m][own], minlength=len(keys))
+            counts[3 * k + 1] = np.bincount(at[own & (before != 0)], minlength=len(keys))
+            counts[3 * k + 2] = np.bincount(place[m:][own], minlength=len(keys))
+    return keys, counts
+
+
+def _edges(keys: np.ndarray) -> np.ndarray:
+    return np.searchsorted(keys >> np.uint64(64 - SHARDS_BITS), np.arange(SHARDS + 1))
+
+
+def _requests(keys: np.ndarray, counts: np.ndarray, piece: int, target: bool) -> pa.RecordBatch:
+    edges = _edges(keys)
+    full = np.flatnonzero(np.diff(edges))
+    columns = [pa.array(full, pa.int32()), pa.array(np.full(len(full), piece)), pa.array(np.full(len(full), target))]
+    columns.append(pa.array(np.diff(edges)[full], pa.int32()))
+    # a shard's first key counts from the shard's own start
+    base = full.astype(np.uint64) << np.uint64(64 - SHARDS_BITS)
+    columns.append(pa.array([_packed_keys(keys[edges[s] : edges[s + 1]] - b) for s, b in zip(full, base, strict=True)], pa.binary()))
+    columns.append(pa.array([_packed(counts[:, edges[s] : edges[s + 1]]) for s in full], pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, ["shard", "slice", "target", "n", "keys", "counts"])
+
+
+def _sliced(docs: DataFrame, text: str, mark: str | None) -> DataFrame:
+    """(slice, ids, marks, offsets, size, data): the documents in stored slices; marks: one byte for each, 1 in the target."""
+    marked = F.lit(False) if mark is None else F.coalesce(F.col(mark), F.lit(False))
+    frame = docs.select("doc_id", F.col(text).cast("string").alias("text"), marked.alias("mark"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for _, data, offsets in slices(batch.column("text")):
-                word, before, cell = _numbered(split(data, offsets, ALNUM, lower=True), shared.value, bits)
-                total[:v] += np.bincount(word, minlength=v)
-                total[v : 2 * v] += np.bincount(before, minlength=v)
-                total[2 * v :] += np.bincount(cell, minlength=1 << bits)
-        used = np.flatnonzero(total)
-        yield _pairs([(used, total[used])], ["slot", "n"])
-
-    summed = _texts(docs, text).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(2 * v + (1 << bits))
-    total[summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
-    return total[:v], total[v : 2 * v], total[2 * v :]
-
+            for row, data, offsets in slices(batch.column("text"), SLICE):
+                marks = batch.column("mark").slice(row, len(offsets) - 1).to_numpy(zero_copy_only=False)
+                ids = batch.column("doc_id").slice(row, len(offsets) - 1)
+                ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                columns = [pa.array([piece]), ids, pa.array([marks.astype(np.uint8).tobytes()], pa.binary())]
+                columns += [pa.array([_packed(offsets)], pa.binary()), pa.array([len(data)], pa.int64())]
+                columns.append(pa.array([_packed(data)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "ids", "marks", "offsets", "size", "data"])
+                piece += 1
 
-def _losses(model, word: np.ndarray, before: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    words, befores, cells = model
-    unigram = (words[word] + ALPHA) / (words.sum() + ALPHA * len(words))
-    return -np.log((cells[cell] + PRIOR * unigram) / (befores[before] + PRIOR))
+    kind = frame.schema["doc_id"].dataType.simpleString()
+    return stored(frame.mapInArrow(cut, f"slice long, ids array<{kind}>, marks binary, offsets binary, size long, data binary"))
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, bits: int = BITS, text: str = "text"
+    docs: DataFrame, target: DataFrame | str, vocabulary: int | None = None, bits: int = 64, text: str = "text"
 ) -> DataFrame:
-    """Per document: doc_id, n_tokens, target_loss, background_loss, score. ``target``: documents with the same text column."""
-    known = vocabulary_of(docs, vocabulary, text)
-    models = tuple(tuple(x.astype(np.float32) for x in counts_of(d, known, bits, text)) for d in (target, docs))
-    shared = docs.sparkSession.sparkContext.broadcast((known, models))
+    """Per document: doc_id, n_tokens, target_loss, background_loss, score. ``target``: documents with the same text column,
+    or the name of a boolean column of ``docs`` that marks them (then they are not sent a second time)."""
+    known = None if vocabulary is None else vocabulary_of(docs, vocabulary, text)
+    pieces = _sliced(docs, text, target if isinstance(target, str) else None)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, models = shared.value
+    def text_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        return _unpacked(row["data"], np.uint8, row["size"]), _unpacked(row["offsets"], np.int64, len(row["ids"]) + 1)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, _, *keys = _keys(*text_of(row), known, bits)
+                marks = np.frombuffer(row["marks"], np.uint8) == 1
+                yield _requests(*_counts(n, *keys, (marks, np.ones(len(n), bool))), row["slice"], False)
+
+    def ask_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in slices(batch.column("text")):
-                words = split(data, offsets, ALNUM, lower=True)
-                place = _numbered(words, known, bits)
-                n = words.counts
-                full = n > 0
-                means = []
-                for model in models:
-                    mean = np.full(len(n), np.nan)
-                    if full.any():
-                        mean[full] = np.add.reduceat(_losses(model, *place), words.first[:-1][full]) / n[full]
-                    means.append(mean)
-                score = np.where(full, means[0] - means[1], 0.0)
-                columns = [batch.column("doc_id").slice(row, len(n)), pa.array(n, pa.int64())]
-                columns += [pa.array(x, pa.float64(), mask=~full) for x in means] + [pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    frame = docs.select("doc_id", F.col(text).cast("string").alias("text"))
-    schema = frame.select("doc_id").schema
+            for _, data, offsets in slices(batch.column("text"), SLICE):
+                n, _, *keys = _keys(data, offsets, known, bits)
+                yield _requests(*_counts(n, *keys, (np.ones(len(n), bool), None)), -1, True)
+
+    def add(table: pa.Table) -> pa.Table:
+        """A shard's answers, and in the row of slice -1 its totals: target words, target starts, words, starts, kinds."""
+        rows = table.to_pylist()
+        keys = [_unpacked_keys(r["keys"], r["n"]) for r in rows]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        # of the target and of all documents: words, words before, bigrams
+        totals = np.zeros((6, len(every)), np.int64)
+        at = 0
+        places = []
+        for r, own in zip(rows, keys, strict=True):
+            mine = place[at : at + len(own)]
+            at += len(own)
+            places.append(mine)
+            totals[:, mine] += _unpacked(r["counts"], np.uint32, 6 * len(own)).reshape(6, -1)
+        answers = [(r["slice"], _packed(totals[:, mine])) for r, mine in zip(rows, places, strict=True) if not r["target"]]
+        sums = [*totals[[0, 1, 3, 4]].sum(axis=1), np.count_nonzero(totals[3])]
+        shard = rows[0]["shard"]
+        columns = [pa.array([shard] * (len(answers) + 1), pa.int32()), pa.array([s for s, _ in answers] + [-1], pa.int64())]
+        columns += [pa.array([b for _, b in answers] + [np.array(sums, np.int64).tobytes()], pa.binary())]
+        return pa.Table.from_arrays(columns, ["shard", "slice", "answer"])
+
+    asked = pieces.mapInArrow(ask, _REQUEST)
+    if not isinstance(target, str):
+        asked = asked.unionByName(_texts(target, text).mapInArrow(ask_target, _REQUEST))
+    answers = stored(asked.groupBy("shard").applyInArrow(add, "shard int, slice long, answer binary"))
+    sums = [np.frombuffer(r["answer"], np.int64) for r in answers.filter("slice = -1").select("answer").collect()]  # a row a shard
+    sums = np.sum(sums, axis=0) if sums else np.zeros(5, np.int64)
+    n_kinds = int(sums[4]) + 2 if vocabulary is None else len(known) + 2
+    # words, and texts that have words: each has one word more than it has words with a word before
+    all_words, last = (int(sums[0]), int(sums[2])), (int(sums[0] - sums[1]), int(sums[2] - sums[3]))
+
+    frame = docs.select("doc_id")
+    schema = frame.schema
     for name, kind in (("n_tokens", "long"), ("target_loss", "double"), ("background_loss", "double"), ("score", "double")):
         schema = schema.add(name, kind)
-    return frame.mapInArrow(score, schema)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        n, first, word, before, bigram = _keys(*text_of(row), known, bits)
+        keys = np.unique(np.concatenate([word, bigram]))
+        totals = np.zeros((6, len(keys)), np.int64)
+        edges = _edges(keys)
+        for r in right.to_pylist():
+            a, b = edges[r["shard"]], edges[r["shard"] + 1]
+            totals[:, a:b] = _unpacked(r["answer"], np.int64, 6 * (b - a)).reshape(6, -1)
+        w, g = np.searchsorted(keys, word), np.searchsorted(keys, bigram)
+        start = before == 0
+        p = np.where(start, 0, np.searchsorted(keys, before))
+        full = n > 0
+        means = []
+        for k in range(2):
+            unigram = (totals[3 * k][w] + ALPHA) / (all_words[k] + ALPHA * n_kinds)
+            befores = np.where(start, last[k], totals[3 * k + 1][p])
+            losses = -np.log((totals[3 * k + 2][g] + PRIOR * unigram) / (befores + PRIOR))
+            mean = np.full(len(n), np.nan)
+            if full.any():
+                mean[full] = np.add.reduceat(losses, first[:-1][full]) / n[full]
+            means.append(mean)
+        ids = left.column("ids").combine_chunks().flatten()
+        columns = [ids, pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=~full) for x in means)]
+        columns.append(pa.array(np.where(full, means[0] - means[1], 0.0)))
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    replies = answers.filter("slice >= 0").groupBy("slice")
+    return pieces.groupBy("slice").cogroup(replies).applyInArrow(score, schema)

@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 
-from framewright.llm import decontaminate, near_copies, pieces, quality, repeats, toxicity, words
+from framewright.llm import decontaminate, lm, near_copies, pieces, quality, repeats, toxicity, words
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -180,3 +181,38 @@ def test_words_match_the_expressions():
                 assert own == plain(texts[row + k])
                 n += 1
         assert n == 500
+
+
+def test_cross_entropy_counts_every_word(spark):
+    """Against exact counts, with more distinct words and bigrams than the former tables held (65,536 words)."""
+    pick = random.Random(4)
+    rows = [(i, " ".join(f"w{int(70_000 * pick.random() ** 2)}" for _ in range(600))) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"u{i * 600 + j}" for j in range(600))) for i in range(100)] + [(2000, ""), (2001, None), (2002, "w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    in_target = lambda i: i % 3 == 0
+    models = []
+    for part in ([t for i, t in rows if in_target(i)], [t for _, t in rows]):
+        unigrams, befores, bigrams = Counter(), Counter(), Counter()
+        for t in part:
+            w = alnum(t)
+            unigrams.update(w)
+            befores.update([None, *w[:-1]] if w else [])
+            bigrams.update(zip([None, *w], w))
+        models.append((unigrams, befores, bigrams, sum(unigrams.values())))
+    kinds = len(models[1][0]) + 2
+    assert kinds > 65_538
+    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, docs.filter("doc_id % 3 = 0")).collect()}
+    marked = docs.selectExpr("*", "doc_id % 3 = 0 AS good")
+    assert got == {r["doc_id"]: r for r in lm.cross_entropy_difference(marked, "good").collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        w = alnum(t)
+        assert got[i]["n_tokens"] == len(w)
+        if not w:
+            assert got[i]["target_loss"] is None and got[i]["score"] == 0
+            continue
+        losses = []
+        for unigrams, befores, bigrams, n in models:
+            p = [(bigrams[b, x] + 50 * (unigrams[x] + 0.1) / (n + 0.1 * kinds)) / (befores[b] + 50) for b, x in zip([None, *w], w)]
+            losses.append(-np.mean(np.log(p)))
+        assert np.allclose((got[i]["target_loss"], got[i]["background_loss"], got[i]["score"]), (*losses, losses[0] - losses[1]), rtol=1e-9, atol=1e-9)
