@@ -16,8 +16,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, as they are."""
-    return quality.quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+    """Documents that the quality rules keep, without the lines that failed and n_chars brought in line."""
+    kept = quality.quality_rules(docs.select(*COLUMNS)).filter("kept")
+    changed = F.col("clean_text") != F.col("text")
+    n_chars = F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).withColumn("text", F.col("clean_text")).select(*COLUMNS)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,12 @@ def test_stages(spark, tmp_path):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert got[4]["ids"] == model.encode(got[4]["text"], add_eos=True)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "private_data", "sentencepiece"]
+
+
+def test_failing_lines_leave_the_kept_documents(spark, tmp_path):
+    lines = [clean(1), "Home | About | News | Contact", clean(2)]
+    rows = [(1, "\n".join(lines), "en", "a", 10), (2, clean(3) + "\n\n" + clean(4), "en", "a", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()}
+    assert got[1]["text"] == clean(1) + "\n" + clean(2) and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == rows[1][1] and got[2]["n_chars"] == 10
