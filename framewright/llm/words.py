@@ -1,8 +1,9 @@
 """Word splitting and word-window hashing over whole Arrow text batches.
 
 Every delimiter of the two word classes is a single ASCII byte, so words are found on the UTF-8 bytes with NumPy
-and no text is decoded. A word is known by a 64-bit hash of its bytes, a window by a 64-bit hash of its words'
-hashes; two different windows share a hash with a chance of about 2**-64 a pair.
+and no text is decoded. A word is known by a 64-bit hash of its bytes: each eight bytes are mixed with their place
+before they are added up, so that no pattern of bytes cancels out. A window is known by a 64-bit hash of its words'
+hashes. Two different words or windows share a hash with a chance of about 2**-64 a pair.
 
 Nulls count as empty texts. A text of any length is handled whole: ``slices`` cuts a batch between texts only.
 """
@@ -25,21 +26,10 @@ NON_SPACE = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
 ALNUM = ((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)
 _LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 0x20, _BYTES).astype(np.uint8)
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(SLICE_BYTES, 1 << (n - 1).bit_length())
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[i] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The first n bytes of eight, for n from 0 to 8.
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,14 +61,11 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
     hashes: np.ndarray
-    sums: np.ndarray
 
     def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, text) of the first ``k`` bytes of each word of more than ``k`` bytes."""
+        """(hash, text) of the first ``k`` bytes, eight at most, of each word of more than ``k`` bytes."""
         long = np.flatnonzero(self.ends - self.starts > k)
-        at = self.starts[long]
-        _, inverse = _power_tables(len(self.sums))
-        return mix((self.sums[at + k] - self.sums[at]) * inverse[at] + np.uint64(k << 32)), self.text_of_word()[long]
+        return mix((_eights(self.data)[self.starts[long]] & _MASKS[k]) * _ODD + np.uint64(k << 32)), self.text_of_word()[long]
 
     @property
     def counts(self) -> np.ndarray:
@@ -88,11 +75,33 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; ``data`` has eight bytes more than its texts."""
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sizes = ends - starts
+    eights = _eights(data)
+    total = mix(eights[starts] & _MASKS[np.minimum(sizes, 8)])
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) // 8
+        to = np.cumsum(more)
+        block = np.arange(to[-1]) - np.repeat(to - more, more) + 1
+        left = np.minimum(np.repeat(sizes[long], more) - 8 * block, 8)
+        place = mix(block.astype(np.uint64)) | np.uint64(1)
+        mixed = mix((eights[np.repeat(starts[long], more) + 8 * block] & _MASKS[left]) * place + place)
+        total[long] += np.add.reduceat(mixed, to - more)
+    return mix(total + sizes.astype(np.uint64) * _ODD)
+
+
 def split(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower: bool) -> Words:
     """Words of texts that lie one after another in ``data``."""
     n = len(data)
-    data = _LOWER[data] if lower else data
-    inside = word_bytes[data]
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = _LOWER[data] if lower else data
+    inside = word_bytes[padded[:n]]
     begin, finish = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     finish[:-1] &= ~inside[1:]
@@ -101,11 +110,7 @@ def split(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, lower:
     at = offsets[(offsets > 0)] - 1
     finish[at] = inside[at]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * power[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), hashes, sums)
+    return Words(padded, starts, ends, np.searchsorted(starts, offsets), _hashes(padded, starts, ends))
 
 
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
