@@ -13,7 +13,8 @@ and the failed lines held at most ``max_removed`` of its word characters.
 
 Edge cases: null and empty texts have no words and are rejected; repeated rows are judged alike and all returned;
 an empty table gives an empty table; other columns stay as they are, and a column that has the name of a result is
-replaced by it. Memory is bounded by one text.
+replaced by it. Memory is bounded by one text. A filter on ``kept`` that is pushed below the results computes them twice;
+store the results first.
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Stock phrases of web pages, lower-case.
+#: Stock phrases of web pages, lower-case, by language.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "javascript",
     "click here", "read more", "sign up", "log in", "subscribe to", "share this", "lorem ipsum",
+    "alle rechte vorbehalten", "weiterlesen", "jetzt anmelden", "nutzungsbedingungen",
+    "tous droits réservés", "en savoir plus", "politique de confidentialité", "conditions d'utilisation",
+    "todos los derechos reservados", "leer más", "política de privacidad", "términos de uso",
 )
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
 
 
 def _line_fails(line: Column, boilerplate_words: int, unpunctuated_words: int) -> Column:
-    """Cheap tests stand first; spaces are counted for words, as lines are mostly clean."""
-    n = 1 + F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    n = F.regexp_count(line, F.lit(WORD))
     bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
     symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>]+"))
     phrase = line.rlike("(?i)" + "|".join(BOILERPLATE))
@@ -40,28 +43,21 @@ def _line_fails(line: Column, boilerplate_words: int, unpunctuated_words: int) -
         ((bars >= 3) & (bars * 4 >= n))
         | (line.rlike(r"[#*$%&|<>]") & (symbols >= 3) & (symbols * 10 >= n * 3))
         | (~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (n >= 5))
+        | (~line.rlike(r"[.!?…。؟।;:]") & (n >= unpunctuated_words))
         | ((n <= boilerplate_words) & phrase)
-        | ((n >= unpunctuated_words) & ~line.rlike(r"[.!?…。؟।;:]"))
     )
 
 
-#: Words and their two successors: a struct for each 3-word window.
-_WINDOWS = "arrays_zip(slice(_words, 1, {n}), slice(_words, 2, {n}), slice(_words, 3, {n}))".format(n="size(_words) - 2")
-#: Windows sorted by hash; the place is in the low 16 bits, or beside the hash in a text of 2**16 words or more.
-_PACKED = f"sort_array(transform({_WINDOWS}, (w, i) -> (xxhash64(w) & -65536) | i))"
-_PAIRS = f"sort_array(transform({_WINDOWS}, (w, i) -> struct(xxhash64(w) AS h, i AS i)))"
-_SAME = "(k > 0 AND shiftright(_packed[k - 1] ^ x, 16) = 0) OR (k + 1 < size(_packed) AND shiftright(_packed[k + 1] ^ x, 16) = 0)"
-_SAME_PAIR = "(k > 0 AND _pairs[k - 1].h = x.h) OR (k + 1 < size(_pairs) AND _pairs[k + 1].h = x.h)"
-
-
-def _repeat_words() -> Column:
-    """Words inside 3-word windows that occur twice or more."""
-    places = F.when(
-        F.col("_pairs").isNull(),
-        F.transform(F.expr(f"filter(_packed, (x, k) -> {_SAME})"), lambda x: x.bitwiseAND(65535).cast("int")),
-    ).otherwise(F.transform(F.expr(f"filter(_pairs, (x, k) -> {_SAME_PAIR})"), lambda x: x["i"]))
-    words = F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))
-    return F.coalesce(F.size(F.array_distinct(words)), F.lit(0)).cast("long")
+_N = "greatest(size(_words) - 2, 0)"
+#: 3-word windows with their places, equal ones together; the hash only makes most comparisons short.
+_WINDOWS = f"arrays_zip(slice(_words, 1, {_N}), slice(_words, 2, {_N}), slice(_words, 3, {_N}))"
+_SORTED = f"sort_array(transform({_WINDOWS}, (w, i) -> struct(xxhash64(w) AS h, w AS w, i AS i)))"
+_SAME = "(k > 0 AND s[k - 1].h = x.h AND s[k - 1].w = x.w) OR (k + 1 < size(s) AND s[k + 1].h = x.h AND s[k + 1].w = x.w)"
+#: Words inside windows that stand twice or more; ``s`` is bound to the sorted windows once.
+_REPEAT_WORDS = (
+    f"transform(array({_SORTED}), s -> size(array_distinct(flatten(transform(filter(s, (x, k) -> {_SAME}), "
+    "x -> array(x.i, x.i + 1, x.i + 2))))))[0]"
+)
 
 
 def quality_rules(
@@ -77,19 +73,9 @@ def quality_rules(
     others = list(names)
     safe = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in names.items()), safe.alias("_text"), F.regexp_extract_all(safe, F.lit(WORD), F.lit(0)).alias("_words"))
-    n = F.size("_words")
-    df = df.withColumns(
-        {
-            "_lines": F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "_packed": F.when((n >= 3) & (n < 65536), F.expr(_PACKED)),
-            "_pairs": F.when(n >= 65536, F.expr(_PAIRS)),
-        }
-    ).withColumn(
-        "_clean",
-        F.array_join(
-            F.filter(F.split("_text", "\n"), lambda x: ~_line_fails(x, boilerplate_words, unpunctuated_words)), "\n"
-        ),
-    )
+    clean = F.filter(F.split("_text", "\n"), lambda x: ~_line_fails(x, boilerplate_words, unpunctuated_words))
+    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumns({"_lines": lines, "_clean": F.array_join(clean, "\n")})
     spaces = r"[\x20\x09-\x0D]+"
     n_words, repeat = F.col("n_words"), F.col("n_repeat_words")
     df = df.select(
@@ -98,16 +84,14 @@ def quality_rules(
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words().alias("n_repeat_words"),
+        F.expr(_REPEAT_WORDS).cast("long").alias("n_repeat_words"),
         "_clean",
-        # holds a later filter above this projection, whose arrays it would otherwise compute for each element again
-        F.monotonically_increasing_id().alias("_row"),
     )
     lost = F.col("word_chars") - F.length(F.regexp_replace("_clean", spaces, ""))
     df = df.withColumn("base_failed", (n_words < min_words) | (100 * repeat > 50 * n_words))
     return df.select(
         *(F.col(k).alias(c) for k, c in names.items()),
         *RESULTS[:6],
-        (~F.col("base_failed") & (lost <= max_removed * F.col("word_chars")) & (F.col("_row") >= 0)).alias("kept"),
+        (~F.col("base_failed") & (lost <= max_removed * F.col("word_chars"))).alias("kept"),
         F.col("_clean").alias("clean_text"),
     )
