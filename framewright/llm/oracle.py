@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import TEMPLATES
+from .licenses import BLOCK_LINES, TEMPLATES
 from .licenses import WORD as LICENSE_WORD
 from .quality import BOILERPLATE
 
@@ -20,13 +20,13 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id
 ), lines AS (
   SELECT doc_id, l, length(l) - length(replace(l, '|', '')) AS bars,
-         1 + length(l) - length(replace(l, ' ', '')) AS n, len(regexp_extract_all(l, '[#*$%&|<>]+')) AS symbols
+         len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(l, '[#*$%&|<>]+')) AS symbols
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
 ), failed AS (
   SELECT doc_id, sum(length(regexp_replace(l, '{_SPACES}', '', 'g'))) AS lost FROM lines
   WHERE (bars >= 3 AND bars * 4 >= n) OR (symbols >= 3 AND symbols * 10 >= n * 3)
      OR (n >= 5 AND NOT regexp_matches(l, '\p{{Ll}}') AND regexp_matches(l, '\p{{Lu}}'))
-     OR (n <= 25 AND regexp_matches(l, '(?i){"|".join(BOILERPLATE)}'))
+     OR (n <= 25 AND regexp_matches(l, '(?i){"|".join(BOILERPLATE).replace("'", "''")}'))
      OR (n >= 40 AND NOT regexp_matches(l, '[.!?…。؟।;:]'))
   GROUP BY doc_id
 ), base AS (
@@ -77,9 +77,11 @@ WITH d AS (
   FROM places WHERE label IS NOT NULL GROUP BY doc_id
 ), templates(label, words) AS (
   VALUES {", ".join(f"('{label}', list_distinct(string_split('{words}', ' ')))" for label, words in TEMPLATES)}
+), line_words AS (
+  SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda l:
+    regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LICENSE_WORD}')) AS l FROM documents
 ), lines AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LICENSE_WORD}')) AS w
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents)
+  SELECT doc_id, list_distinct(flatten(l[i:i + {BLOCK_LINES - 1}])) AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM line_words)
 ), pairs AS (
   SELECT doc_id, label, len(list_intersect(w, words)) AS shared, len(words) AS size FROM lines, templates
 ), matched AS (
