@@ -1,27 +1,32 @@
 """URL filter: rules first, then naive Bayes over the words of host and path.
 
-Hosts are cut at dots and hyphens, and each name is split into words by the likeliest unigram segmentation (Viterbi) over
-the ``dictionary`` most frequent words of the pages' own html. Multinomial naive Bayes over the words of host and path is
-fitted on the pages that a rule has judged, counted by Spark over all of them; its words are dictionary words and the
-lengths of numbers, which bounds the model. A rule's verdict stands; all other pages get that of the model.
+Hosts and paths are cut into names at everything but letters, and each name is split into words by the likeliest unigram
+segmentation (Viterbi). The words and their counts are those of the visible text of all pages (no tags, attributes,
+scripts, addresses or host names). A string counts as a word of its own only if it is seen ``COHESION`` times as often as
+its best split into other words predicts, so that chance neighbours such as two words run together are split. Names,
+their substrings and the counts are joined as tables: no dictionary passes through the driver, and none is cut.
+
+Multinomial naive Bayes over the words of host and path (numbers by their length) is fitted on pages that a rule has
+judged, at most ``SAMPLE`` of each class by a hash of their url, which bounds the model. A rule's verdict stands; all other
+pages get that of the model.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no rule and the verdict of the classes' prior;
-without judged pages of both classes the model allows; repeated rows each get their row; very long names are split in
-time linear in their length; an empty table stays empty; only page_id, url and html are read.
+without judged pages of both classes the model allows; repeated rows, also of one page_id, each get their row; a name's
+substrings of up to ``LONGEST`` letters are looked up, so very long names take time linear in their length; an empty table
+stays empty; only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
-from .store import schema_with
+from .store import schema_with, stored
 
 #: (verdict, host, start of the path)
 RULES = [
@@ -31,8 +36,10 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-DICTIONARY = 50_000
-LONGEST = 20
+SAMPLE = 100_000
+#: A name's substrings up to this length are looked up; no word of the kept languages is longer.
+LONGEST = 32
+COHESION = 30.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,89 +61,118 @@ def rule_of(rules: list[tuple[str, str, str]], value: int) -> Column:
     return found
 
 
-class Segmenter:
-    """Unigram Viterbi; a letter outside any word costs as much as a word seen once in ten times the corpus."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
-        self.cost = {w: math.log(total / n) for w, n in counts.items()}
-        self.unknown = math.log(total * 10.0) + 1.0
-        self.known: dict[str, list[str]] = {}
-
-    def split(self, name: str) -> list[str]:
-        if name not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[name] = self._split(name)
-        return self.known[name]
-
-    def _split(self, name: str) -> list[str]:
-        best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            top, at = best[end - 1] + self.unknown, end - 1
-            for start in range(max(0, end - LONGEST), end):
-                cost = self.cost.get(name[start:end])
-                if cost is not None and best[start] + cost < top:
-                    top, at = best[start] + cost, start
-            best.append(top)
+def visible_text(html: Column) -> Column:
+    """Lower-case text of a page without markup, addresses and host names."""
+    text = F.coalesce(html, F.lit(""))
+    for pattern in (r"(?is)<(script|style)\b.*?</\1\s*>", r"(?s)<!--.*?-->", r"<[^>]*>", r"&[#\w]+;", r"(?<![\w+.-])[\w+.-]++://\S++", r"(?<![\w.-])[\w-]++(?:\.[\w-]++)++"):
+        text = F.regexp_replace(text, pattern, " ")
+    return F.lower(text)
+
+
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n) over the visible text of all pages."""
+    words = F.explode(F.regexp_extract_all(visible_text(F.col("html")), F.lit("[a-z]{2,}"), F.lit(0))).alias("word")
+    return pages.select(words).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def split_name(name: str, counts: dict[str, int], total: int) -> list[str]:
+    """The likeliest words of a name. Any run of letters may be an unknown word, ten times less likely with each letter."""
+    own: dict[str, float | None] = {}
+
+    def cost(part: str) -> float:
+        if part not in own:
+            own[part] = math.log(total + 1) + (len(part) - 1) * math.log(10)
+            if part in counts:
+                alone = math.log(total / counts[part])
+                # a word, if it is more than its best split
+                if alone + math.log(COHESION) < best(part, len(part) - 1)[0][-1]:
+                    own[part] = alone
+        return own[part]
+
+    def best(part: str, longest: int) -> tuple[list[float], list[int]]:
+        costs, back = [0.0], [0]
+        for end in range(1, len(part) + 1):
+            found = [(costs[start] + cost(part[start:end]), start) for start in range(max(0, end - longest), end)]
+            top, at = min(found, default=(math.inf, 0))
+            costs.append(top)
             back.append(at)
-        words, end = [], len(name)
-        while end:
-            words.append(name[back[end] : end])
-            end = back[end]
-        return words[::-1]
-
-    def words(self, host: str, path: str) -> list[str]:
-        """Words by the part they stand in; numbers by their length."""
-        out = []
-        for where, text in (("h", host), ("p", path.lower())):
-            for name in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", text):
-                if name[0].isdigit():
-                    out.append(f"{where}#{min(len(name), 9)}")
-                else:
-                    out += [f"{where}:{w}" if w in self.cost else f"{where}:?" for w in self.split(name)]
-        return out
-
-
-def dictionary_of(pages: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
-    """The most frequent words of the html of all pages, at most ``size``."""
-    words = F.explode(F.regexp_extract_all(F.lower(F.coalesce("html", F.lit(""))), F.lit("[a-z]{2,}"), F.lit(0))).alias("w")
-    counts = pages.select(words).filter(F.length("w") <= LONGEST).groupBy("w").count()
-    return {r["w"]: r["count"] for r in counts.orderBy(F.desc("count"), "w").limit(size).collect()}
-
-
-def _with_words(pages: DataFrame, segmenter) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return costs, back
+
+    back = best(name, LONGEST)[1]
+    words, end = [], len(name)
+    while end:
+        words.append(name[back[end] : end])
+        end = back[end]
+    return words[::-1]
+
+
+def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(name, words) of each distinct name. ``counts``: word and n."""
+    names = stored(names.select("name").distinct())
+    counts = stored(counts)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = segmenter.value.words
-            lists = [split(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.string()))], [*batch.schema.names, "words"])
+            for name in batch.column("name").to_pylist():
+                for row in range(0, len(name), 4096):
+                    parts = {name[i : i + k] for i in range(row, min(row + 4096, len(name))) for k in range(2, LONGEST + 1) if i + k <= len(name)}
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(list(parts), pa.string())], ["name", "word"])
 
-    return pages.mapInArrow(run, schema_with(pages, "words", ArrayType(StringType())))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("name").to_pylist(), batch.column("found").to_pylist(), strict=True)
+            words = [split_name(name, {x["word"]: x["n"] for x in found or ()}, total) for name, found in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
+
+    found = names.mapInArrow(substrings, "name string, word string").join(counts, "word")
+    found = found.groupBy("name").agg(F.collect_set(F.struct("word", "n")).alias("found"))
+    return names.join(found, "name", "left").mapInArrow(cut, "name string, words array<string>")
+
+
+_NAME = r"[a-z]+|[0-9]+|[^\x00-\x7f]+"
+
+
+def url_words(judged: DataFrame, pages: DataFrame) -> DataFrame:
+    """``judged`` (_row, host, path, ...) with ``words``: host and path words in order, marked by the part they stand in."""
+    def marked(where: str, text: Column) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(_NAME), F.lit(0)), lambda x: F.struct(F.lit(where).alias("part"), x.alias("name")))
+
+    names = F.concat(marked("h", F.col("host")), marked("p", F.lower("path")))
+    rows = judged.select("_row", F.posexplode(names).alias("pos", "x")).select("_row", "pos", "x.part", "x.name")
+    letters = rows.filter(F.col("name").rlike("^[a-z]"))
+    split = stored(segmented(letters, word_counts(pages)))
+    number = F.array(F.concat(F.lit("#"), F.length("name").cast("string")))
+    words = F.when(F.col("name").rlike("^[0-9]"), number).otherwise(F.coalesce("words", F.array("name")))
+    words = F.transform(words, lambda w: F.concat("part", F.when(w.startswith("#"), "").otherwise(":"), w))
+    rows = rows.join(split, "name", "left").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", words.alias("words")))).alias("found"))
+    joined = judged.join(rows, "_row", "left")
+    none = F.expr("cast(array() as array<string>)")
+    return joined.withColumn("words", F.coalesce(F.flatten(F.col("found.words")), none)).drop("found")
+
+
+def fit_bayes(labelled: DataFrame, sample: int) -> tuple[float, dict[str, float]]:
+    """(log odds of a block, log odds of each word), with one count added; ``labelled``: judged, url, words."""
+    classes = [labelled.filter(F.col("judged") == c).orderBy(F.xxhash64("url"), "url", "_row").limit(sample) for c in ("allow", "block")]
+    rows = stored(classes[0].unionByName(classes[1]).select("judged", "words"))
+    prior = {r["judged"]: r["count"] for r in rows.groupBy("judged").count().collect()}
+    counts: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
+    for r in rows.select("judged", F.explode("words").alias("w")).groupBy("w", "judged").count().collect():  # of the sample
+        counts[r["judged"]][r["w"]] = r["count"]
+    if not (prior.get("allow") and prior.get("block")):
+        return -1.0, {}
+    vocabulary = sorted(counts["allow"].keys() | counts["block"].keys())
+    size = {k: sum(x.values()) + len(vocabulary) + 1 for k, x in counts.items()}
+    share = lambda k, w: math.log((counts[k].get(w, 0) + 1) / size[k])
+    return math.log(prior["block"] / prior["allow"]), {w: share("block", w) - share("allow", w) for w in vocabulary}
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dictionary: int = DICTIONARY) -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, words (of the url) and block_score (log odds of the model)."""
-    context = pages.sparkSession.sparkContext
-    segmenter = context.broadcast(Segmenter(dictionary_of(pages, dictionary)))
     judged = parts(pages.select("page_id", "url")).withColumns({"rule": rule_of(rules, 1), "judged": rule_of(rules, 0)})
-    judged = _with_words(judged.select("page_id", "host", "path", "rule", "judged"), segmenter)
-    labelled = judged.filter("judged IS NOT NULL")
-    prior = {r["judged"]: r["count"] for r in labelled.groupBy("judged").count().collect()}
-    # one row for each word of the dictionary, part and class at most
-    rows = labelled.select("judged", F.explode("words").alias("w")).groupBy("w", "judged").count().collect()
-    counts = {"allow": {}, "block": {}}
-    for r in rows:
-        counts[r["judged"]][r["w"]] = r["count"]
-    vocabulary = counts["allow"].keys() | counts["block"].keys()
-    odds: dict[str, float] = {}
-    start = -1.0
-    if prior.get("allow") and prior.get("block"):
-        start = math.log(prior["block"] / prior["allow"])
-        size = {k: sum(x.values()) + len(vocabulary) + 1 for k, x in counts.items()}
-        for w in vocabulary:
-            odds[w] = math.log((counts["block"].get(w, 0) + 1) / size["block"]) - math.log((counts["allow"].get(w, 0) + 1) / size["allow"])
-    model = context.broadcast((start, odds))
+    judged = stored(judged.withColumn("_row", F.monotonically_increasing_id()))
+    judged = stored(url_words(judged, pages))
+    model = pages.sparkSession.sparkContext.broadcast(fit_bayes(judged.filter("judged IS NOT NULL"), sample))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, odds = model.value
@@ -144,6 +180,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dict
             scores = [start + sum(odds.get(w, 0.0) for w in words) for words in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "block_score"])
 
+    judged = judged.drop("_row", "url")
     scored = judged.mapInArrow(score, schema_with(judged, "block_score", DoubleType()))
     verdict = F.coalesce("judged", F.when(F.col("block_score") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "words", "block_score")
