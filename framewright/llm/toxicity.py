@@ -1,12 +1,14 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms are the distinct lower-case words of a text and the first 4, 5, 6 and 8 bytes of longer ones, hashed to ``2**BITS``
-slots. The machine gives each kept slot a weight and a vector; each pair of terms in a text adds the product of their
+slots. The machine gives each slot that stays a weight and a vector; each pair of terms in a text adds the product of their
 vectors, so that two terms that are harmless alone can count together.
 
 It is fitted on a bounded sample of labelled rows: at most ``SAMPLE`` rows of each class, by a hash of doc_id, each text
-once. The ``KEPT`` slots with the most significant difference between the classes are kept. Fitting is deterministic. All
-documents are scored in tasks, whole texts.
+once. All slots stay whose classes differ beyond chance (likelihood ratio of ``TELLING`` or more), and besides both slots of
+each pair that together tell more than their sum (``TELLING_PAIR`` standard errors), neutral alone or not. Pairs are counted
+among the ``PAIRED`` most frequent slots of the sample, which bounds that test; nothing else is cut. Fitting is
+deterministic. All documents are scored in tasks, whole texts.
 
 Edge cases: null and empty texts have no terms and get the bias alone; without labelled rows, or with one class only, every
 score is that class's share (0 without rows); rows without doc_id are scored and not learnt from; repeated rows are scored
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import stored
@@ -28,8 +30,8 @@ from .words import ALNUM, slices, split
 BITS = 24
 PREFIXES = (4, 5, 6, 8)
 SAMPLE = 10_000
-KEPT = 1024
-LEAST_TEXTS = 6
+TELLING, TELLING_PAIR = 18.0, 6.0
+PAIRED = 2048
 FACTORS = 8
 EPOCHS = 30
 BATCH = 256
@@ -45,8 +47,15 @@ def term_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return (both & np.uint64((1 << BITS) - 1)).astype(np.int64), first
 
 
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of each text's rows."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
+
+
 class FactorizationMachine:
-    """Logistic, second order; ``slots`` are the kept ones in order."""
+    """Logistic, second order; ``slots`` are those that stay, in order. Texts are lists of places in ``slots``."""
 
     def __init__(self, slots: np.ndarray, bias: float = 0.0):
         random = np.random.default_rng(7)
@@ -54,42 +63,68 @@ class FactorizationMachine:
         self.weights = np.zeros(len(slots))
         self.vectors = random.normal(0, 0.02, (len(slots), FACTORS))
 
-    def rows(self, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Texts by kept slots, 0 or 1."""
-        dense = np.zeros((len(first) - 1, len(self.slots)), np.float32)
-        if len(self.slots):
-            at = np.minimum(np.searchsorted(self.slots, slots), len(self.slots) - 1)
-            known = self.slots[at] == slots
-            dense[np.repeat(np.arange(len(first) - 1), np.diff(first))[known], at[known]] = 1
-        return dense
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        sums = x @ self.vectors
-        pairs = 0.5 * ((sums**2).sum(axis=1) - x @ (self.vectors**2).sum(axis=1))
-        z = self.bias + x @ self.weights + pairs
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-    def fit(self, x: np.ndarray, y: np.ndarray, rate: float = 0.05, decay: float = 1e-3) -> None:
+    def places(self, slots: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, offsets): the slots of each text that stay."""
+        if not len(self.slots):
+            return np.empty(0, np.int64), np.zeros_like(first)
+        at = np.minimum(np.searchsorted(self.slots, slots), len(self.slots) - 1)
+        known = self.slots[at] == slots
+        return at[known], np.concatenate([[0], np.cumsum(known)])[first]
+
+    def _parts(self, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        vectors = self.vectors[at]
+        sums = _sums(vectors, first)
+        pairs = 0.5 * ((sums**2).sum(axis=1) - _sums((vectors**2).sum(axis=1), first))
+        z = self.bias + _sums(self.weights[at], first) + pairs
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40))), sums
+
+    def score(self, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return self._parts(at, first)[0]
+
+    def fit(self, at: np.ndarray, first: np.ndarray, y: np.ndarray, rate: float = 0.05, decay: float = 1e-3) -> None:
         """Adagrad over shuffled batches."""
         random = np.random.default_rng(11)
         squares = [np.full_like(self.weights, 1e-8), np.full_like(self.vectors, 1e-8), 1e-8]
+        sizes = np.diff(first)
         for _ in range(EPOCHS):
             order = random.permutation(len(y))
             for start in range(0, len(y), BATCH):
                 part = order[start : start + BATCH]
-                xb = x[part].astype(np.float64)
-                sums = xb @ self.vectors
-                error = (self.score(xb) - y[part]) / len(part)
+                ends = np.concatenate([[0], np.cumsum(sizes[part])])
+                own = at[np.repeat(first[part] - ends[:-1], sizes[part]) + np.arange(ends[-1])]
+                score, sums = self._parts(own, ends)
+                error = (score - y[part]) / len(part)
+                of = np.repeat(error, sizes[part])
+                kinds, place = np.unique(own, return_inverse=True)
+                slope = np.bincount(place, of, len(kinds))
+                turn = of[:, None] * np.repeat(sums, sizes[part], axis=0)
+                turn = np.stack([np.bincount(place, turn[:, k], len(kinds)) for k in range(FACTORS)], axis=1)
                 steps = [
-                    xb.T @ error + decay * self.weights,
-                    xb.T @ (error[:, None] * sums) - (xb.T @ error)[:, None] * self.vectors + decay * self.vectors,
-                    error.sum(),
+                    slope + decay * self.weights[kinds],
+                    turn - slope[:, None] * self.vectors[kinds] + decay * self.vectors[kinds],
                 ]
-                for k, step in enumerate(steps):
-                    squares[k] = squares[k] + step**2
-                self.weights -= rate * steps[0] / np.sqrt(squares[0])
-                self.vectors -= rate * steps[1] / np.sqrt(squares[1])
-                self.bias -= rate * steps[2] / np.sqrt(squares[2])
+                for values, square, step in zip((self.weights, self.vectors), squares, steps, strict=False):
+                    square[kinds] += step**2
+                    values[kinds] -= rate * step / np.sqrt(square[kinds])
+                squares[2] += error.sum() ** 2
+                self.bias -= rate * error.sum() / np.sqrt(squares[2])
+
+
+def telling_pairs(slots: np.ndarray, at: np.ndarray, first: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slots of pairs whose texts' classes differ from what both slots add up to. ``at``: places of each text in ``slots``."""
+    both, toxic = np.zeros((2, len(slots), len(slots)), np.float32)
+    for start in range(0, len(y), 1024):
+        stop = min(start + 1024, len(y))
+        dense = np.zeros((stop - start, len(slots)), np.float32)
+        dense[np.repeat(np.arange(stop - start), np.diff(first[start : stop + 1])), at[first[start] : first[stop]]] = 1
+        both += dense.T @ dense
+        toxic += (dense * y[start:stop, None].astype(np.float32)).T @ dense
+    alone = np.maximum(np.diag(both), 1)
+    share = np.diag(toxic) / alone
+    expected = np.clip(share[:, None] + share[None, :] - y.mean(), 0.01, 0.99)
+    apart = both < 0.95 * np.minimum(alone[:, None], alone[None, :])  # not a word and its own prefix
+    z = np.abs(toxic - both * expected) / np.sqrt(np.maximum(both, 1) * expected * (1 - expected))
+    return slots[np.any(apart & (z >= TELLING_PAIR), axis=1)]
 
 
 def _slot_counts(sample: DataFrame) -> DataFrame:
@@ -108,11 +143,10 @@ def _slot_counts(sample: DataFrame) -> DataFrame:
     return counts.agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def most_telling(sample: DataFrame, share: float) -> np.ndarray:
-    """The slots whose share of texts differs most between the classes, in standard errors."""
-    z = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    kept = _slot_counts(sample).filter(F.col("n") >= LEAST_TEXTS).orderBy(z.desc(), "slot").limit(KEPT)
-    return np.sort(kept.select("slot").toPandas()["slot"].to_numpy(np.int64))
+def likelihood_ratio(n: Column, toxic: Column, share: float) -> Column:
+    """Twice the log of how much likelier the toxic share of a slot's texts is than that of all."""
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+    return 2 * (part(toxic, share) + part(n - toxic, 1 - share))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> FactorizationMachine:
@@ -126,8 +160,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", sample:
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
     if toxic in (0, n):
         return FactorizationMachine(np.empty(0, np.int64), 40.0 if n and toxic == n else -40.0)
-    kept = most_telling(rows, toxic / n)
-    shared = docs.sparkSession.sparkContext.broadcast(kept)
+    share = toxic / n
+    counts = stored(_slot_counts(rows))
+    telling = counts.filter(likelihood_ratio(F.col("n"), F.col("toxic"), share) >= TELLING)
+    frequent = counts.orderBy(F.desc("n"), "slot").limit(PAIRED)
+    telling, frequent = (np.sort(x.select("slot").toPandas()["slot"].to_numpy(np.int64)) for x in (telling, frequent))
+    shared = docs.sparkSession.sparkContext.broadcast(np.union1d(telling, frequent))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,16 +173,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", sample:
                 slots, first = term_slots(data, offsets)
                 known = np.isin(slots, shared.value)
                 first = np.concatenate([[0], np.cumsum(known)])[first]
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(slots[known]))
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(slots[known].astype(np.int32)))
                 part = [batch.column(c).slice(row, len(offsets) - 1) for c in ("doc_id", "toxic")]
                 yield pa.RecordBatch.from_arrays([*part, lists], ["doc_id", "toxic", "slots"])
 
-    found = rows.mapInArrow(terms, "doc_id long, toxic double, slots array<long>").orderBy("doc_id").toPandas()
-    first = np.concatenate([[0], np.cumsum(found["slots"].map(len).to_numpy())]).astype(np.int64)
-    flat = np.concatenate(found["slots"].to_list()).astype(np.int64)
-    y = found["toxic"].to_numpy()
-    machine = FactorizationMachine(kept, float(np.log(y.mean() / (1 - y.mean()))))
-    machine.fit(machine.rows(flat, first), y)
+    found = rows.mapInArrow(terms, "doc_id long, toxic double, slots array<int>").orderBy("doc_id").toArrow()
+    lists = found.column("slots").combine_chunks()
+    flat, first = lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    y = found.column("toxic").to_numpy()
+    bias = float(np.log(y.mean() / (1 - y.mean())))
+    pairs = telling_pairs(frequent, *FactorizationMachine(frequent).places(flat, first), y)
+    machine = FactorizationMachine(np.union1d(telling, pairs), bias)
+    machine.fit(*machine.places(flat, first), y)
     return machine
 
 
@@ -156,7 +196,7 @@ def score_toxicity(docs: DataFrame, machine: FactorizationMachine, text: str = "
         machine = shared.value
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
-                scores = machine.score(machine.rows(*term_slots(data, offsets)))
+                scores = machine.score(*machine.places(*term_slots(data, offsets)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(scores)), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     plain = docs.select("doc_id", F.col(text).cast("string").alias("text"))
