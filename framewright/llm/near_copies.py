@@ -5,18 +5,23 @@ Two documents link if |A & B| * 100 >= percent * |A | B|. Every link is found, b
 known to be connected are not spelled out, so no quadratic list of pairs of copies is made:
 
 1. One document stands for all with the same set.
-2. All documents use one order of shingles: rare ones first by hash, then the ``FREQUENT`` most frequent by count. A link's
-   smallest common shingle lies in the first n - ceil(percent n / 100) + 1 shingles of both (their prefixes), and from
-   there on both must have enough shingles left. With frequent shingles last, copies of one text share prefix shingles
-   only if they differ little.
-3. Groups: the documents that share a prefix shingle are compared with the one of them that holds most frequent shingles
-   (for a family of copies, the one nearest to the original). Linked ones form a group; groups are connected further.
+2. All documents use one order of shingles: rare ones first by hash, then the ``FREQUENT`` most frequent by count. With
+   t = percent / 100, a link's smallest common shingle lies in the first n - ceil(t n) + 1 shingles of both (their
+   prefixes). More: if a's prefix ends first, then all but ceil(t n_a) - 1 shingles of the overlap lie in both prefixes, so
+   a link has at least ``least_shared`` prefix shingles in common. Shingles in one document's prefix only are dropped.
+3. Groups: each document is compared with the one document that leads most of its prefix shingles (the lead of a shingle
+   is, of the documents that have it, the one with the largest share of shared shingles; for a family of copies the one
+   nearest to the original). Linked ones are connected to groups.
 4. Token-group matrix: for each group the union of its members' prefix shingles, with their least and greatest sizes. Each
-   document is a query against the groups it isn't in: its sizes and the place of the shared shingle bound the greatest
-   overlap with any member, and only groups that the bound leaves are opened and their members compared.
+   document is a query against the groups it isn't in: the shingles of its prefix that lie in the union are counted, which
+   bounds what it shares with any member, and only groups that reach the least count of a link are opened.
+5. An opened group's members are held in blocks of ``BLOCK`` members. In a block the query's overlap with the union of
+   the members' whole sets is counted, and only if that could be a link, the members are compared one by one, up to the
+   first link: the group is connected, so one is enough.
 
 A task gathers the documents of a shingle of about ``CHUNK`` shingles into one row before the shuffle, so that one shingle
-that is in a third of all documents has no more than a row for each such chunk.
+that is in a third of all documents has no more than a row for each such chunk. Blocks are dealt out by group, block of
+members and block of queries, so that neither side of a large group meets in one task, and a text goes once to each block.
 
 Edge cases: null and empty texts have the empty set and link with nothing; documents without doc_id link with nothing and
 have no component; repeated rows have equal results; texts of any length are whole; an empty table stays empty.
@@ -31,11 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import Chunks, shared_keys
 from .store import stored
 from .texts import packed, unpacked
 from .words import NON_SPACE, mix, slices, split, windows
 
 CHUNK = 1 << 20
+#: Members and queries that meet in a block.
+BLOCK, QUERIES = 64, 4096
 #: Shingles in at least LEAST documents, at most FREQUENT of them, stand last in the order.
 LEAST, FREQUENT = 24, 1 << 18
 
@@ -108,87 +116,111 @@ def frequent_shingles(docs: DataFrame, k: int = 4, text: str = "text") -> np.nda
 
 
 def prefix_shingles(docs: DataFrame, frequent: np.ndarray, k: int = 4, percent: int = 85, text: str = "text") -> DataFrame:
-    """(token, docs): prefix shingles and documents, an array of (common, doc_id, n, place) for each chunk of a task."""
+    """(token, doc, docs): prefix shingles and a document, or the least of several and an array of all, chunk by chunk."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
-        held, n = [], 0
-
-        def gathered() -> pa.RecordBatch:
-            tokens, common, ids, sizes, places = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.argsort(tokens, kind="stable")
-            keys, first = np.unique(tokens[by], return_index=True)
-            names = ["common", "doc_id", "n", "place"]
-            values = pa.StructArray.from_arrays([pa.array(x[by]) for x in (common, ids, sizes, places)], names)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(by)).astype(np.int32)), values)
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), lists], ["token", "docs"])
-
+        chunks = Chunks("token", CHUNK)
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
                 tokens, first = shingle_sets(data, offsets, k)
                 sizes = np.diff(first)
                 text_of = np.repeat(np.arange(len(sizes)), sizes)
                 key = tokens & np.uint64((1 << 63) - 1)
-                common = np.zeros(len(tokens), bool)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    common = known[at] == tokens
-                    key = np.where(common, rank[at] | np.uint64(1 << 63), key)
+                    key = np.where(known[at] == tokens, rank[at] | np.uint64(1 << 63), key)
                 by = np.lexsort((key, text_of))
                 place = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
-                limit = sizes - -(-sizes * percent // 100) + 1
-                take = place < np.repeat(limit, sizes)
-                share = _sums(common.astype(np.uint64), first).astype(np.int64) * 1000 // np.maximum(sizes, 1)
-                ids = batch.column("doc_id").slice(row, len(sizes)).to_numpy(zero_copy_only=False)
-                of = text_of[take]
-                held.append((tokens[by][take], share[of].astype(np.int32), ids[of].astype(np.int64), sizes[of].astype(np.int32), place[take].astype(np.int32)))
-                n += len(tokens)
-                if n >= CHUNK:
-                    yield gathered()
-                    held, n = [], 0
-        if n:
-            yield gathered()
+                take = place < np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes)
+                ids = batch.column("doc_id").slice(row, len(sizes)).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield from chunks.add(tokens[by][take], ids[text_of[take]], len(tokens))
+        yield from chunks.flush()
 
-    kind = "token long, docs array<struct<common: int, doc_id: long, n: int, place: int>>"
-    return _plain(docs, text).filter("doc_id IS NOT NULL").mapInArrow(run, kind)
+    return _plain(docs, text).filter("doc_id IS NOT NULL").mapInArrow(run, "token long, doc long, docs array<long>")
 
 
-def _needed(n: Column, m: Column, percent: int) -> Column:
-    """The least overlap of two linked sets of these sizes."""
-    return F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+def _part(n: Column, percent: int) -> Column:
+    return F.ceil(n * percent / 100 - 1e-9)
 
 
-def _may_link(n: Column, place: Column, m: Column, at: Column, percent: int) -> Column:
-    """Length and positional filters for sizes n and m, the shared shingle standing at these places."""
-    sizes = (n * 100 >= m * percent) & (m * 100 >= n * percent)
-    return sizes & (F.least(n - place, m - at) >= _needed(n, m, percent))
+def least_shared(n: Column, m: Column, percent: int) -> Column:
+    """The least number of prefix shingles that two linked sets of sizes n and m have in common."""
+    overlap = F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+    return F.greatest(overlap - F.greatest(_part(n, percent), _part(m, percent)) + 1, F.lit(1))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. ``texts``: doc_id and packed text."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("pa")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("pb")), "b").select("a", "b", "pa", "pb")
+def compared(members: DataFrame, queries: DataFrame, texts: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
+    """Links (a, b) of queries a with members b of their groups: all, or the first in each block. ``members``/``queries``:
+    grp and doc_id; ``texts``: doc_id and packed text."""
+    sides = [x.groupBy("grp").agg(F.count("*").alias(n)) for x, n in ((members, "m"), (queries, "q"))]
+    sizes = sides[0].join(sides[1], "grp").select("grp", F.ceil(F.col("m") / BLOCK).alias("mp"), F.ceil(F.col("q") / QUERIES).alias("qp"))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = members.join(sizes, "grp").select("grp", own(F.col("mp")).alias("block"), each("qp").alias("turn"), F.lit(0).alias("side"), "doc_id")
+    right = queries.join(sizes, "grp").select("grp", each("mp").alias("block"), own(F.col("qp")).alias("turn"), F.lit(1).alias("side"), "doc_id")
+    rows = left.union(right).join(texts, "doc_id").repartition("grp", "block", "turn").sortWithinPartitions("grp", "block", "turn", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, Block(percent)
         for batch in batches:
             for row in range(0, len(batch), 256):
                 part = batch.slice(row, 256)
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                blobs = dict(zip(a, part.column("pa").to_pylist(), strict=True)) | dict(zip(b, part.column("pb").to_pylist(), strict=True))
-                sets = {}
-                for at, data, offsets in slices(unpacked(list(blobs.values()))):
+                keys = list(zip(*(part.column(c).to_pylist() for c in ("grp", "block", "turn")), strict=True))
+                sides, ids = part.column("side").to_pylist(), part.column("doc_id").to_pylist()
+                links: tuple[list[int], list[int]] = ([], [])
+                for at, data, offsets in slices(unpacked(part.column("packed").to_pylist())):
                     tokens, first = shingle_sets(data, offsets, k)
-                    for i, doc in enumerate(list(blobs)[at : at + len(offsets) - 1]):
-                        sets[doc] = tokens[first[i] : first[i + 1]]
-                same = []
-                for x, y in zip(a, b, strict=True):
-                    n = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    same.append(100 * n >= percent * (len(sets[x]) + len(sets[y]) - n))
-                yield part.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+                    for i in range(len(offsets) - 1):
+                        if keys[at + i] != key:
+                            key, block = keys[at + i], Block(percent)
+                        own = tokens[first[i] : first[i + 1]]
+                        if sides[at + i] == 0:
+                            block.add(ids[at + i], own)
+                            continue
+                        for other in block.links(ids[at + i], own, every):
+                            links[0].append(ids[at + i])
+                            links[1].append(other)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+class Block:
+    """Members of a group: their sets, and the union of these."""
+
+    def __init__(self, percent: int):
+        self.percent, self.ids, self.sets, self.union = percent, [], [], None
+
+    def add(self, doc: int, tokens: np.ndarray) -> None:
+        # a copy: the slice would hold its whole batch
+        self.ids.append(doc)
+        self.sets.append(tokens.copy())
+
+    def links(self, doc: int, tokens: np.ndarray, every: bool) -> Iterator[int]:
+        if not self.sets:
+            return
+        if self.union is None:
+            self.union, self.least = np.unique(np.concatenate(self.sets)), min(map(len, self.sets))
+            self.place = np.concatenate([np.searchsorted(self.union, x) for x in self.sets])
+            self.member = np.repeat(np.arange(len(self.sets)), list(map(len, self.sets)))
+            self.sizes = np.array(list(map(len, self.sets)))
+        at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        known = at[self.union[at] == tokens]
+        # no member can hold more of the query than the union does
+        if len(known) * (100 + self.percent) < self.percent * (len(tokens) + max(self.least, -(-len(tokens) * self.percent // 100))):
+            return
+        inside = np.zeros(len(self.union), bool)
+        inside[known] = True
+        shared = np.bincount(self.member[inside[self.place]], minlength=len(self.sets))
+        linked = np.flatnonzero(100 * shared >= self.percent * (self.sizes + len(tokens) - shared))
+        for i in linked.tolist():
+            if self.ids[i] != doc:
+                yield self.ids[i]
+                if not every:
+                    return
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,7 +244,7 @@ def near_copy_groups(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     # stored, so that Spark can split a hot set's rows in the join
     same = stored(sizes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
     of_rep = stored(sizes.filter("doc_id IS NOT NULL").join(same, ["n", "a", "b"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).distinct())
-    links = near_copy_links(docs, of_rep.filter("doc_id = rep").select("doc_id"), k, percent)
+    links = near_copy_links(docs, of_rep.filter("doc_id = rep").select("doc_id", "n"), k, percent)
     groups = components(links)
     groups = groups.select(F.col("doc_id").alias("rep"), "component")
     found = of_rep.join(groups, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
@@ -220,30 +252,32 @@ def near_copy_groups(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
 
 
 def near_copy_links(docs: DataFrame, reps: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """Links (a, b) among ``reps`` (documents with different sets) that connect all that are connected."""
-    lists = prefix_shingles(docs, frequent_shingles(docs, k), k, percent)
-    of_token = Window.partitionBy("token")
-    lead = F.max(F.array_max(F.transform("docs", lambda d: F.struct(d["common"], -d["doc_id"], d["n"], d["place"])))).over(of_token)
-    rows = lists.select("token", "docs", lead.alias("lead"), F.sum(F.size("docs")).over(of_token).alias("many"))
-    rows = rows.filter("many > 1").select("token", "lead", F.explode("docs").alias("d"))
-    rows = rows.select("token", "d.doc_id", "d.n", "d.place", (-F.col("lead")["col2"]).alias("lead"), F.col("lead")["n"].alias("lead_n"), F.col("lead")["place"].alias("lead_place"))
-    rows = stored(rows.join(reps, "doc_id", "left_semi"))
-    texts = stored(packed(docs).join(rows.select("doc_id").distinct(), "doc_id", "left_semi"))
-
-    near = _may_link(F.col("n"), F.col("place"), F.col("lead_n"), F.col("lead_place"), percent)
-    pairs = rows.filter((F.col("doc_id") != F.col("lead")) & near).select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    stars = stored(verified(pairs, texts, k, percent))
-    groups = components(stars)
-
-    members = stored(rows.select("token", "doc_id", "n", "place").join(groups, "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id")).drop("component"))
-    matrix = members.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("size"))
-    query = members.select("token", "doc_id", "n", "place", F.col("grp").alias("own"))
-    other = F.greatest("least", F.ceil(F.col("n") * percent / 100 - 1e-9))
-    bound = (F.col("least") * percent <= F.col("n") * 100) & (F.col("most") * 100 >= F.col("n") * percent)
-    bound = bound & (F.least(F.col("n") - F.col("place"), F.col("most")) >= _needed(F.col("n"), other, percent))
+    """Links (a, b) among ``reps`` (doc_id and n of documents with different sets) that connect all that are connected."""
+    rows = shared_keys(prefix_shingles(docs, frequent_shingles(docs, k), k, percent), "token").select("token", "doc_id")
+    share = F.count("*").over(Window.partitionBy("doc_id")) / (F.col("n") - _part(F.col("n"), percent) + 1)
+    rows = stored(rows.join(reps, "doc_id").select("token", "doc_id", F.col("n").cast("int").alias("n"), F.floor(1000 * share).cast("int").alias("share")))
+    texts = packed(docs)
+
+    leads = rows.groupBy("token").agg(F.max(F.struct("share", (-F.col("doc_id")).alias("lead"))).alias("lead"), F.count("*").alias("many")).filter("many > 1")
+    led = rows.join(leads.select("token", (-F.col("lead.lead")).alias("grp")), "token").filter("grp <> doc_id")
+    led = led.groupBy("doc_id", "n", "grp").agg(F.count("*").alias("shared"))
+    best = led.groupBy("doc_id", "n").agg(F.max(F.struct("shared", (-F.col("grp")).alias("grp"))).alias("best"))
+    # a lead with too few shingles in common can't be linked but to a set of another size; step 4 finds those
+    near = F.col("best.shared") >= least_shared(F.col("n"), F.col("n"), percent)
+    stars = stored(best.filter(near).select((-F.col("best.grp")).alias("grp"), "doc_id"))
+    linked = stored(compared(stars, stars.select("grp", F.col("grp").alias("doc_id")).distinct(), texts, k, percent, True))
+    groups = components(linked)
+
+    members = rows.join(groups, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("grp"))
+    members = stored(members)
+    of_group = members.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = members.select("token", "grp").distinct()
+    query = members.select("token", "doc_id", "n", F.col("grp").alias("own"))
     # a pair of groups is opened from its later one
-    opened = query.join(matrix, "token").filter((F.col("grp") < F.col("own")) & bound)
-    opened = opened.select("token", "grp", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"))
-    near = _may_link(F.col("n"), F.col("place"), F.col("an"), F.col("ap"), percent)
-    pairs = opened.join(members, ["token", "grp"]).filter(near).select("a", F.col("doc_id").alias("b")).distinct()
-    return stars.union(verified(pairs, texts, k, percent))
+    counted = query.join(matrix, "token").filter(F.col("grp") < F.col("own")).groupBy("doc_id", "n", "grp").agg(F.count("*").alias("shared"))
+    n, small, large = F.col("n"), F.greatest("least", _part(F.col("n"), percent)), F.least("most", F.floor(F.col("n") * 100 / percent + 1e-9))
+    # the least count falls from n on, and rises up to it
+    need = F.least(least_shared(n, small, percent), least_shared(n, large, percent))
+    opened = stored(counted.join(of_group, "grp").filter((small <= large) & (F.col("shared") >= need)).select("grp", "doc_id"))
+    inside = members.select("grp", "doc_id").distinct().join(opened.select("grp").distinct(), "grp", "left_semi")
+    return linked.union(compared(inside, opened, texts, k, percent, False))

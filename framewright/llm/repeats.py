@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import Chunks, shared_keys
 from .store import stored
 from .texts import packed, unpacked
 from .words import NON_SPACE, Words, covered, mix, slices, split
@@ -66,57 +67,10 @@ def _windows(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.nda
     return at, text[at], least
 
 
-def _gathered(keys: np.ndarray, docs: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
-    """A row for each key: its only document, or the least one and an array of all. Rows of one document stand together."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    keys, docs = keys[new].astype(np.int64), docs[new]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(first, len(keys)))
-    one = first[sizes == 1]
-    one = one[np.argsort(docs[one], kind="stable")]
-    none = pa.nulls(len(one), pa.list_(pa.int64()))
-    yield pa.RecordBatch.from_arrays([pa.array(keys[one]), pa.array(docs[one]), none], [name, "doc", "docs"])
-    more = np.repeat(sizes > 1, sizes)
-    ends = np.concatenate([[0], np.cumsum(sizes[sizes > 1])]).astype(np.int32)
-    many = first[sizes > 1]
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(docs[more]))
-    yield pa.RecordBatch.from_arrays([pa.array(keys[many]), pa.array(docs[many]), lists], [name, "doc", "docs"])
-
-
 def _ids(batch: pa.RecordBatch, row: int, n: int) -> np.ndarray:
     return pc.fill_null(batch.column("doc_id").slice(row, n), _LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-class _Chunks:
-    """Rows of (key, document) held until there are enough words for a gathered batch."""
-
-    def __init__(self, name: str):
-        self.name, self.keys, self.docs, self.words = name, [], [], 0
-
-    def add(self, keys: np.ndarray, docs: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
-        self.keys.append(keys)
-        self.docs.append(docs)
-        self.words += words
-        if self.words >= CHUNK_WORDS:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.keys and sum(map(len, self.keys)):
-            yield from _gathered(np.concatenate(self.keys), np.concatenate(self.docs), self.name)
-        self.keys, self.docs, self.words = [], [], 0
-
-
-def _shared_keys(rows: DataFrame, key: str) -> DataFrame:
-    """(doc_id, key, lo) of the keys that two documents or more have; ``lo``: the smallest of them."""
-    of_key = Window.partitionBy(key)
-    last = F.coalesce(F.element_at("docs", -1), "doc")
-    both = rows.select(key, "doc", "docs", F.min("doc").over(of_key).alias("lo"), F.max(last).over(of_key).alias("hi"))
-    return both.filter("lo < hi").select(F.explode(F.coalesce("docs", F.array("doc"))).alias("doc_id"), key, "lo")
-
-
 def _with_ids(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -162,7 +116,7 @@ def recurring_windows(docs: DataFrame, copies: DataFrame, window: int = 13, anch
     plain = _with_ids(docs, text)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks("anchor")
+        chunks = Chunks("anchor", CHUNK_WORDS)
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
                 words = split(data, offsets, NON_SPACE, lower=False)
@@ -172,12 +126,12 @@ def recurring_windows(docs: DataFrame, copies: DataFrame, window: int = 13, anch
                 yield from chunks.add(least[new], _ids(batch, row, len(offsets) - 1)[of[new]], len(words.hashes))
         yield from chunks.flush()
 
-    found = _shared_keys(plain.mapInArrow(anchors, "anchor long, doc long, docs array<long>"), "anchor")
+    found = shared_keys(plain.mapInArrow(anchors, "anchor long, doc long, docs array<long>"), "anchor")
     found = found.join(copies.filter("only").select("doc_id"), "doc_id", "left_anti")
     found = found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks("win")
+        chunks = Chunks("win", CHUNK_WORDS)
         for batch in batches:
             values, ends = _lists(batch.column("anchors"))
             values = values.to_numpy(zero_copy_only=False).astype(np.uint64)
@@ -195,7 +149,7 @@ def recurring_windows(docs: DataFrame, copies: DataFrame, window: int = 13, anch
         yield from chunks.flush()
 
     joined = packed(plain).join(found, "doc_id")
-    return _shared_keys(joined.mapInArrow(candidates, "win long, doc long, docs array<long>"), "win").filter("lo < doc_id")
+    return shared_keys(joined.mapInArrow(candidates, "win long, doc long, docs array<long>"), "win").filter("lo < doc_id")
 
 
 def _symbols(codes: np.ndarray) -> str:
