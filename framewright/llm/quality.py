@@ -35,7 +35,9 @@ RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def _line_fails(line: Column, boilerplate_words: int, unpunctuated_words: int) -> Column:
-    n = F.regexp_count(line, F.lit(WORD))
+    # words; in a line whose only blanks are single spaces between words, one more than the spaces
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    n = F.when(line.rlike(r"[\x09-\x0D]|^ |  | $|^$"), F.regexp_count(line, F.lit(WORD))).otherwise(spaces + 1)
     bars = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
     symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>]+"))
     phrase = line.rlike("(?i)" + "|".join(BOILERPLATE))
@@ -49,14 +51,18 @@ def _line_fails(line: Column, boilerplate_words: int, unpunctuated_words: int) -
 
 
 _N = "greatest(size(_words) - 2, 0)"
-#: 3-word windows with their places, equal ones together; the hash only makes most comparisons short.
+#: 3-word windows, by the upper bits of their hash, with their place in the lower bits that places of this text need.
 _WINDOWS = f"arrays_zip(slice(_words, 1, {_N}), slice(_words, 2, {_N}), slice(_words, 3, {_N}))"
-_SORTED = f"sort_array(transform({_WINDOWS}, (w, i) -> struct(xxhash64(w) AS h, w AS w, i AS i)))"
-_SAME = "(k > 0 AND s[k - 1].h = x.h AND s[k - 1].w = x.w) OR (k + 1 < size(s) AND s[k + 1].h = x.h AND s[k + 1].w = x.w)"
-#: Words inside windows that stand twice or more; ``s`` is bound to the sorted windows once.
+_MASK = "(shiftleft(1L, length(bin(size(_words)))) - 1)"
+_PACKED = f"sort_array(transform({_WINDOWS}, (w, i) -> (xxhash64(w) & ~m) | i))"
+#: Places of windows that share the hash's bits with another; then, by their words, those that do stand twice or more.
+_MAYBE = "transform(filter(s, (x, k) -> (k > 0 AND (s[k - 1] ^ x) & ~m = 0) OR (k + 1 < size(s) AND (s[k + 1] ^ x) & ~m = 0)), x -> cast(x & m AS int))"
+_BY_WORDS = f"sort_array(transform({_MAYBE}, i -> struct(struct(_words[i], _words[i + 1], _words[i + 2]) AS w, i AS i)))"
+_TWICE = "filter(t, (x, k) -> (k > 0 AND t[k - 1].w = x.w) OR (k + 1 < size(t) AND t[k + 1].w = x.w))"
+#: Words inside them. Each transform over one element binds a name.
 _REPEAT_WORDS = (
-    f"transform(array({_SORTED}), s -> size(array_distinct(flatten(transform(filter(s, (x, k) -> {_SAME}), "
-    "x -> array(x.i, x.i + 1, x.i + 2))))))[0]"
+    f"transform(transform(transform(array({_MASK}), m -> transform(array({_PACKED}), s -> {_BY_WORDS})[0]), t -> {_TWICE}), "
+    "r -> size(array_distinct(flatten(transform(r, x -> array(x.i, x.i + 1, x.i + 2))))))[0]"
 )
 
 
