@@ -1,26 +1,27 @@
 """Removal of passages that repeat across documents, located by sharded Aho-Corasick automata.
 
 A passage is a window of ``window`` consecutive words (not blank, unchanged). A word goes if it is covered by a window that
-also starts in a document with a smaller doc_id. A document whose words are all
-those of a smaller one goes whole, and takes no part in what follows. Three steps for the others:
+also starts in a document with a smaller doc_id. Of equal texts the one with the smallest doc_id stands for all: its copies go
+whole, and take no part in what follows. Three steps for the others:
 
 1. Anchors. Each window has one anchor: of its runs of ``anchor`` words the one with the least hash. Equal windows have
    equal anchors, and neighbouring windows mostly share one, so only about a fifth as many anchors as words are
    shuffled. Anchors that a single document has are dropped, and with them nearly all windows.
 2. Confirmation. The windows of the anchors left are shuffled; those of two documents or more are recurring passages, each
    with the smallest document that has it.
-3. Location. Every document is streamed through an automaton: documents go through in shards of about ``SHARD_WORDS``
-   words, for each of which the confirmed passages that can occur in it are compiled, each by its anchor phrase (word by
-   word, a word being one symbol). Every occurrence of a phrase is found, and the windows around it that are confirmed
-   passages of a smaller document are removed.
+3. Location. Documents go through in shards of about ``SHARD_WORDS`` words. The confirmed passages that a join by document
+   says may occur in a shard are compiled, word by word (a word is one symbol), into automata of at most ``PATTERNS``
+   passages; every document of the shard is streamed through each. The places that an automaton reports, and nothing else,
+   decide: a reported passage of a smaller document is removed.
 
-One key may be in a third of all documents: each task first gathers an anchor's or a window's documents of about
-``CHUNK_WORDS`` words into one row, so a key has at most a row for each such chunk, of bounded size. Windows are known by
-64-bit hashes, phrases in the automaton by their words.
+One key may be in a third of all documents: each task first gathers a key's documents of about ``CHUNK_WORDS`` words into
+one row, so a key has at most a row for each such chunk, of bounded size. Candidates are known by 64-bit hashes; a word's
+symbol stands for its 64-bit hash.
 
 Edge cases: null and empty texts have no words and stay empty; texts shorter than a window lose nothing; documents without
-doc_id count as greater than all others; rows with the same doc_id do not take words from each other and are each returned;
-texts of any length are whole; an empty table stays empty; other columns are dropped.
+doc_id are not smaller or greater than any other, lose nothing and take nothing; rows with the same doc_id do not take
+words from each other and are each returned; texts of any length are whole; an empty table stays empty; other columns are
+dropped.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunks, shared_keys
@@ -41,7 +42,7 @@ from .words import NON_SPACE, Words, covered, mix, slices, split
 
 CHUNK_WORDS = 1 << 20
 SHARD_WORDS = 300_000
-_LAST = (1 << 63) - 1
+PATTERNS = 50_000
 
 
 def _runs(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -68,11 +69,11 @@ def _windows(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.nda
 
 
 def _ids(batch: pa.RecordBatch, row: int, n: int) -> np.ndarray:
-    return pc.fill_null(batch.column("doc_id").slice(row, n), _LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+    return batch.column("doc_id").slice(row, n).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _with_ids(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _plain(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def _unpacked(batch: pa.RecordBatch, rows: int = 64) -> Iterator[tuple[int, pa.Array]]:
@@ -95,25 +96,23 @@ def _whole(words: Words) -> np.ndarray:
 
 
 def whole_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, wholes, only): hashes of a document's texts that a smaller document has too; only: it has no others."""
+    """(doc_id, wholes): hashes of a document's texts that a smaller document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = Chunks("whole", CHUNK_WORDS)
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
                 words = split(data, offsets, NON_SPACE, lower=False)
-                columns = [batch.column("doc_id").slice(row, len(offsets) - 1), pa.array(_whole(words)), pa.array(words.counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "n"])
+                yield from chunks.add(_whole(words).astype(np.uint64), _ids(batch, row, len(offsets) - 1), len(words.hashes))
+        yield from chunks.flush()
 
-    rows = _with_ids(docs, text).mapInArrow(run, "doc_id long, whole long, n long")
-    first = rows.groupBy("whole", "n").agg(F.min("doc_id").alias("lo"))
-    rows = rows.join(first, ["whole", "n"])
-    copies = rows.groupBy("doc_id").agg(F.collect_set(F.when(F.col("lo") < F.col("doc_id"), F.col("whole"))).alias("wholes"), F.min(F.col("lo") < F.col("doc_id")).alias("only"))
-    return copies.filter(F.size("wholes") > 0)
+    rows = _plain(docs, text).filter("doc_id IS NOT NULL").mapInArrow(run, "whole long, doc long, docs array<long>")
+    return shared_keys(rows, "whole").filter("lo < doc_id").groupBy("doc_id").agg(F.collect_set("whole").alias("wholes"))
 
 
 def recurring_windows(docs: DataFrame, copies: DataFrame, window: int = 13, anchor: int = 5, text: str = "text") -> DataFrame:
     """(doc_id, win, lo): windows of a document, by hash, that the smaller document ``lo`` has too; none of whole copies."""
-    plain = _with_ids(docs, text)
+    plain = _plain(docs, text).filter("doc_id IS NOT NULL")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks("anchor", CHUNK_WORDS)
@@ -127,21 +126,24 @@ def recurring_windows(docs: DataFrame, copies: DataFrame, window: int = 13, anch
         yield from chunks.flush()
 
     found = shared_keys(plain.mapInArrow(anchors, "anchor long, doc long, docs array<long>"), "anchor")
-    found = found.join(copies.filter("only").select("doc_id"), "doc_id", "left_anti")
-    found = found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    found = found.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")).join(copies, "doc_id", "left")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks("win", CHUNK_WORDS)
         for batch in batches:
             values, ends = _lists(batch.column("anchors"))
             values = values.to_numpy(zero_copy_only=False).astype(np.uint64)
+            wholes = batch.column("wholes").to_pylist()
             for start, texts in _unpacked(batch):
                 for row, data, offsets in slices(texts):
                     words = split(data, offsets, NON_SPACE, lower=False)
                     at, of, least = _windows(words, window, anchor)
                     keep = np.zeros(len(at), bool)
                     bounds = np.searchsorted(of, np.arange(len(offsets)))
+                    whole = _whole(words).tolist()
                     for k in range(len(offsets) - 1):
+                        if whole[k] in (wholes[start + row + k] or ()):
+                            continue
                         own = values[ends[start + row + k] : ends[start + row + k + 1]]
                         keep[bounds[k] : bounds[k + 1]] = np.isin(least[bounds[k] : bounds[k + 1]], own)
                     hashes = _runs(words.hashes, window)[at[keep]] if keep.any() else np.empty(0, np.uint64)
@@ -153,41 +155,47 @@ def recurring_windows(docs: DataFrame, copies: DataFrame, window: int = 13, anch
 
 
 def _symbols(codes: np.ndarray) -> str:
-    """One character for each number up to a million; surrogates are left out."""
+    """One character for each number up to 1,112,063; surrogates are left out."""
     return (codes + np.where(codes < 0xD800, 0, 0x800)).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _removed(words: Words, ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], window: int, anchor: int) -> np.ndarray:
-    """Whether each word goes. ``found``: for each text the recurring windows' hashes and smallest documents."""
-    none = np.zeros(len(words.hashes), bool)
+def located(words: Words, passages: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first words, passages) of every occurrence inside one text. ``passages``: first words of one occurrence of each."""
+    places = np.arange(len(words.hashes)) + words.text_of_word()
+    codes = np.zeros(len(words.hashes) + len(words.first), np.int64)
+    word_at = np.zeros(len(codes), np.int64)
+    word_at[places] = np.arange(len(places))
+    for start in range(0, len(passages), PATTERNS):
+        some = passages[start : start + PATTERNS]
+        # a symbol for each word of these passages; 0 stands between texts, 1 for all other words
+        kinds = np.unique(words.hashes[some[:, None] + np.arange(window)])
+        at = np.minimum(np.searchsorted(kinds, words.hashes), len(kinds) - 1)
+        codes[places] = np.where(kinds[at] == words.hashes, at + 2, 1)
+        line = _symbols(codes)
+        automaton = ahocorasick.Automaton()
+        for k, first in enumerate(places[some].tolist(), start):
+            automaton.add_word(line[first : first + window], k)
+        automaton.make_automaton()
+        ends, found = np.array(list(automaton.iter(line)), np.int64).reshape(-1, 2).T
+        yield word_at[ends - window + 1], found
+
+
+def _removed(words: Words, ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], window: int) -> np.ndarray:
+    """Whether each word goes. ``found``: for each text the recurring passages' hashes and smallest documents."""
     if not any(len(x) for x, _ in found):
-        return none
-    at, text, least = _windows(words, window, anchor)
-    hashes = _runs(words.hashes, window)[at].astype(np.int64)
-    wins, first = np.unique(np.concatenate([x for x, _ in found]), return_index=True)
-    lows = np.concatenate([x for _, x in found])[first]
-    place = np.minimum(np.searchsorted(wins, hashes), len(wins) - 1)
-    known = np.flatnonzero(wins[place] == hashes)
-    # the phrases that stand for the passages: one for each anchor
-    _, one = np.unique(least[known], return_index=True)
-    one = known[one]
-    runs = _runs(words.hashes, anchor)
-    offset = np.argmax(np.stack([runs[at[one] + j] == least[one] for j in range(window - anchor + 1)]), axis=0)
-    line = _symbols(np.unique(words.hashes, return_inverse=True)[1] % 1_000_000 + 1)
-    phrases = ahocorasick.Automaton()
-    for i in (at[one] + offset).tolist():
-        phrases.add_word(line[i : i + anchor], 0)
-    if not len(phrases):
-        return none
-    phrases.make_automaton()
-    begins = np.fromiter((end for end, _ in phrases.iter(line)), np.int64) - anchor + 1
-    # windows that hold an occurrence, and are passages of a smaller document
-    near = none.copy()
-    for j in range(window - anchor + 1):
-        near[np.maximum(begins - j, 0)] = True
-    take = known[near[at[known]]]
-    take = take[lows[place[take]] < ids[text[take]]]
-    return covered(at[take], window, len(none))
+        return np.zeros(len(words.hashes), bool)
+    wins, one = np.unique(np.concatenate([x for x, _ in found]), return_index=True)
+    lows = np.concatenate([x for _, x in found])[one]
+    # the words of each passage, where one of the shard's texts has it
+    at = _windows(words, window, window)[0]
+    hashes, first = np.unique(_runs(words.hashes, window)[at].astype(np.int64), return_index=True)
+    place = np.minimum(np.searchsorted(hashes, wins), len(hashes) - 1)
+    here = hashes[place] == wins
+    lows, text = lows[here], words.text_of_word()
+    starts = []
+    for begin, passage in located(words, at[first[place[here]]], window):
+        starts.append(begin[lows[passage] < ids[text[begin]]])
+    return covered(np.concatenate(starts), window, len(words.hashes)) if starts else np.zeros(len(words.hashes), bool)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 5, text: str = "text") -> DataFrame:
@@ -195,38 +203,31 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 5, text: str
     copies = stored(whole_copies(docs, text))
     recurring = recurring_windows(docs, copies, window, anchor, text)
     lists = recurring.groupBy("doc_id").agg(F.collect_list(F.struct("win", "lo")).alias("found"))
-
-    lists = lists.join(copies.select("doc_id", "wholes"), "doc_id", "full")
+    lists = lists.join(copies, "doc_id", "full")
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, ends = _lists(batch.column("found"))
             win = values.field("win").to_numpy(zero_copy_only=False)
             low = values.field("lo").to_numpy(zero_copy_only=False)
-            wholes, bounds = _lists(batch.column("wholes"))
-            wholes = wholes.to_numpy(zero_copy_only=False)
+            wholes = batch.column("wholes").to_pylist()
             for start, texts in _unpacked(batch, 1024):
                 for row, data, offsets in slices(texts, SHARD_WORDS * 6):
                     words = split(data, offsets, NON_SPACE, lower=False)
                     rows = range(start + row, start + row + len(offsets) - 1)
-                    gone = _removed(words, _ids(batch, rows[0], len(rows)), [(win[ends[i] : ends[i + 1]], low[ends[i] : ends[i + 1]]) for i in rows], window, anchor)
-                    own = _whole(words)
-                    copy = [words.counts[k] >= window and own[k] in wholes[bounds[i] : bounds[i + 1]] for k, i in enumerate(rows)]
+                    ids = batch.column("doc_id").slice(rows[0], len(rows))
+                    lists = [(win[ends[i] : ends[i + 1]], low[ends[i] : ends[i + 1]]) for i in rows]
+                    # a document without id has no passages, and none is of a smaller one
+                    gone = _removed(words, pc.fill_null(ids, -(1 << 63)).to_numpy(zero_copy_only=False), lists, window)
+                    copy = [n >= window and own in (wholes[i] or ()) for n, own, i in zip(words.counts, _whole(words).tolist(), rows, strict=True)]
                     gone |= np.repeat(copy, words.counts)
                     removed = np.concatenate([[0], np.cumsum(gone)])
                     removed = removed[words.first[1:]] - removed[words.first[:-1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("doc_id").slice(rows[0], len(rows)),
-                            pa.array(words.counts, pa.int64()),
-                            pa.array(removed, pa.int64()),
-                            _joined(words, ~gone),
-                        ],
-                        ["doc_id", "n_words", "n_removed", "kept_text"],
-                    )
-
-    located = packed(_with_ids(docs, text)).join(lists, "doc_id", "left").mapInArrow(locate, "doc_id long, n_words long, n_removed long, kept_text string")
-    return located.withColumn("doc_id", F.when(F.col("doc_id") < _LAST, F.col("doc_id")))
+                    columns = [ids, pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), _joined(words, ~gone)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_text"])
+
+    texts = packed(_plain(docs, text)).join(lists, "doc_id", "left")
+    return texts.mapInArrow(locate, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def _joined(words: Words, keep: np.ndarray) -> pa.Array:
