@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Gaussian width to full width at half maximum; registration quality's least, error scale and saturation.
 FWHM_OF_SIGMA = 2.354820045
 LEAST_MATCHES, ERROR_SCALE, ENOUGH_MATCHES = 4, 2.0, 20.0
+#: A stretch of less intensity is none; steps of the softening's search.
+LEAST_INTENSITY, HALVINGS = 1e-6, 50
 
 
 def normalised(raw: Column, black: float, white: float, clamp: bool = True) -> Column:
@@ -48,37 +48,51 @@ def registration_quality(n: Column, sum_of_squares: Column) -> Column:
     return F.when(n < LEAST_MATCHES, 0.0).otherwise(F.exp(-rms / ERROR_SCALE) * F.least(n / ENOUGH_MATCHES, F.lit(1.0)))
 
 
+def _falling(d: float, b: float):
+    """(slope, area) of a curve whose slope falls from 1 as a power of the distance: (1 + c u) ** -p. ``b`` sets the power
+    and ``d`` how fast it falls at first; b = 0 is the exponential limit, and p = 1 a logarithm."""
+    if b == 0:
+        return lambda u: F.exp(-d * u), lambda u: (1 - F.exp(-d * u)) / d
+    c, p = abs(b) * d, 1 + 1 / b if b > 0 else -1 / b
+    slope = lambda u: F.pow(1 + c * u, F.lit(-p))
+    if p == 1:
+        return slope, lambda u: F.log1p(c * u) / c
+    return slope, lambda u: (F.pow(1 + c * u, F.lit(1 - p)) - 1) / (c * (1 - p))
+
+
 def hyperbolic_stretch(x: Column, d: float, b: float, centre: float, low: float = 0.0, high: float = 1.0) -> Column:
-    """Generalised hyperbolic stretch of intensity ``d`` and shape ``b``, mirrored about ``centre``; straight lines below
-    ``low`` and above ``high`` carry the curve's slope on; the whole is brought to 0..1."""
-    if d < 1e-6:
-        return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-
-    def curve(u, log, exp, power):
-        if abs(b + 1) < 1e-6:
-            return log(1 + d * u)
-        if abs(b) < 1e-6:
-            return 1 - exp(-d * u)
-        if b < 0:
-            return (1 - power(1 - b * d * u, (b + 1) / b)) / (d * (b + 1))
-        return 1 - power(1 + b * d * u, -1 / b)
-
-    def slope(u: float) -> float:
-        if abs(b + 1) < 1e-6:
-            return d / (1 + d * u)
-        if abs(b) < 1e-6:
-            return d * math.exp(-d * u)
-        return (1 - b * d * u) ** (1 / b) if b < 0 else d * (1 + b * d * u) ** (-(1 + b) / b)
-
-    number = lambda u: curve(u, math.log, math.exp, pow)
-    column = lambda u: curve(F.greatest(u, F.lit(0.0)), F.log, F.exp, F.pow)
-    below, above = slope(centre - low), slope(high - centre)
-    bottom = -low * below - number(centre - low)
-    top = (1 - high) * above + number(high - centre)
-    raw = (
-        F.when(x < low, below * (x - low) - number(centre - low))
-        .when(x < centre, -column(centre - x))
-        .when(x < high, column(x - centre))
-        .otherwise(above * (x - high) + number(high - centre))
-    )
-    return F.least(F.greatest((raw - bottom) / (top - bottom), F.lit(0.0)), F.lit(1.0))
+    """Generalised hyperbolic stretch of intensity ``d`` and shape ``b``: the area under a slope that is greatest at
+    ``centre``, falls to both sides and stays as it is below ``low`` and above ``high``; brought to 0..1. No stretch below
+    ``LEAST_INTENSITY``."""
+    clamped = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    if d < LEAST_INTENSITY:
+        return clamped(x)
+    slope, area = _falling(d, b)
+
+    def under(v: Column) -> Column:
+        inner = F.least(F.greatest(v, F.lit(low)), F.lit(high))
+        away = F.abs(inner - centre)
+        return F.signum(inner - centre) * area(away) + (v - inner) * slope(away)
+
+    start, end = under(F.lit(0.0)), under(F.lit(1.0))  # folded
+    return clamped((under(x) - start) / (end - start))
+
+
+def auto_asinh_beta(median: Column, target: float = 0.2) -> Column:
+    """The softening that takes a median to ``target``, by halving its decimal logarithm between -5 and 5."""
+    def half(p: Column, i: Column) -> Column:
+        middle = (p["lo"] + p["hi"]) / 2
+        beta = F.pow(F.lit(10.0), middle)
+        brighter = F.asinh(median / beta) / F.asinh(1 / beta) > target
+        return F.struct(F.when(brighter, middle).otherwise(p["lo"]).alias("lo"), F.when(brighter, p["hi"]).otherwise(middle).alias("hi"))
+
+    start = F.struct(F.lit(-5.0).alias("lo"), F.lit(5.0).alias("hi"))
+    return F.reduce(F.sequence(F.lit(1), F.lit(HALVINGS)), start, half, lambda p: F.pow(F.lit(10.0), (p["lo"] + p["hi"]) / 2))
+
+
+def colour_preserving(r: Column, g: Column, b: Column, curve) -> tuple[Column, Column, Column]:
+    """Channels scaled by what the curve does to their mean, the brightest at most 1; black stays black."""
+    mean = (r + g + b) / 3
+    gain = curve(mean) / mean
+    gain = gain / F.greatest(gain * F.greatest(r, g, b), F.lit(1.0))
+    return tuple(F.when(mean <= 0, 0.0).otherwise(F.greatest(c * gain, F.lit(0.0))) for c in (r, g, b))

@@ -117,6 +117,22 @@ def without_duplicates(stars: DataFrame, separation: float = 8.0) -> DataFrame:
     return stars if gone is None else stars.join(gone, ["frame", "star"], "left_anti")
 
 
+def rigid(matches: DataFrame) -> DataFrame:
+    """Per frame the mean shift, and the turn with its own shift, that take (rx, ry) to (tx, ty)."""
+    means = matches.groupBy("frame").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{c}") for c in ("rx", "ry", "tx", "ty")))
+    off = lambda c: F.col(c) - F.col(f"m{c}")
+    centred = matches.join(F.broadcast(means), "frame")  # a row for each frame
+    keys = ("frame", "n", "mrx", "mry", "mtx", "mty")
+    turn = F.atan2(F.sum(off("rx") * off("ty") - off("ry") * off("tx")), F.sum(off("rx") * off("tx") + off("ry") * off("ty")))
+    found = centred.groupBy(*keys).agg(turn.alias("angle"))
+    cos, sin = F.cos("angle"), F.sin("angle")
+    return found.select(
+        "frame", "n", (F.col("mtx") - F.col("mrx")).alias("shift_x"), (F.col("mty") - F.col("mry")).alias("shift_y"), "angle",
+        (F.col("mtx") - (cos * F.col("mrx") - sin * F.col("mry"))).alias("dx"),
+        (F.col("mty") - (sin * F.col("mrx") + cos * F.col("mry"))).alias("dy"),
+    )
+
+
 def similarity(matches: DataFrame) -> DataFrame:
     """Per frame the similarity that takes (rx, ry) to (tx, ty): angle and scale of centred sums, then the shift."""
     sums = matches.groupBy("frame").agg(

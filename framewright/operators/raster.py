@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import robust
+from ..functions import imaging, robust
 
 KEYS = ("frame", "y", "x")
 
@@ -37,6 +37,22 @@ def auto_stretch(pixels: DataFrame, k: float = 1.5, target: float = 0.2) -> Data
     return lit.select(*KEYS, midtones((F.col("v") - F.col("black")) / (1 - F.col("black")), F.col("mid")).alias("v"))
 
 
+def auto_asinh(pixels: DataFrame, target: float = 0.2) -> DataFrame:
+    """Asinh stretch with the softening that brings each frame's median to ``target``."""
+    levels = pixels.groupBy("frame").agg(F.median("v").alias("m"))
+    levels = levels.select("frame", imaging.auto_asinh_beta(F.col("m"), target).alias("beta"))
+    lit = pixels.join(F.broadcast(levels), "frame")  # a row for each frame
+    return lit.select(*KEYS, clamp(F.asinh(F.col("v") / F.col("beta")) / F.asinh(1 / F.col("beta"))).alias("v"))
+
+
+def combine_channels(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(y, x, v): mean over the frames, weighted by the inverse square of the median of their tiles' positive noise."""
+    noise = tiles.filter("sigma > 0").groupBy("frame").agg(F.median("sigma").alias("sigma"))
+    weights = noise.select("frame", (1 / (F.col("sigma") * F.col("sigma"))).alias("w"))  # a row for each frame
+    lit = pixels.join(F.broadcast(weights), "frame")
+    return lit.groupBy("y", "x").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+
+
 def asinh_stretch(x: Column, beta: float) -> Column:
     return clamp(F.asinh(x / beta) / F.asinh(F.lit(1.0 / beta)))
 

@@ -120,6 +120,12 @@ def student_quantile(p: float, df: int) -> float:
     return (low + high) / 2
 
 
+def esd_critical(m: int, alpha: float = 0.05) -> float:
+    """Rosner's critical value for the most extreme of ``m`` samples."""
+    t = student_quantile(1 - alpha / (2 * m), m - 2)
+    return t * (m - 1) / float(np.sqrt((m - 2 + t * t) * m))
+
+
 def esd_survivors(a: np.ndarray, alpha: float = 0.05, most: int | None = None) -> np.ndarray:
     """Generalised extreme Studentized deviate test: rejected up to the last statistic above its critical value."""
     n = len(a)
@@ -133,9 +139,7 @@ def esd_survivors(a: np.ndarray, alpha: float = 0.05, most: int | None = None) -
         if d == 0:
             break
         far = int(np.argmax(np.abs(left - left.mean())))
-        m = n - i
-        t = student_quantile(1 - alpha / (2 * m), m - 2)
-        critical = (m - 1) / np.sqrt(m * (1 + (m - 2) / (t * t)))
+        critical = esd_critical(n - i, alpha)
         statistic = abs(left[far] - left.mean()) / d
         left = np.delete(left, far)
         gone = i + 1
@@ -159,6 +163,41 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), places) for c in columns})
 
 
-def present(value: Column) -> Column:
-    """0 where no frame covers a pixel."""
-    return F.coalesce(value, F.lit(0.0))
+def multiplicative_gains(levels: DataFrame) -> DataFrame:
+    """(frame, gain): to the reference frame's median; 1 where a frame has none to speak of."""
+    found = levels.crossJoin(F.broadcast(reference_frame(levels)))  # one row on the right
+    return found.select("frame", F.when(F.col("median") <= robust.EPSILON, 1.0).otherwise(F.col("ref_median") / F.col("median")).alias("gain"))
+
+
+def common_domain(samples: DataFrame, key: str = "px") -> DataFrame:
+    """Samples of the pixels that every frame covers."""
+    frames = samples.select("frame").distinct().groupBy().agg(F.count("*").alias("frames"))
+    counts = samples.groupBy(key).agg(F.count("*").alias("n"))
+    whole = counts.crossJoin(F.broadcast(frames)).filter("n = frames").select(key)  # one row on the right
+    return samples.join(whole, key, "left_semi")
+
+
+def covered(samples: DataFrame, least: float = 1e-3) -> DataFrame:
+    """Samples whose coverage is more than ``least``."""
+    return samples.filter(F.col("coverage") > least)
+
+
+#: Frames that a rejection needs; fewer are combined by the median.
+LEAST_FRAMES = {"sigma": 5, "linear_fit": 5, "esd": 15}
+
+
+def stacked(samples: DataFrame, rejection: str | None = "sigma", key: str = "px", **options) -> DataFrame:
+    """(key, n_samples, value): mean of what the rejection leaves, or the median of a stack with too few frames for it; the
+    number of frames is that of the whole stack. Without a rejection the plain mean."""
+    if rejection is None:
+        return samples.groupBy(key).agg(F.count("*").alias("n_samples"), F.avg("v").alias("value"))
+    if samples.select("frame").distinct().count() < LEAST_FRAMES.get(rejection, 0):
+        return median_stack(samples, key)
+    found = esd_stack(samples, key, **options) if rejection == "esd" else rejected_stack(samples, rejection, key, **options)
+    return found.select(key, "n_samples", "value")
+
+
+def on_grid(found: DataFrame, grid: DataFrame, key: str = "px") -> DataFrame:
+    """``found`` for every pixel of the grid: 0 samples and 0 where no frame covers it."""
+    none = {"n_samples": F.coalesce("n_samples", F.lit(0)), "value": F.coalesce("value", F.lit(0.0))}
+    return grid.select(key).distinct().join(found, key, "left").withColumns(none)

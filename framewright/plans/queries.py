@@ -129,12 +129,36 @@ def stack_linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.rounded(stack.rejected_stack(views.user_stack(spark, sf_dir), "linear_fit"), "value")
 
 
-@query()
+_WINSORIZED_D = "CASE WHEN len(s) <= 1 THEN 0.0 ELSE 1.134 * sqrt(list_sum(list_transform(s, lambda x: (x - c) * (x - c))) / (len(s) - 1)) END"
+
+
+@query(f"""
+WITH RECURSIVE {views.USER_STACK}, {_GATHERED}, w AS (
+  SELECT px, n, 0 AS i, s, c, d, d < 1.1920929e-7 AS done FROM (SELECT *, {_WINSORIZED_D} AS d FROM (SELECT px, n, a AS s, a[n // 2 + 1] AS c FROM g))
+  UNION ALL
+  SELECT px, n, i + 1, s, c, e, abs(e - d) <= d * 0.0005 OR e < 1.1920929e-7 FROM (
+    SELECT *, {_WINSORIZED_D} AS e FROM (SELECT px, n, i, d, s, s[n // 2 + 1] AS c FROM (
+      SELECT px, n, i, d, list_transform(s, lambda x: least(greatest(x, c - 1.5 * d), c + 1.5 * d)) AS s FROM w WHERE NOT done AND i < 50)))), e AS (
+  SELECT px, arg_max(c, i) AS c, arg_max(d, i) AS d FROM w GROUP BY px), p AS (
+  SELECT px, n, CASE WHEN n < 3 OR d < 1.1920929e-7 THEN a ELSE list_filter(a, lambda x: x >= c - 2.5 * d AND x <= c + 2.5 * d) END AS a FROM g JOIN e USING (px))
+{_SURVIVORS} FROM p""")
 def stack_winsorized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.rounded(stack.rejected_stack(views.user_stack(spark, sf_dir), "winsorized"), "value")
 
 
-@query()
+_CRITICAL = ", ".join(f"({m}, {stack.esd_critical(m)!r}::DOUBLE)" for m in range(3, 32))  # a month has at most 31 frames
+
+
+@query(f"""
+WITH RECURSIVE {views.USER_STACK}, {_GATHERED}, critical(m, bound) AS (VALUES {_CRITICAL}), e AS (
+  SELECT px, n, a AS s, 0 AS i, least(n // 4, CASE WHEN n < 25 THEN 2 ELSE 10 END, n - 3) AS most, false AS over FROM g WHERE n >= 4
+  UNION ALL
+  SELECT px, n, s[:far - 1] || s[far + 1:], i + 1, most, s[far] - centre > bound * d OR centre - s[far] > bound * d FROM (
+    SELECT *, list_position(list_transform(s, lambda x: abs(x - centre)), list_max(list_transform(s, lambda x: abs(x - centre)))) AS far FROM (
+      SELECT *, sqrt(list_sum(list_transform(s, lambda x: (x - centre) * (x - centre))) / (len(s) - 1)) AS d FROM (
+        SELECT *, list_sum(s) / len(s) AS centre FROM e WHERE i < most))) JOIN critical ON m = len(s) WHERE d > 0), k AS (
+  SELECT px, arg_max(s, i) AS s FROM e WHERE over GROUP BY px), p AS (SELECT px, n, coalesce(s, a) AS a FROM g LEFT JOIN k USING (px))
+{_SURVIVORS} FROM p""")
 def stack_esd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.rounded(stack.esd_stack(views.user_stack(spark, sf_dir)), "value")
 
@@ -234,18 +258,28 @@ def smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.rounded(found.withColumn("v", F.col("v") + 1e-9), "v")  # off the ties of rounding
 
 
-_MIRROR = "CASE WHEN (p % 62 + 62) % 62 >= 32 THEN 62 - (p % 62 + 62) % 62 ELSE (p % 62 + 62) % 62 END"
+_TAPS = "taps(d, k) AS (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1))"
+
+
+def _smooth(to: str, of: str, step: int) -> str:
+    """B3 smoothing with holes in DuckDB, mirrored at the borders, along x and then y."""
+
+    def along(name: str, source: str, axis: str, other: str) -> str:
+        return f"""{name} AS (
+  SELECT a.frame, a.y, a.x, sum(b.v * k / 16) AS v FROM (
+    SELECT frame, y, x, k, CASE WHEN q >= s THEN 2 * s - 2 - q ELSE q END AS p FROM (
+      SELECT frame, y, x, k, s, (({axis} + {step} * d) % (2 * s - 2) + 2 * s - 2) % (2 * s - 2) AS q FROM {source}, taps, side)) a
+  JOIN {source} b ON b.frame = a.frame AND b.{other} = a.{other} AND b.{axis} = a.p GROUP BY ALL)"""
+
+    return along(f"{to}x", of, "x", "y") + ", " + along(to, f"{to}x", "y", "x")
 
 
 @query(f"""
-WITH {views.RASTER}, taps(d, k) AS (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)), across AS (
-  SELECT a.frame, a.y, a.x, sum(s.v * k / 16) AS v FROM (SELECT frame, y, x, k, x + 2 * d AS p FROM raster, taps) a
-  JOIN raster s ON s.frame = a.frame AND s.y = a.y AND s.x = {_MIRROR.replace("p ", "a.p ")} GROUP BY ALL), down AS (
-  SELECT a.frame, a.y, a.x, sum(s.v * k / 16) AS v FROM (SELECT frame, y, x, k, y + 2 * d AS p FROM across, taps) a
-  JOIN across s ON s.frame = a.frame AND s.x = a.x AND s.y = {_MIRROR.replace("p ", "a.p ")} GROUP BY ALL)
+WITH {views.RASTER}, {_TAPS}, {_smooth("down", "raster", 2)}
 SELECT frame, y, x, round(d.v, 6) AS smooth, round(r.v - d.v, 6) AS detail FROM raster r JOIN down d USING (frame, y, x)""")
 def wavelet_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stack.rounded(raster.wavelet_plane(views.raster(spark, sf_dir), 2, views.SIDE, views.SIDE), "smooth", "detail")
+    n = views.side(spark, sf_dir)
+    return stack.rounded(raster.wavelet_plane(views.raster(spark, sf_dir), 2, n, n), "smooth", "detail")
 
 
 @query(f"""
@@ -256,30 +290,59 @@ def tile_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.rounded(raster.tile_histogram(views.raster(spark, sf_dir), 8), "share")
 
 
-@query()
+def _tile_pass(k: int) -> str:
+    """A clipping pass in DuckDB over the sorted samples ``s`` of a tile."""
+    return f"""t{k} AS (
+  SELECT frame, ty, tx, CASE WHEN stay OR flat OR len(kept) = len(s) THEN s ELSE kept END AS s, CASE WHEN stay THEN done ELSE flat OR len(kept) = len(s) END AS done,
+         CASE WHEN stay THEN c ELSE centre END AS c, CASE WHEN stay THEN d WHEN flat THEN 0 ELSE e END AS d FROM (
+    SELECT *, e * 1.4826022 <= abs(centre) * 1.1920929e-7 AS flat, list_filter(s, lambda x: abs(x - centre) <= 3.0 * 1.4826022 * e) AS kept FROM (
+      SELECT *, list_sort(list_transform(s, lambda x: abs(x - centre)))[len(s) // 2 + 1] AS e FROM (
+        SELECT *, done OR len(s) < 3 AS stay, s[len(s) // 2 + 1] AS centre FROM t{k - 1}))))"""
+
+
+_TILES = f"""t0 AS (SELECT frame, y // 8 AS ty, x // 8 AS tx, list_sort(list(v)) AS s, false AS done, 0.0::DOUBLE AS c, 0.0::DOUBLE AS d FROM raster GROUP BY ALL),
+{_tile_pass(1)}, {_tile_pass(2)}, {_tile_pass(3)}, m AS (
+  SELECT *, CASE WHEN done THEN c ELSE list_aggregate(s, 'median') END AS m, list_sum(s) / len(s) AS mean FROM t3), z AS (
+  SELECT *, 1.4826022 * CASE WHEN done THEN d ELSE list_aggregate(list_transform(s, lambda x: abs(x - m)), 'median') END AS sigma FROM m), tiles AS (
+  SELECT frame, ty, tx, sigma, CASE WHEN abs(mean - m) < 0.3 * sigma THEN 2.5 * m - 1.5 * mean ELSE m END AS sky FROM z)"""
+
+
+@query(f"WITH {views.RASTER}, {_TILES} SELECT frame, ty, tx, round(sky, 6) AS sky, round(sigma, 6) AS sigma FROM tiles")
 def tile_backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.rounded(raster.tile_background(views.raster(spark, sf_dir), 8), "sky", "sigma")
 
 
-@query()
+@query(f"""
+WITH {views.RASTER}, {_TILES} SELECT r.frame, y, x, round(v, 6) AS v FROM raster r JOIN tiles t ON t.frame = r.frame AND ty = y // 8 AND tx = x // 8
+WHERE v > sky + 1.5 * greatest(sigma, 1e-6)""")
 def bright_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = views.raster(spark, sf_dir)
     return stack.rounded(raster.above_background(pixels, raster.tile_background(pixels, 8), 8, 1.5), "v")
 
 
-@query()
+def _level_pass(k: int) -> str:
+    return f"""m{k} AS (SELECT frame, low, high, median(v) AS m FROM raster JOIN b{k - 1} USING (frame) WHERE v BETWEEN low AND high GROUP BY ALL), b{k} AS (
+  SELECT frame, m, greatest(low, m - d) AS low, least(high, m + d) AS high FROM (
+    SELECT frame, m, low, high, median(abs(v - m)) * 1.4826022 * 2.5 AS d FROM raster JOIN m{k} USING (frame) WHERE v BETWEEN low AND high GROUP BY ALL))"""
+
+
+@query(f"""
+WITH {views.RASTER}, b0 AS (SELECT DISTINCT frame, -1e300 AS low, 1e300 AS high FROM raster), {", ".join(map(_level_pass, range(1, 6)))}
+SELECT frame, y, x, round(v + (SELECT min(m) FROM b5) - m + 1e-9, 6) AS v FROM raster JOIN b5 USING (frame)""")
 def neutral_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stack.rounded(raster.neutralised(views.raster(spark, sf_dir)), "v")
+    found = raster.neutralised(views.raster(spark, sf_dir))
+    return stack.rounded(found.withColumn("v", F.col("v") + 1e-9), "v")  # off the ties of rounding
 
 
 @query(f"""
 WITH {views.RASTER}, o AS (SELECT frame, y, x, x + 3 - 0.25::DOUBLE AS sx, y - 2 + 0.5::DOUBLE AS sy FROM raster), i AS (
-  SELECT frame, y, x, least(greatest(sx, 0), 31) AS cx, least(greatest(sy, 0), 31) AS cy FROM o WHERE sx BETWEEN -0.5 AND 31.5 AND sy BETWEEN -0.5 AND 31.5), k AS (
+  SELECT frame, y, x, least(greatest(sx, 0), s - 1) AS cx, least(greatest(sy, 0), s - 1) AS cy FROM o, side WHERE sx BETWEEN -0.5 AND s - 0.5 AND sy BETWEEN -0.5 AND s - 0.5), k AS (
   SELECT i.frame, i.y, i.x, sum(s.v * (1 - abs(cx - s.x)) * (1 - abs(cy - s.y))) AS v
   FROM i JOIN raster s ON s.frame = i.frame AND abs(cx - s.x) < 1 AND abs(cy - s.y) < 1 GROUP BY ALL)
 SELECT r.frame, r.y, r.x, round(coalesce(k.v, 0), 6) AS v FROM raster r LEFT JOIN k USING (frame, y, x)""")
 def warped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = raster.warp_bilinear(views.raster(spark, sf_dir), [1.0, 0.0, 2.75, 0.0, 1.0, -1.5], views.SIDE, views.SIDE)
+    n = views.side(spark, sf_dir)
+    moved = raster.warp_bilinear(views.raster(spark, sf_dir), [1.0, 0.0, 2.75, 0.0, 1.0, -1.5], n, n)
     return stack.rounded(moved, "v")
 
 
@@ -332,7 +395,12 @@ def stars_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.rounded(catalog.within(found, found, 25.0).filter("a < b"), "distance")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {views.STARS}, {_NEAR}, o AS (
+  SELECT frame, list({{'d': distance, 'a': a, 'b': b}} ORDER BY distance, a, b) AS l FROM p WHERE distance <= 25 AND a % 2 = 0 AND b % 2 = 1 GROUP BY frame), r AS (
+  SELECT frame, l, 1 AS k, l[1:0] AS taken FROM o UNION ALL
+  SELECT frame, l, k + 1, CASE WHEN len(list_filter(taken, lambda z: z.a = l[k].a OR z.b = l[k].b)) = 0 THEN list_append(taken, l[k]) ELSE taken END FROM r WHERE k <= len(l))
+SELECT frame, z.a AS a, z.b AS b, round(z.d, 6) AS distance FROM (SELECT frame, unnest(taken) AS z FROM r WHERE k = len(l) + 1)""")
 def matched_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even stars matched with odd ones of their frame."""
     found = views.stars(spark, sf_dir)
@@ -340,7 +408,12 @@ def matched_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.rounded(catalog.greedy_match(pairs), "distance")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {views.STARS}, o AS (SELECT frame, list({{'x': x, 'y': y, 'star': star, 'flux': flux}} ORDER BY flux DESC, star) AS l FROM stars GROUP BY frame), r AS (
+  SELECT frame, l, 1 AS k, l[1:0] AS kept FROM o UNION ALL
+  SELECT frame, l, k + 1, CASE WHEN len(list_filter(kept, lambda z: sqrt((z.x - l[k].x) ** 2 + (z.y - l[k].y) ** 2) < 25)) = 0 THEN list_append(kept, l[k]) ELSE kept END
+  FROM r WHERE k <= len(l))
+SELECT frame, z.star AS star, z.flux AS flux FROM (SELECT frame, unnest(kept) AS z FROM r WHERE k = len(l) + 1)""")
 def distinct_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.without_duplicates(views.stars(spark, sf_dir), 25.0).select("frame", "star", "flux")
 
@@ -385,11 +458,11 @@ def debounced_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH RECURSIVE {views.RASTER}, mask AS (SELECT frame, y, x, v FROM raster WHERE v > 0.58), reach AS (
-  SELECT frame, y, x, y * 32 + x AS seed FROM mask UNION
+  SELECT frame, y, x, y * 100000 + x AS seed FROM mask UNION
   SELECT m.frame, m.y, m.x, r.seed FROM reach r JOIN mask m ON m.frame = r.frame AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1), region AS (
   SELECT frame, y, x, min(seed) AS seed FROM reach GROUP BY frame, y, x), p AS (
   SELECT r.*, v, row_number() OVER (PARTITION BY r.frame, seed ORDER BY v DESC, r.y, r.x) AS k FROM region r JOIN mask USING (frame, y, x))
-SELECT frame, (seed // 32)::INT AS y0, (seed % 32)::INT AS x0, count(*) AS area, min(x) AS x_from, max(x) + 1 AS x_to, min(y) AS y_from, max(y) + 1 AS y_to,
+SELECT frame, (seed // 100000)::INT AS y0, (seed % 100000)::INT AS x0, count(*) AS area, min(x) AS x_from, max(x) + 1 AS x_to, min(y) AS y_from, max(y) + 1 AS y_to,
        round(max(v), 6) AS peak, max(y) FILTER (k = 1) AS peak_y, max(x) FILTER (k = 1) AS peak_x
 FROM p GROUP BY frame, seed""")
 def bright_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,14 +471,24 @@ def bright_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.rounded(found, "peak")
 
 
-@query()
+@query(f"""
+WITH {views.RASTER}, {_TAPS}, {_smooth("s1", "raster", 1)}, {_smooth("s2", "s1", 2)}, details AS (
+  SELECT 1 AS j, frame, y, x, r.v - s.v AS w FROM raster r JOIN s1 s USING (frame, y, x) UNION ALL
+  SELECT 2, frame, y, x, r.v - s.v FROM s1 r JOIN s2 s USING (frame, y, x)), centres AS (SELECT j, frame, median(w) AS m FROM details GROUP BY ALL), levels AS (
+  SELECT j, frame, median(abs(w - m)) * 1.4826022 * 2.5 AS t FROM details JOIN centres USING (j, frame) GROUP BY ALL), lost AS (
+  SELECT frame, y, x, sum(w - sign(w) * greatest(abs(w) - t, 0)) AS d FROM details JOIN levels USING (j, frame) GROUP BY ALL)
+SELECT frame, y, x, round(v - 0.85 * d, 6) AS v FROM raster JOIN lost USING (frame, y, x)""")
 def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stack.rounded(regions.denoise(views.raster(spark, sf_dir), views.SIDE, views.SIDE), "v")
+    n = views.side(spark, sf_dir)
+    return stack.rounded(regions.denoise(views.raster(spark, sf_dir), n, n), "v")
 
 
-@query()
+@query(f"""
+WITH {views.RASTER}, {_TAPS}, {_smooth("s1", "raster", 1)}, {_smooth("s2", "s1", 2)}, {_smooth("s3", "s2", 4)}, means AS (SELECT frame, avg(v) AS m FROM s3 GROUP BY frame)
+SELECT frame, y, x, round(r.v - 0.5 * (s.v - m), 6) AS v FROM raster r JOIN s3 s USING (frame, y, x) JOIN means USING (frame)""")
 def range_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stack.rounded(regions.compress_range(views.raster(spark, sf_dir), views.SIDE, views.SIDE, scales=3), "v")
+    n = views.side(spark, sf_dir)
+    return stack.rounded(regions.compress_range(views.raster(spark, sf_dir), n, n, scales=3), "v")
 
 
 @query(f"""
@@ -438,3 +521,115 @@ def match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = pairs.agg(F.count("*").alias("n"), F.sum(F.col("distance") ** 2).alias("ss"), F.max("distance").alias("largest"))
     judged = sums.select("frame", "n", F.sqrt(F.col("ss") / F.col("n")).alias("rms"), "largest", imaging.registration_quality(F.col("n"), F.col("ss")).alias("quality"))
     return stack.rounded(stack.rounded(judged, "rms", "largest"), "quality", places=9)
+
+
+def _hyperbolic(area: str, slope: str, low: float, high: float, centre: float) -> str:
+    """The stretch in DuckDB from the area and slope at a distance ``a``."""
+    def under(v: str) -> str:
+        inner = f"least(greatest({v}, {low}), {high})"
+        a = f"abs({inner} - {centre})"
+        return f"(CASE WHEN {inner} < {centre} THEN -1 ELSE 1 END * {area.replace('@', a)} + ({v} - {inner}) * {slope.replace('@', a)})"
+
+    return f"round(least(greatest(({under('v')} - {under('0.0::DOUBLE')}) / ({under('1.0::DOUBLE')} - {under('0.0::DOUBLE')}), 0), 1), 6)"
+
+
+@query(f"""
+WITH {views.RASTER}
+SELECT frame, y, x, {_hyperbolic("(1 - pow(1 + 6 * @, -0.5)) / 3", "pow(1 + 6 * @, -1.5)", 0.1, 0.9, 0.4)} AS hyperbolic,
+       {_hyperbolic("(1 - exp(-5.0 * @)) / 5", "exp(-5.0 * @)", 0.2, 0.8, 0.5)} AS exponential,
+       {_hyperbolic("(pow(1 + 0.5 * 4 * @, -1.0) - 1) / (-1.0 * 2)", "pow(1 + 0.5 * 4 * @, -2.0)", 0.0, 0.7, 0.3)} AS half,
+       {_hyperbolic("(pow(1 + 2 * 3 * @, 0.5) - 1) / 3", "pow(1 + 2 * 3 * @, -0.5)", 0.1, 1.0, 0.6)} AS steep
+FROM raster""")
+def hyperbolic_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretch for all kinds of shape: above zero, zero, between -1 and 0, below -1."""
+    v = F.col("v")
+    found = views.raster(spark, sf_dir).select(
+        "frame", "y", "x",
+        imaging.hyperbolic_stretch(v, 3.0, 2.0, 0.4, 0.1, 0.9).alias("hyperbolic"),
+        imaging.hyperbolic_stretch(v, 5.0, 0.0, 0.5, 0.2, 0.8).alias("exponential"),
+        imaging.hyperbolic_stretch(v, 4.0, -0.5, 0.3, 0.0, 0.7).alias("half"),
+        imaging.hyperbolic_stretch(v, 3.0, -2.0, 0.6, 0.1, 1.0).alias("steep"),
+    )
+    return stack.rounded(found, "hyperbolic", "exponential", "half", "steep")
+
+
+@query(f"""
+WITH {views.PART_STACK}, whole AS (SELECT px FROM part_stack GROUP BY px HAVING count(*) = (SELECT count(DISTINCT frame) FROM part_stack)), shared AS (
+  SELECT * FROM part_stack SEMI JOIN whole USING (px)), levels AS (SELECT frame, median(v) AS m FROM shared GROUP BY frame), spreads AS (
+  SELECT frame, m, median(abs(v - m)) AS d FROM shared JOIN levels USING (frame) GROUP BY frame, m), ref AS (SELECT m AS rm FROM spreads ORDER BY d, frame LIMIT 1), g AS (
+  SELECT px, list_sort(list(v * CASE WHEN m <= 1.1920929e-7 THEN 1 ELSE rm / m END)) AS a, count(*) AS n FROM part_stack JOIN spreads USING (frame), ref GROUP BY px),
+{_clip_pass("p1", "g", "2.5", "2.5", 2.5)}, {_clip_pass("p2", "p1", "2.5", "2.5", 2.5)}, {_clip_pass("p3", "p2", "2.5", "2.5", 2.5)}
+SELECT px, n AS n_samples, round(list_sum(a) / len(a), 6) AS value FROM p3""")
+def stack_multiplicative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames brought to the reference's median, which is measured where all frames cover, then sigma-clipped."""
+    samples = views.part_stack(spark, sf_dir)
+    gains = stack.multiplicative_gains(stack.frame_levels(stack.common_domain(samples)))
+    level = samples.join(F.broadcast(gains), "frame").select("px", "frame", (F.col("v") * F.col("gain")).alias("v"))  # a row a frame
+    return stack.rounded(stack.stacked(level, "sigma"), "value")
+
+
+@query(f"""
+WITH {views.PART_STACK}, c AS (SELECT *, (px * 7 + frame * 13) % 50 / 1000.0 AS coverage FROM part_stack WHERE frame <= 4), k AS (
+  SELECT px, count(*) AS n, median(v) AS value FROM c WHERE coverage > 0.001 GROUP BY px)
+SELECT p_partkey AS px, coalesce(n, 0)::BIGINT AS n_samples, round(coalesce(value, 0), 12) AS value FROM part LEFT JOIN k ON px = p_partkey""")
+def stack_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four frames, too few for a rejection, with a coverage; parts without any covered sample are 0."""
+    samples = views.part_stack(spark, sf_dir).filter("frame <= 4")
+    samples = samples.withColumn("coverage", (F.col("px") * 7 + F.col("frame") * 13) % 50 / 1000.0)
+    grid = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("px"))
+    return stack.rounded(stack.on_grid(stack.stacked(stack.covered(samples), "sigma"), grid), "value", places=12)
+
+
+@query(f"""
+WITH RECURSIVE {views.RASTER}, m AS (SELECT frame, median(v) AS m FROM raster GROUP BY frame), h AS (
+  SELECT frame, m, 0 AS i, -5.0::DOUBLE AS lo, 5.0::DOUBLE AS hi FROM m UNION ALL
+  SELECT frame, m, i + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END FROM (
+    SELECT *, asinh(m / pow(10.0, mid)) / asinh(1 / pow(10.0, mid)) > 0.7 AS up FROM (SELECT *, (lo + hi) / 2 AS mid FROM h WHERE i < 50))), b AS (
+  SELECT frame, pow(10.0, (lo + hi) / 2) AS beta FROM h WHERE i = 50)
+SELECT frame, y, x, round(least(greatest(asinh(v / beta) / asinh(1 / beta), 0), 1), 6) AS v FROM raster JOIN b USING (frame)""")
+def auto_asinh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stack.rounded(raster.auto_asinh(views.raster(spark, sf_dir), 0.7), "v")
+
+
+@query(f"""
+WITH {views.RASTER}, rgb AS (
+  SELECT y, x, max(v) FILTER (frame = 1) AS r, max(v) FILTER (frame = 2) AS g, max(v) FILTER (frame = 3) AS b FROM raster WHERE frame <= 3 GROUP BY y, x), i AS (
+  SELECT *, (r + g + b) / 3 AS i FROM rgb WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL), k AS (
+  SELECT *, least(greatest(asinh(i / 0.05) / asinh(20.0), 0), 1) / i AS gain FROM i), c AS (
+  SELECT *, gain / greatest(gain * greatest(r, g, b), 1) AS capped FROM k)
+SELECT y, x, round(r * capped, 6) AS r, round(g * capped, 6) AS g, round(b * capped, 6) AS b FROM c""")
+def colour_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers 1 to 3 are the channels; the asinh curve acts on their mean."""
+    channels = views.raster(spark, sf_dir).groupBy("y", "x").pivot("frame", [1, 2, 3]).agg(F.max("v")).dropna()
+    bent = imaging.colour_preserving(*(F.col(f"`{c}`") for c in (1, 2, 3)), lambda v: raster.asinh_stretch(v, 0.05))
+    return stack.rounded(channels.select("y", "x", *(c.alias(n) for c, n in zip(bent, "rgb", strict=True))), "r", "g", "b")
+
+
+@query(f"""
+WITH {views.STARS}, m AS (
+  SELECT frame, x AS rx, y AS ry, cos(0.1) * x - sin(0.1) * y + 3 + (snr - 50) / 100 AS tx, sin(0.1) * x + cos(0.1) * y - 2 + (sharpness - 0.4) AS ty FROM stars), c AS (
+  SELECT frame, count(*) AS n, avg(rx) AS ax, avg(ry) AS ay, avg(tx) AS bx, avg(ty) AS by_ FROM m GROUP BY frame), s AS (
+  SELECT frame, n, ax, ay, bx, by_, atan2(sum((rx - ax) * (ty - by_)) - sum((ry - ay) * (tx - bx)), sum((rx - ax) * (tx - bx)) + sum((ry - ay) * (ty - by_))) AS angle
+  FROM m JOIN c USING (frame) GROUP BY ALL)
+SELECT frame, n, round(bx - ax, 4) AS shift_x, round(by_ - ay, 4) AS shift_y, round(angle, 6) AS angle,
+       round(bx - (cos(angle) * ax - sin(angle) * ay), 4) AS dx, round(by_ - (sin(angle) * ax + cos(angle) * ay), 4) AS dy FROM s""")
+def rigid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translation, and turn and translation, of each frame's stars to turned, shifted and disturbed places."""
+    x, y, cos, sin = F.col("x"), F.col("y"), F.cos(F.lit(0.1)), F.sin(F.lit(0.1))
+    matches = views.stars(spark, sf_dir).select(
+        "frame", x.alias("rx"), y.alias("ry"),
+        (cos * x - sin * y + 3 + (F.col("snr") - 50) / 100).alias("tx"),
+        (sin * x + cos * y - 2 + (F.col("sharpness") - 0.4)).alias("ty"),
+    )
+    found = stack.rounded(catalog.rigid(matches), "angle")
+    return stack.rounded(found, "shift_x", "shift_y", "dx", "dy", places=4)
+
+
+@query(f"""
+WITH {views.RASTER}, {_TILES}, w AS (SELECT frame, median(sigma) AS sigma FROM tiles WHERE sigma > 0 GROUP BY frame), k AS (
+  SELECT frame, 1 / (sigma * sigma) AS raw FROM w), n AS (SELECT frame, raw / (SELECT sum(raw) FROM k) AS w FROM k)
+SELECT y, x, round(sum(v * w) / sum(w), 6) AS v FROM raster JOIN n USING (frame) GROUP BY y, x""")
+def combined_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as channels, weighted by the inverse variance of their background."""
+    pixels = views.raster(spark, sf_dir)
+    return stack.rounded(raster.combine_channels(pixels, raster.tile_background(pixels, 8)), "v")

@@ -5,11 +5,11 @@ Values are averages of integer cents, so that sums are exact in any order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIDE = 32
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,20 +41,26 @@ PART_STACK = """part_stack AS (
   FROM lineitem GROUP BY ALL)"""
 
 
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """Height and width of the raster: it grows with the table, about eight rows a pixel of each of seven frames."""
+    return max(math.isqrt(table(spark, sf_dir, "lineitem").count() // 56), 4)
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, y, x, v): mean price by supplier row and part column, one frame for each line number."""
+    n = side(spark, sf_dir)
     items = table(spark, sf_dir, "lineitem").groupBy(
         F.col("l_linenumber").alias("frame"),
-        (F.col("l_suppkey") % SIDE).cast("int").alias("y"),
-        (F.col("l_partkey") % SIDE).cast("int").alias("x"),
+        (F.col("l_suppkey") % n).cast("int").alias("y"),
+        (F.col("l_partkey") % n).cast("int").alias("x"),
     )
     return items.agg((_mean_cents("l_extendedprice") / 100000.0).alias("v"))
 
 
-RASTER = f"""raster AS (
-  SELECT l_linenumber AS frame, (l_suppkey % {SIDE})::INT AS y, (l_partkey % {SIDE})::INT AS x,
+RASTER = """side AS (SELECT greatest(floor(sqrt(count(*) // 56)), 4)::INT AS s FROM lineitem), raster AS (
+  SELECT l_linenumber AS frame, (l_suppkey % s)::INT AS y, (l_partkey % s)::INT AS x,
          sum(round(l_extendedprice * 100)::BIGINT) / count(*) / 100.0 / 100000.0 AS v
-  FROM lineitem GROUP BY ALL)"""
+  FROM lineitem, side GROUP BY ALL)"""
 
 
 def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
