@@ -1,8 +1,11 @@
-"""A corpus pipeline out of the text operators: each stage is written as Parquet and read again by the next."""
+"""A corpus pipeline out of the text operators: each stage is written as Parquet and read again by the next.
 
-from __future__ import annotations
+The pipeline works on the columns of ``documents`` (``COLUMNS``); any others are dropped, so none can clash with what the
+operators add. All stages: null and empty texts count as without words, very long texts are handled whole, repeated rows are
+each judged, rows without doc_id are kept unless their own text fails, and an empty table gives an empty table.
+"""
 
-import uuid
+from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +13,15 @@ from pyspark.sql import functions as F
 
 from framewright.llm import decontaminate, near_copies, pieces, private_data, quality
 from framewright.llm.queries import SURROGATE_KEY
-from framewright.llm.store import shared_folder
+from framewright.llm.store import new_path, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines that failed and n_chars brought in line."""
-    kept = quality.quality_rules(docs.select(*COLUMNS)).filter("kept")
+    """Documents that the quality rules keep, without the lines that failed and n_chars brought in line. Texts of fewer
+    than 50 words go, null and empty ones among them. The results are stored, so that the filter reads them."""
+    kept = stored(quality.quality_rules(docs.select(*COLUMNS)).select(*COLUMNS, "clean_text", "kept")).filter("kept")
     changed = F.col("clean_text") != F.col("text")
     n_chars = F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).withColumn("text", F.col("clean_text")).select(*COLUMNS)
@@ -25,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8) the document with the smallest doc_id; rows without a
-    doc_id stay."""
+    doc_id, and texts without words, stay. Repeated rows of the doc_id that stays all stay."""
     docs = docs.select(*COLUMNS)
     groups = near_copies.near_copy_groups(docs, k=5, percent=80)
     gone = groups.filter("component_id < doc_id").select("doc_id").distinct()
@@ -33,20 +37,21 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a run of ten words of a benchmark item."""
+    """Documents without a run of ten words of a benchmark item, or a whole shorter item; null texts have none and stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminate(docs.select(*COLUMNS), items)
 
 
 def private_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, private data replaced by surrogates and n_chars brought in line."""
+    """All documents, private data replaced by surrogates and n_chars brought in line; null texts stay null."""
     replaced = private_data.replace_private_data(docs.select(*COLUMNS), SURROGATE_KEY)
     n_chars = F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return replaced.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their ids (an end id last), and whether decoding gives the text again."""
+    """All documents with their ids (an end id last), and whether decoding gives the text again; a null text has the end id
+    alone, and its decoding is compared with the empty text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = pieces.decode(pieces.encode(docs.select(*COLUMNS), model), model)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
@@ -70,7 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        path = new_path(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
