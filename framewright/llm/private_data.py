@@ -1,15 +1,20 @@
 """Private data replaced by surrogates, with DataFrame functions only.
 
-Each entity found gets a replacement that is a keyed function (SHA-512) of its text: the same entity gets the same
-surrogate in every document (coreference), of the same type and format: a digit stays a digit, an upper-case letter an
-upper-case one, a letter stays in its script, separators stay; country codes, top-level domains and titles stay; names
-after a title are built from syllables of their script with an ending for their gender; octets stay below 256.
-
-Collision checks run over the distinct entities of all documents: a surrogate that two entities would share, or that is
-itself an entity somewhere, is drawn again with the next attempt number for all but the first of them, until all are
-distinct. So that the free surrogates never run out, later attempts draw longer ones: a name gains a syllable and an
-e-mail a letter with each attempt, short phone numbers gain digits, and other kinds, whose 4 billion forms and more have a
-fixed length, gain digits after ``FIXED`` attempts only. Redrawn entities are few; they are joined to the documents that hold them, all others are computed in place.
+Each entity found gets a replacement that is a keyed function (SHA-512) of what it stands for, of the same type and format:
+a digit stays a digit, an upper-case letter an upper-case one, a letter stays in its script, separators stay; country codes,
+top-level domains and titles stay; names after a title are built word by word from syllables of their script with an ending
+for their gender; octets stay below 256; card numbers and IBANs get valid check digits.
+
+Coreference: mentions of one thing get one surrogate in every document. A name's words are replaced one by one by gender, so
+"Mrs Anna Smith", "Mrs. Smith" and, in the same text, "Anna Smith" without a title agree; a phone number goes by its last ten
+digits and a card by its digits, however they are written; an e-mail address by its lower-case letters.
+
+Collision checks run over the distinct entities of all documents (a name's words each count as one): a surrogate that two
+would share, or that is itself an entity somewhere, is drawn again with the next attempt number for all but the first of
+them, and for all mentions of the same thing, until all are distinct. So that the free surrogates never run out, later
+attempts draw longer ones: a name gains a syllable and an e-mail a letter with each attempt, short phone numbers gain digits,
+and other kinds, whose 4 billion forms and more have a fixed length, gain digits after ``FIXED`` attempts only. Redrawn
+entities are few; they are joined to the documents that hold them, all others are computed in place.
 
 Edge cases: null texts stay null and have no entities; empty and very long texts are handled whole (the patterns cannot
 backtrack over long words); repeated rows are replaced alike; an empty table stays empty; other columns stay as they are,
@@ -59,7 +64,7 @@ _JUNK = r"[\s|#*$%&!,.-]{0,6}"
 #: Type and pattern, in the order of trial.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,}+)(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,}+)(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -107,20 +112,43 @@ def _draw(digest: Column, place: Column, n: int) -> Column:
     return (F.conv(hexes, 16, 10).cast("int") + place.cast("int") * 7) % n
 
 
-def _same_shape(text: Column, digest: Column, hexadecimal: Column, keep: Column) -> Column:
-    """Each character from index ``keep`` on replaced by a drawn one of its own class."""
+def _same_shape(text: Column, digest: Column, hexadecimal: Column, keep: Column, by_digit: bool = False) -> Column:
+    """Each character from index ``keep`` on replaced by a drawn one of its own class; ``by_digit``: a digit is drawn by the
+    number of digits after it, whatever stands between them."""
 
     def one(c: Column, i: Column) -> Column:
         out = c
+        place = F.length(F.regexp_replace(F.substring(text, i + 2, F.length(text)), "[^0-9]", "")) if by_digit else i
         for pattern, letters in reversed(ALPHABETS.items()):
             n = F.when(hexadecimal & F.lit(pattern.lower() == "[a-z]"), 6).otherwise(len(letters))
-            drawn = F.substring(F.lit(letters), _draw(digest, i, n) + 1, F.lit(1))
+            drawn = F.substring(F.lit(letters), _draw(digest, place, n) + 1, F.lit(1))
             out = F.when(c.rlike(f"^{pattern}$"), drawn).otherwise(out)
         return F.when(i < keep, c).otherwise(out)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def _luhn(card: Column) -> Column:
+    """The card number with a valid last digit."""
+    digits = F.reverse(F.split(F.regexp_replace(F.substring(card, F.lit(1), F.length(card) - 1), "[^0-9]", ""), ""))
+
+    def value(c: Column, i: Column) -> Column:
+        twice = c.cast("int") * 2
+        return F.when(i % 2 == 0, F.when(twice > 9, twice - 9).otherwise(twice)).otherwise(c.cast("int"))
+
+    total = F.aggregate(F.transform(digits, value), F.lit(0), lambda s, x: s + x)
+    return F.concat(F.substring(card, F.lit(1), F.length(card) - 1), F.pmod(-total, F.lit(10)).cast("string"))
+
+
+def _mod97(iban: Column) -> Column:
+    """The IBAN with valid check digits."""
+    plain = F.replace(iban, F.lit(" "), F.lit(""))
+    moved = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, F.lit(1), F.lit(2)), F.lit("00"))
+    step = lambda s, c: F.when(c.rlike("[0-9]"), s * 10 + c.try_cast("int")).otherwise(s * 100 + F.ascii(c) - 55) % 97
+    check = F.lpad((98 - F.aggregate(F.split(moved, ""), F.lit(0), step)).cast("string"), 2, "0")
+    return F.concat(F.substring(iban, F.lit(1), F.lit(2)), check, F.substring(iban, F.lit(5), F.length(iban)))
+
+
 def _more(digest: Column, letters: str, n: int) -> Column:
     """``n`` drawn characters; places from the digest's end, as the shape takes them from its start."""
     drawn = [F.substring(F.lit(letters), _draw(digest, F.lit(PLACES - 1 - k % PLACES), len(letters)) + 1, F.lit(1)) for k in range(n)]
@@ -136,19 +164,47 @@ def _longer_phone(entity: Column, digest: Column) -> Column:
     return out
 
 
-def _name(entity: Column, digest: Column, attempt: int) -> Column:
-    title = F.regexp_extract(entity, rf"^{_TITLE}\.? ", 0)
+def _title(name: Column) -> Column:
+    return F.regexp_extract(name, rf"^{_TITLE}\.? ", 0)
+
+
+def _gender(title: Column) -> Column:
     gender = F.lit("n")
     for g, titles in TITLES.items():
         gender = F.when(title.rlike(rf"^(?:{'|'.join(titles)})\.? $"), g).otherwise(gender)
-    words = F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " ")
+    return gender
+
+
+def _name_words(name: Column) -> Column:
+    return F.split(F.substring(name, F.length(_title(name)) + 1, F.length(name)), " ")
+
+
+def units_of(entity: Column, kind: Column) -> Column:
+    """What is replaced as one: a name's words, each after the first title of its gender; else the entity itself."""
+    gender = _gender(_title(entity))
+    title = F.lit("")
+    for g, titles in TITLES.items():
+        title = F.when(gender == g, titles[0] + " ").otherwise(title)
+    return F.when(kind == "name", F.transform(_name_words(entity), lambda w: F.concat(title, w))).otherwise(F.array(entity))
+
+
+def _canonical(unit: Column, kind: Column) -> Column:
+    """What a unit stands for, however it is written."""
+    digits = F.regexp_replace(unit, "[^0-9]", "")
+    return F.when(kind == "phone", F.substring(digits, F.greatest(F.length(digits) - 9, F.lit(1)), F.lit(10))).when(kind == "card", digits).when(kind == "email", F.lower(unit)).otherwise(unit)
+
+
+def _name(entity: Column, key: str, attempt: int) -> Column:
+    title = _title(entity)
+    gender = _gender(title)
     n = 4 + attempt
 
-    def build(word: Column, k: Column) -> Column:
+    def build(word: Column) -> Column:
+        digest = F.sha2(F.concat_ws("\x00", F.lit(key), F.lit("name"), F.lit(str(attempt)), gender, word), 512)
         built = F.lit("")
         for script, syllables in SYLLABLES.items():
             table = F.array(*map(F.lit, syllables))
-            parts = [F.element_at(table, _draw(digest, k * (n + 1) + j, 16) + 1) for j in range(n)]
+            parts = [F.element_at(table, _draw(digest, F.lit(j), 16) + 1) for j in range(n)]
             end = F.lit("")
             for g, ending in ENDINGS[script].items():
                 end = F.when(gender == g, ending).otherwise(end)
@@ -156,11 +212,12 @@ def _name(entity: Column, digest: Column, attempt: int) -> Column:
             built = F.when(here, F.initcap(F.concat(*parts, end))).otherwise(built)
         return built
 
-    return F.concat(title, F.array_join(F.transform(words, build), " "))
+    return F.concat(title, F.array_join(F.transform(_name_words(entity), build), " "))
 
 
 def surrogate(entity: Column, kind: Column, key: str, attempt: int) -> Column:
-    digest = F.sha2(F.concat_ws("\x00", F.lit(key), kind, F.lit(str(attempt)), entity), 512)
+    """The replacement of an entity at an attempt."""
+    digest = F.sha2(F.concat_ws("\x00", F.lit(key), kind, F.lit(str(attempt)), _canonical(entity, kind)), 512)
     octets = [F.conv(F.substring(digest, 1 + 4 * j, 4), 16, 10).cast("int") % 254 + 1 for j in range(4)]
     country = F.length(F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[^0-9])", 0))
     domain = F.regexp_extract(entity, r"\.[A-Za-z0-9-]+$", 0)
@@ -170,30 +227,35 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: int) -> Column:
     digits = _more(digest, "0123456789", attempt - FIXED)
     fixed = (
         F.when(kind == "ip", F.concat_ws(".", *(x.cast("string") for x in octets)))
-        .when(kind == "phone", F.concat(_same_shape(entity, digest, no, country), _longer_phone(entity, digest) if attempt else F.lit("")))
-        .when(kind == "iban", _same_shape(entity, digest, no, F.lit(2)))
+        .when(kind == "phone", F.concat(_same_shape(entity, digest, no, country, by_digit=True), _longer_phone(entity, digest) if attempt else F.lit("")))
+        .when(kind == "iban", _mod97(_same_shape(entity, digest, no, F.lit(2))))
+        .when(kind == "card", _luhn(_same_shape(entity, digest, no, none, by_digit=True)))
         .otherwise(_same_shape(entity, digest, entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), none))
     )
     return (
-        F.when(kind == "name", _name(entity, digest, attempt))
+        F.when(kind == "name", _name(entity, key, attempt))
         .when(kind == "email", F.concat(letters, _same_shape(before, digest, no, none), domain))
         .otherwise(F.concat(fixed, digits) if attempt > FIXED else fixed)
     )
 
 
 def _redrawn(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(entity, surrogate) of the entities whose first draw is taken: by another entity, or as an entity itself."""
-    found = docs.select(F.explode(F.array_distinct(entities_of(F.col(text).cast("string")))).alias("entity"))
-    entities = stored(found.distinct().withColumn("kind", kind_of(F.col("entity"))))
+    """(entity, surrogate) of the units whose first draw is taken: by another unit, or as a unit itself."""
+    found = docs.select(F.explode(F.array_distinct(entities_of(F.col(text).cast("string")))).alias("entity")).distinct()
+    found = found.withColumn("kind", kind_of(F.col("entity")))
+    units = found.select("kind", F.explode(units_of(F.col("entity"), F.col("kind"))).alias("entity")).distinct()
+    entities = stored(units.withColumn("thing", _canonical(F.col("entity"), F.col("kind"))))
     pending, settled, extra = entities, None, None
     for attempt in count():
-        drawn = pending.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, attempt))
+        drawn = stored(pending.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, attempt)))
         taken = entities.select(F.col("entity").alias("surrogate"))
         if settled is not None:
             taken = taken.unionByName(settled.select("surrogate"))
-        first = drawn.join(taken, "surrogate", "left_anti").groupBy("surrogate").agg(F.min("entity").alias("entity"))
-        first = stored(first)
-        pending = stored(pending.join(first, "entity", "left_anti"))
+        free = drawn.join(taken, "surrogate", "left_anti").groupBy("surrogate").agg(F.min("thing").alias("thing"))
+        # one mention that has to be drawn again takes all of the same thing along
+        lost = drawn.join(free, ["surrogate", "thing"], "left_anti").select("kind", "thing").distinct()
+        first = stored(drawn.join(lost, ["kind", "thing"], "left_anti").select("entity", "surrogate"))
+        pending = stored(pending.join(lost, ["kind", "thing"], "left_semi"))
         settled = first if settled is None else settled.unionByName(first)
         if attempt:
             extra = first if extra is None else extra.unionByName(first)
@@ -210,24 +272,31 @@ def replace_private_data(docs: DataFrame, key: str, text: str = "text") -> DataF
     if redrawn is None:
         df = df.withColumn("_redrawn", F.lit(None).cast("map<string,string>"))
     else:
-        row = F.xxhash64("_text")
-        holders = plain.select(row.alias("_row"), F.explode(entities_of(F.col("_text"))).alias("entity"))
+        row = F.sha2("_text", 256)
+        holders = plain.select(row.alias("_row"), F.explode(entities_of(F.col("_text"))).alias("entity")).distinct()
+        holders = holders.select("_row", F.explode(units_of(F.col("entity"), kind_of(F.col("entity")))).alias("entity"))
         maps = holders.distinct().join(redrawn, "entity").groupBy("_row")
         maps = maps.agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_redrawn"))
         df = df.withColumn("_row", row).join(maps, "_row", "left").drop("_row")
 
     def replaced(entity: Column) -> Column:
         kind = kind_of(entity)
-        return F.coalesce(F.col("_redrawn")[entity], surrogate(entity, kind, key, 0))
+        drawn = lambda unit: F.coalesce(F.col("_redrawn")[unit], surrogate(unit, kind, key, 0))
+        words = F.transform(units_of(entity, F.lit("name")), lambda u: F.element_at(F.split(drawn(u), " "), -1))
+        return F.when(kind == "name", F.concat(_title(entity), F.array_join(words, " "))).otherwise(drawn(entity))
 
+    both = F.transform("_found", lambda e: F.struct(e.alias("old"), replaced(e).alias("new")))
+    df = df.withColumn("_both", F.when(F.size("_found") > 0, both))
     pieces = F.split(F.col("_text"), ANY, -1)
-    whole = F.array_join(
-        F.zip_with(pieces, F.col("_found"), lambda p, e: F.concat(p, F.when(e.isNull(), "").otherwise(replaced(e)))), ""
-    )
+    whole = F.array_join(F.zip_with(pieces, F.col("_both"), lambda p, e: F.concat(p, F.coalesce(e["new"], F.lit("")))), "")
+    # later mentions of a full name without its title
+    words = lambda name: F.substring(name, F.length(_title(name)) + 1, F.length(name))
+    full = F.array_distinct(F.filter("_both", lambda e: e["old"].rlike(rf"^{_TITLE}\.? \S+ \S+$")))
+    again = F.aggregate(full, whole, lambda t, e: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})"), words(e["old"]), F.lit(r"(?!\p{L})")), words(e["new"])))
     n = F.coalesce(F.size("_found"), F.lit(0))
     back = {c: k for k, c in names.items()}
     columns = [
-        F.when(n > 0, whole).otherwise(F.col("_text")).alias(c) if c == text else F.col(back[c]).alias(c)
+        F.when(n > 0, again).otherwise(F.col("_text")).alias(c) if c == text else F.col(back[c]).alias(c)
         for c in docs.columns
         if c not in RESULTS
     ]
