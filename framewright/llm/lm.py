@@ -5,11 +5,12 @@ only; the others are one unknown word) and one smoothing: a bigram's probability
 word's unigram probability, over the count of the word before plus ``prior``. A document's score is the mean over its words
 of target loss less background loss (nats): the lower, the more it is like the target.
 
-Words and bigrams are counted under 64-bit hashes, so that the tables grow with the corpus; they are dealt to ``SHARDS``
-shards by hash, never gathered. The documents are stored in slices of about 3 MB. Each slice sends a shard its distinct
-hashes with their counts, one row for each shard; the shard adds them up and answers each slice with the totals in the
-slice's own order; the slice is scored from the answers. A hot word is one entry of a slice, however often it stands there,
-so no key is dealt unevenly. Only totals (words, documents, distinct words) reach the driver.
+Words and bigrams are counted under 64-bit hashes, so that the tables grow with the corpus; they are dealt to shards by hash,
+a shard for every ``SHARD`` bytes of text, never gathered. The documents are joined with the target's ids, compressed, and
+stored in slices of about ``SLICE`` bytes. Each slice sends a shard its distinct hashes with their counts, one row for each
+shard; the shard adds them up and answers each slice, in the slice's own order, with the totals of those hashes that it has
+seen elsewhere too; the slice is scored from its own counts and the answers. A hot word is one entry of a slice, however often
+it stands there, so no key is dealt unevenly. Only totals (words, documents, distinct words) reach the driver.
 
 Edge cases: null and empty texts have 0 tokens, null losses and score 0; a target without documents gives the unsmoothed
 prior for the target; repeated rows count and are scored each time; texts of any length are whole; an empty table gives an
@@ -22,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import stored
+from .texts import packed, unpacked_bytes
 from .words import ALNUM, mix, slices, split
 
-SHARDS_BITS = 10
-SHARDS = 1 << SHARDS_BITS
-SLICE = 3 << 20
+SLICE = 10 << 20
+SHARD, LEAST_BITS = 32 << 20, 8
 PRIOR = 50.0
 ALPHA = 0.1
 COUNTED = 1 << 21
@@ -117,67 +119,109 @@ def _counts(n: np.ndarray, word: np.ndarray, before: np.ndarray, bigram: np.ndar
     return keys, counts
 
 
-def _edges(keys: np.ndarray) -> np.ndarray:
-    return np.searchsorted(keys >> np.uint64(64 - SHARDS_BITS), np.arange(SHARDS + 1))
+def _edges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each shard's keys begin among sorted ones, and the end."""
+    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
 
 
-def _requests(keys: np.ndarray, counts: np.ndarray, piece: int, target: bool) -> pa.RecordBatch:
-    edges = _edges(keys)
+def _requests(keys: np.ndarray, counts: np.ndarray, piece: int, target: bool, bits: int) -> pa.RecordBatch:
+    edges = _edges(keys, bits)
     full = np.flatnonzero(np.diff(edges))
     columns = [pa.array(full, pa.int32()), pa.array(np.full(len(full), piece)), pa.array(np.full(len(full), target))]
     columns.append(pa.array(np.diff(edges)[full], pa.int32()))
     # a shard's first key counts from the shard's own start
-    base = full.astype(np.uint64) << np.uint64(64 - SHARDS_BITS)
+    base = full.astype(np.uint64) << np.uint64(64 - bits)
     columns.append(pa.array([_packed_keys(keys[edges[s] : edges[s + 1]] - b) for s, b in zip(full, base, strict=True)], pa.binary()))
     columns.append(pa.array([_packed(counts[:, edges[s] : edges[s + 1]]) for s in full], pa.binary()))
     return pa.RecordBatch.from_arrays(columns, ["shard", "slice", "target", "n", "keys", "counts"])
 
 
-def _sliced(docs: DataFrame, text: str, mark: str | None) -> DataFrame:
+def _answer(own: np.ndarray, totals: np.ndarray) -> bytes:
+    """Which keys have other totals than the slice's own counts, and these totals."""
+    other = np.any(own != totals, axis=0)
+    # byte by byte of all totals, so that the upper zero bytes cost nothing
+    values = np.ascontiguousarray(totals[:, other]).view(np.uint8).reshape(-1, 8).T
+    return np.int32(np.count_nonzero(other)).tobytes() + _packed(np.concatenate([np.packbits(other), values.reshape(-1)]))
+
+
+def _apply(blob: bytes, own: np.ndarray) -> None:
+    """Puts an answer's totals in the place of the slice's own counts."""
+    n, changed = own.shape[1], int(np.frombuffer(blob[:4], np.int32)[0])
+    bits = -(-n // 8)
+    plain = _unpacked(blob[4:], np.uint8, bits + 48 * changed)
+    other = np.unpackbits(plain[:bits], count=n).astype(bool)
+    values = np.ascontiguousarray(plain[bits:].reshape(8, 6 * changed).T).view(np.int64)
+    own[:, other] = values.reshape(6, changed)
+
+
+def _sliced(docs: DataFrame, text: str, target: DataFrame | None) -> DataFrame:
     """(slice, ids, marks, offsets, size, data): the documents in stored slices; marks: one byte for each, 1 in the target."""
-    marked = F.lit(False) if mark is None else F.coalesce(F.col(mark), F.lit(False))
-    frame = docs.select("doc_id", F.col(text).cast("string").alias("text"), marked.alias("mark"))
+    rows = packed(docs, text)
+    if target is None:
+        rows = rows.withColumn("mark", F.lit(False))
+    else:
+        ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
+        rows = rows.join(ids, "doc_id", "left").select("doc_id", "packed", F.coalesce("good", F.lit(False)).alias("mark"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+
+        def sliced() -> pa.RecordBatch:
+            texts = [x for part in held for x in unpacked_bytes(part.column("packed").to_pylist())]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+            ids = pa.concat_arrays([part.column("doc_id") for part in held])
+            marks = np.concatenate([part.column("mark").to_numpy(zero_copy_only=False) for part in held])
+            columns = [pa.array([piece]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+            columns += [pa.array([marks.astype(np.uint8).tobytes()], pa.binary()), pa.array([_packed(offsets)], pa.binary())]
+            columns += [pa.array([int(offsets[-1])], pa.int64()), pa.array([_packed(np.frombuffer(b"".join(texts), np.uint8))], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["slice", "ids", "marks", "offsets", "size", "data"])
+
+        size = 0
         for batch in batches:
-            for row, data, offsets in slices(batch.column("text"), SLICE):
-                marks = batch.column("mark").slice(row, len(offsets) - 1).to_numpy(zero_copy_only=False)
-                ids = batch.column("doc_id").slice(row, len(offsets) - 1)
-                ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-                columns = [pa.array([piece]), ids, pa.array([marks.astype(np.uint8).tobytes()], pa.binary())]
-                columns += [pa.array([_packed(offsets)], pa.binary()), pa.array([len(data)], pa.int64())]
-                columns.append(pa.array([_packed(data)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["slice", "ids", "marks", "offsets", "size", "data"])
-                piece += 1
+            sizes = np.array([zstandard.frame_content_size(x) for x in batch.column("packed").to_pylist()])
+            for row, n in enumerate(sizes.tolist()):
+                held.append(batch.slice(row, 1))
+                size += n
+                if size >= SLICE:
+                    yield sliced()
+                    held, size, piece = [], 0, piece + 1
+        if held:
+            yield sliced()
 
-    kind = frame.schema["doc_id"].dataType.simpleString()
-    return stored(frame.mapInArrow(cut, f"slice long, ids array<{kind}>, marks binary, offsets binary, size long, data binary"))
+    return stored(rows.mapInArrow(cut, "slice long, ids array<long>, marks binary, offsets binary, size long, data binary"))
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame | str, vocabulary: int | None = None, bits: int = 64, text: str = "text"
+    docs: DataFrame, target: DataFrame, vocabulary: int | None = None, bits: int = 64, text: str = "text"
 ) -> DataFrame:
-    """Per document: doc_id, n_tokens, target_loss, background_loss, score. ``target``: documents with the same text column,
-    or the name of a boolean column of ``docs`` that marks them (then they are not sent a second time)."""
+    """Per document: doc_id, n_tokens, target_loss, background_loss, score. ``target``: the documents of the target, by
+    doc_id alone if it has no text column (then they are those of ``docs``), or with texts of their own."""
     known = None if vocabulary is None else vocabulary_of(docs, vocabulary, text)
-    pieces = _sliced(docs, text, target if isinstance(target, str) else None)
+    by_id = text not in target.columns
+    pieces = _sliced(docs, text, target if by_id else None)
+    size = pieces.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards = max(LEAST_BITS, (size // SHARD).bit_length())
 
     def text_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
         return _unpacked(row["data"], np.uint8, row["size"]), _unpacked(row["offsets"], np.int64, len(row["ids"]) + 1)
 
+    def counted(row: dict) -> tuple[tuple, np.ndarray, np.ndarray]:
+        found = _keys(*text_of(row), known, bits)
+        marks = np.frombuffer(row["marks"], np.uint8) == 1
+        return found, *_counts(found[0], *found[2:], (marks, np.ones(len(marks), bool)))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                n, _, *keys = _keys(*text_of(row), known, bits)
-                marks = np.frombuffer(row["marks"], np.uint8) == 1
-                yield _requests(*_counts(n, *keys, (marks, np.ones(len(n), bool))), row["slice"], False)
+            for row in range(len(batch)):
+                row = batch.slice(row, 1).to_pylist()[0]
+                yield _requests(*counted(row)[1:], row["slice"], False, shards)
 
     def ask_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in slices(batch.column("text"), SLICE):
                 n, _, *keys = _keys(data, offsets, known, bits)
-                yield _requests(*_counts(n, *keys, (np.ones(len(n), bool), None)), -1, True)
+                yield _requests(*_counts(n, *keys, (np.ones(len(n), bool), None)), -1, True, shards)
 
     def add(table: pa.Table) -> pa.Table:
         """A shard's answers, and in the row of slice -1 its totals: target words, target starts, words, starts, kinds."""
@@ -186,14 +230,12 @@ def cross_entropy_difference(
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
         # of the target and of all documents: words, words before, bigrams
         totals = np.zeros((6, len(every)), np.int64)
-        at = 0
-        places = []
+        at, held = 0, []
         for r, own in zip(rows, keys, strict=True):
-            mine = place[at : at + len(own)]
+            held.append((place[at : at + len(own)], _unpacked(r["counts"], np.uint32, 6 * len(own)).reshape(6, -1)))
             at += len(own)
-            places.append(mine)
-            totals[:, mine] += _unpacked(r["counts"], np.uint32, 6 * len(own)).reshape(6, -1)
-        answers = [(r["slice"], _packed(totals[:, mine])) for r, mine in zip(rows, places, strict=True) if not r["target"]]
+            totals[:, held[-1][0]] += held[-1][1]
+        answers = [(r["slice"], _answer(own, totals[:, mine])) for r, (mine, own) in zip(rows, held, strict=True) if not r["target"]]
         sums = [*totals[[0, 1, 3, 4]].sum(axis=1), np.count_nonzero(totals[3])]
         shard = rows[0]["shard"]
         columns = [pa.array([shard] * (len(answers) + 1), pa.int32()), pa.array([s for s, _ in answers] + [-1], pa.int64())]
@@ -201,29 +243,23 @@ def cross_entropy_difference(
         return pa.Table.from_arrays(columns, ["shard", "slice", "answer"])
 
     asked = pieces.mapInArrow(ask, _REQUEST)
-    if not isinstance(target, str):
+    if not by_id:
         asked = asked.unionByName(_texts(target, text).mapInArrow(ask_target, _REQUEST))
     answers = stored(asked.groupBy("shard").applyInArrow(add, "shard int, slice long, answer binary"))
-    sums = [np.frombuffer(r["answer"], np.int64) for r in answers.filter("slice = -1").select("answer").collect()]  # a row a shard
-    sums = np.sum(sums, axis=0) if sums else np.zeros(5, np.int64)
+    sums = answers.filter("slice = -1").select("answer").toLocalIterator()  # a row a shard
+    sums = sum((np.frombuffer(r["answer"], np.int64) for r in sums), np.zeros(5, np.int64))
     n_kinds = int(sums[4]) + 2 if vocabulary is None else len(known) + 2
     # words, and texts that have words: each has one word more than it has words with a word before
     all_words, last = (int(sums[0]), int(sums[2])), (int(sums[0] - sums[1]), int(sums[2] - sums[3]))
 
-    frame = docs.select("doc_id")
-    schema = frame.schema
-    for name, kind in (("n_tokens", "long"), ("target_loss", "double"), ("background_loss", "double"), ("score", "double")):
-        schema = schema.add(name, kind)
-
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        n, first, word, before, bigram = _keys(*text_of(row), known, bits)
-        keys = np.unique(np.concatenate([word, bigram]))
-        totals = np.zeros((6, len(keys)), np.int64)
-        edges = _edges(keys)
+        (n, first, word, before, bigram), keys, own = counted(row)
+        totals = own.astype(np.int64)
+        edges = _edges(keys, shards)
         for r in right.to_pylist():
-            a, b = edges[r["shard"]], edges[r["shard"] + 1]
-            totals[:, a:b] = _unpacked(r["answer"], np.int64, 6 * (b - a)).reshape(6, -1)
+            part = slice(edges[r["shard"]], edges[r["shard"] + 1])
+            _apply(r["answer"], totals[:, part])
         w, g = np.searchsorted(keys, word), np.searchsorted(keys, bigram)
         start = before == 0
         p = np.where(start, 0, np.searchsorted(keys, before))
@@ -237,10 +273,10 @@ def cross_entropy_difference(
             if full.any():
                 mean[full] = np.add.reduceat(losses, first[:-1][full]) / n[full]
             means.append(mean)
-        ids = left.column("ids").combine_chunks().flatten()
-        columns = [ids, pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=~full) for x in means)]
+        columns = [left.column("ids").combine_chunks().flatten(), pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=~full) for x in means)]
         columns.append(pa.array(np.where(full, means[0] - means[1], 0.0)))
         return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     replies = answers.filter("slice >= 0").groupBy("slice")
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
     return pieces.groupBy("slice").cogroup(replies).applyInArrow(score, schema)

@@ -22,12 +22,9 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the documents labelled as of good quality; background: all documents. The join is a merge join at any size:
-    labels grow with the documents, so neither side is broadcast."""
+    """Target: the documents labelled as of good quality; background: all documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
-    marked = docs.join(good.withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")
-    return lm.cross_entropy_difference(marked, "good")
+    return lm.cross_entropy_difference(docs, _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

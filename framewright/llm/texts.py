@@ -27,6 +27,10 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
     return plain.mapInArrow(pack, "doc_id long, packed binary")
 
 
-def unpacked(blobs: list[bytes]) -> pa.Array:
+def unpacked_bytes(blobs: list[bytes]) -> list[bytes]:
     unpack = zstandard.ZstdDecompressor()
-    return pa.array([unpack.decompress(x) for x in blobs], pa.large_binary()).cast(pa.large_string())
+    return [unpack.decompress(x) for x in blobs]
+
+
+def unpacked(blobs: list[bytes]) -> pa.Array:
+    return pa.array(unpacked_bytes(blobs), pa.large_binary()).cast(pa.large_string())

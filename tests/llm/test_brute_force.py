@@ -183,7 +183,7 @@ def test_words_match_the_expressions():
         assert n == 500
 
 
-def test_cross_entropy_counts_every_word(spark):
+def test_cross_entropy_counts_every_word(spark, monkeypatch):
     """Against exact counts, with more distinct words and bigrams than the former tables held (65,536 words)."""
     pick = random.Random(4)
     rows = [(i, " ".join(f"w{int(70_000 * pick.random() ** 2)}" for _ in range(600))) for i in range(300)]
@@ -214,5 +214,10 @@ def test_cross_entropy_counts_every_word(spark):
             p = [(bigrams[b, x] + 50 * (unigrams[x] + 0.1) / (n + 0.1 * kinds)) / (befores[b] + 50) for b, x in zip([None, *w], w)]
             losses.append(-np.mean(np.log(p)))
         assert np.allclose((got[i]["target_loss"], got[i]["background_loss"], got[i]["score"]), (*losses, losses[0] - losses[1]), rtol=1e-9, atol=1e-9)
-    marked = docs.selectExpr("*", "doc_id % 3 = 0 AS good")
-    assert got == {r["doc_id"]: r for r in lm.cross_entropy_difference(marked, "good").collect()}
+    by_id = docs.filter("doc_id % 3 = 0").select("doc_id")
+    assert got == {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, by_id).collect()}
+    # many small slices and shards
+    monkeypatch.setattr(lm, "SLICE", 20_000)
+    monkeypatch.setattr(lm, "SHARD", 10_000)
+    small = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, by_id).collect()}
+    assert all(np.isclose(small[i]["score"], got[i]["score"]) for i in got)
