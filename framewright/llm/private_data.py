@@ -99,6 +99,11 @@ def entities_of(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(None).cast("array<string>")).when(maybe, found).otherwise(none)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def kind_of(entity: Column) -> Column:
     found = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS.items()):
@@ -112,18 +117,21 @@ def _draw(digest: Column, place: Column, n: int) -> Column:
     return (F.conv(hexes, 16, 10).cast("int") + place.cast("int") * 7) % n
 
 
-def _same_shape(text: Column, digest: Column, hexadecimal: Column, keep: Column, by_digit: bool = False) -> Column:
+def _same_shape(text: Column, digest: Column, hexadecimal: Column, keep: Column, by_digit: Column) -> Column:
     """Each character from index ``keep`` on replaced by a drawn one of its own class; ``by_digit``: a digit is drawn by the
     number of digits after it, whatever stands between them."""
 
     def one(c: Column, i: Column) -> Column:
-        out = c
-        place = F.length(F.regexp_replace(F.substring(text, i + 2, F.length(text)), "[^0-9]", "")) if by_digit else i
-        for pattern, letters in reversed(ALPHABETS.items()):
-            n = F.when(hexadecimal & F.lit(pattern.lower() == "[a-z]"), 6).otherwise(len(letters))
-            drawn = F.substring(F.lit(letters), _draw(digest, place, n) + 1, F.lit(1))
-            out = F.when(c.rlike(f"^{pattern}$"), drawn).otherwise(out)
-        return F.when(i < keep, c).otherwise(out)
+        after = F.length(F.regexp_replace(F.substring(text, i + 2, F.length(text)), "[^0-9]", ""))
+
+        def drawn(place: Column) -> Column:
+            out = c
+            for pattern, letters in reversed(ALPHABETS.items()):
+                n = F.when(hexadecimal, 6).otherwise(len(letters)) if pattern.lower() == "[a-z]" else len(letters)
+                out = F.when(c.rlike(f"^{pattern}$"), F.substring(F.lit(letters), _draw(digest, place, n) + 1, F.lit(1))).otherwise(out)
+            return out
+
+        return F.when(i < keep, c).otherwise(_let(F.when(by_digit, after).otherwise(i), drawn))
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -195,12 +203,9 @@ def _canonical(unit: Column, kind: Column) -> Column:
 
 
 def _name(entity: Column, key: str, attempt: int) -> Column:
-    title = _title(entity)
-    gender = _gender(title)
     n = 4 + attempt
 
-    def build(word: Column) -> Column:
-        digest = F.sha2(F.concat_ws("\x00", F.lit(key), F.lit("name"), F.lit(str(attempt)), gender, word), 512)
+    def build(word: Column, gender: Column, digest: Column) -> Column:
         built = F.lit("")
         for script, syllables in SYLLABLES.items():
             table = F.array(*map(F.lit, syllables))
@@ -212,31 +217,45 @@ def _name(entity: Column, key: str, attempt: int) -> Column:
             built = F.when(here, F.initcap(F.concat(*parts, end))).otherwise(built)
         return built
 
-    return F.concat(title, F.array_join(F.transform(_name_words(entity), build), " "))
+    def named(t: Column) -> Column:
+        digest = lambda w: F.sha2(F.concat_ws("\x00", F.lit(key), F.lit("name"), F.lit(str(attempt)), t["gender"], w), 512)
+        words = F.transform(t["words"], lambda w: _let(digest(w), lambda d: build(w, t["gender"], d)))
+        return F.concat(t["title"], F.array_join(words, " "))
+
+    return _let(F.struct(_title(entity).alias("title"), _gender(_title(entity)).alias("gender"), _name_words(entity).alias("words")), named)
 
 
 def surrogate(entity: Column, kind: Column, key: str, attempt: int) -> Column:
     """The replacement of an entity at an attempt."""
     digest = F.sha2(F.concat_ws("\x00", F.lit(key), kind, F.lit(str(attempt)), _canonical(entity, kind)), 512)
-    octets = [F.conv(F.substring(digest, 1 + 4 * j, 4), 16, 10).cast("int") % 254 + 1 for j in range(4)]
     country = F.length(F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[^0-9])", 0))
-    domain = F.regexp_extract(entity, r"\.[A-Za-z0-9-]+$", 0)
-    before = F.substring(entity, F.lit(1), F.length(entity) - F.length(domain))
-    no, none = F.lit(False), F.lit(0)
-    letters = _more(digest, "abcdefghijklmnopqrstuvwxyz", attempt)
-    digits = _more(digest, "0123456789", attempt - FIXED)
-    fixed = (
-        F.when(kind == "ip", F.concat_ws(".", *(x.cast("string") for x in octets)))
-        .when(kind == "phone", F.concat(_same_shape(entity, digest, no, country, by_digit=True), _longer_phone(entity, digest) if attempt else F.lit("")))
-        .when(kind == "iban", _mod97(_same_shape(entity, digest, no, F.lit(2))))
-        .when(kind == "card", _luhn(_same_shape(entity, digest, no, none, by_digit=True)))
-        .otherwise(_same_shape(entity, digest, entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), none))
-    )
-    return (
-        F.when(kind == "name", _name(entity, key, attempt))
-        .when(kind == "email", F.concat(letters, _same_shape(before, digest, no, none), domain))
-        .otherwise(F.concat(fixed, digits) if attempt > FIXED else fixed)
-    )
+    bound = F.struct(
+        entity.alias("e"), kind.alias("k"), digest.alias("d"),
+        entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").alias("hex"),
+        F.when(kind == "phone", country).when(kind == "iban", 2).otherwise(0).alias("keep"),
+    )
+
+    def shaped(u: Column) -> Column:
+        shape = _same_shape(u["e"], u["d"], u["hex"], u["keep"], u["k"].isin("phone", "card"))
+        return _let(shape, lambda shape: drawn(u, shape))
+
+    def drawn(u: Column, shape: Column) -> Column:
+        e, k, d = u["e"], u["k"], u["d"]
+        octets = [F.conv(F.substring(d, 1 + 4 * j, 4), 16, 10).cast("int") % 254 + 1 for j in range(4)]
+        domain = F.regexp_extract(e, r"\.[A-Za-z0-9-]+$", 0)
+        letters = _more(d, "abcdefghijklmnopqrstuvwxyz", attempt)
+        digits = _more(d, "0123456789", attempt - FIXED)
+        fixed = (
+            F.when(k == "ip", F.concat_ws(".", *(x.cast("string") for x in octets)))
+            .when(k == "phone", F.concat(shape, _longer_phone(e, d) if attempt else F.lit("")))
+            .when(k == "iban", _mod97(shape))
+            .when(k == "card", _luhn(shape))
+            .otherwise(shape)
+        )
+        mail = F.concat(letters, F.substring(shape, F.lit(1), F.length(e) - F.length(domain)), domain)
+        return F.when(k == "email", mail).otherwise(F.concat(fixed, digits) if attempt > FIXED else fixed)
+
+    return F.when(kind == "name", _name(entity, key, attempt)).otherwise(_let(bound, shaped))
 
 
 def _redrawn(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -268,7 +287,8 @@ def replace_private_data(docs: DataFrame, key: str, text: str = "text") -> DataF
     names = {f"k{i}": c for i, c in enumerate(docs.columns) if c not in RESULTS and c != text}
     redrawn = _redrawn(docs, text, key)
     plain = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in names.items()), F.col(text).cast("string").alias("_text"))
-    df = plain.withColumn("_found", entities_of(F.col("_text")))
+    found = F.transform(entities_of(F.col("_text")), lambda e: F.struct(e.alias("e"), kind_of(e).alias("k")))
+    df = plain.withColumn("_found", found)
     if redrawn is None:
         df = df.withColumn("_redrawn", F.lit(None).cast("map<string,string>"))
     else:
@@ -279,13 +299,15 @@ def replace_private_data(docs: DataFrame, key: str, text: str = "text") -> DataF
         maps = maps.agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias("_redrawn"))
         df = df.withColumn("_row", row).join(maps, "_row", "left").drop("_row")
 
-    def replaced(entity: Column) -> Column:
-        kind = kind_of(entity)
-        drawn = lambda unit: F.coalesce(F.col("_redrawn")[unit], surrogate(unit, kind, key, 0))
+    def named(entity: Column) -> Column:
+        drawn = lambda unit: F.coalesce(F.col("_redrawn")[unit], _name(unit, key, 0))
         words = F.transform(units_of(entity, F.lit("name")), lambda u: F.element_at(F.split(drawn(u), " "), -1))
-        return F.when(kind == "name", F.concat(_title(entity), F.array_join(words, " "))).otherwise(drawn(entity))
+        return F.concat(_title(entity), F.array_join(words, " "))
+
+    def other(x: Column) -> Column:
+        return F.coalesce(F.col("_redrawn")[x["e"]], surrogate(x["e"], x["k"], key, 0))
 
-    both = F.transform("_found", lambda e: F.struct(e.alias("old"), replaced(e).alias("new")))
+    both = F.transform("_found", lambda x: F.struct(x["e"].alias("old"), F.when(x["k"] == "name", named(x["e"])).otherwise(other(x)).alias("new")))
     df = df.withColumn("_both", F.when(F.size("_found") > 0, both))
     pieces = F.split(F.col("_text"), ANY, -1)
     whole = F.array_join(F.zip_with(pieces, F.col("_both"), lambda p, e: F.concat(p, F.coalesce(e["new"], F.lit("")))), "")
@@ -303,5 +325,5 @@ def replace_private_data(docs: DataFrame, key: str, text: str = "text") -> DataF
     return df.select(
         *columns,
         n.cast("long").alias("n_entities"),
-        F.array_join(F.sort_array(F.array_distinct(F.transform("_found", kind_of))), ",").alias("kinds"),
+        F.array_join(F.sort_array(F.array_distinct(F.transform("_found", lambda x: x["k"]))), ",").alias("kinds"),
     )
