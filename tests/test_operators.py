@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.functions import robust, scalar
+from framewright.functions import imaging, robust, scalar
 from framewright.operators import catalog, raster, stack
 from framewright.streaming import events
 
@@ -222,3 +222,78 @@ def test_imaging_formulas(spark):
         curve = [one(spark, imaging.hyperbolic_stretch(a, 5.0, b, 0.3, 0.1, 0.9), a=x) for x in (0.0, 0.2, 0.3, 0.5, 0.95, 1.0)]
         assert curve == sorted(curve) and curve[0] == 0 and curve[-1] == pytest.approx(1)
     assert one(spark, imaging.hyperbolic_stretch(a, 0.0, 1.0, 0.3), a=0.4) == 0.4
+
+
+def test_critical_values_are_those_of_the_tables():
+    for m, bound in ((10, 2.290), (20, 2.709), (30, 2.908)):
+        assert abs(stack.esd_critical(m) - bound) < 2e-3
+
+
+@pytest.mark.parametrize("b", [-3.0, -1.0, -0.4, 0.0, 0.7, 4.0])
+def test_hyperbolic_stretch_is_the_area_under_its_slope(spark, b):
+    d, centre, low, high = 3.0, 0.35, 0.1, 0.8
+
+    def slope(x):
+        u = abs(min(max(x, low), high) - centre)
+        if b == 0:
+            return math.exp(-d * u)
+        return (1 + b * d * u) ** (-(1 + b) / b) if b > 0 else (1 - b * d * u) ** (1 / b)
+
+    n = 20_000
+    area = np.concatenate([[0], np.cumsum([slope((i + 0.5) / n) for i in range(n)])])
+    places = [0.0, 0.05, 0.1, 0.3, 0.35, 0.5, 0.8, 0.95, 1.0]
+    df = spark.createDataFrame([(x,) for x in places], "x double")
+    got = [r[0] for r in df.select(imaging.hyperbolic_stretch(F.col("x"), d, b, centre, low, high)).collect()]
+    assert np.allclose(got, [area[round(x * n)] / area[-1] for x in places], atol=1e-6)
+
+
+def test_small_stacks_coverage_and_the_grid(spark):
+    rows = [(p, f, float(f + p), 0.0005 if (p, f) == (1, 2) else 1.0) for p in (1, 2) for f in (1, 2, 3, 9)]
+    samples = spark.createDataFrame(rows, "px long, frame long, v double, coverage double")
+    found = stack.stacked(stack.covered(samples), "sigma")  # four frames: the median
+    grid = spark.createDataFrame([(1,), (2,), (7,)], "px long")
+    got = {r["px"]: (r["n_samples"], r["value"]) for r in stack.on_grid(found, grid).collect()}
+    assert got == {1: (3, 4.0), 2: (4, 4.5), 7: (0, 0.0)}
+    assert stack.stacked(samples, None).filter("px = 1").first()["value"] == 4.75
+    assert stack.stacked(samples.filter("false"), "sigma").count() == 0
+
+
+def test_common_domain_and_multiplicative_gains(spark):
+    rows = [(p, f, p * (1.0 + f)) for p in range(1, 8) for f in (0, 1)] + [(99, 0, 1e6)]
+    shared = stack.common_domain(spark.createDataFrame(rows, "px long, frame long, v double"))
+    assert {r["px"] for r in shared.collect()} == set(range(1, 8))
+    gains = {r["frame"]: r["gain"] for r in stack.multiplicative_gains(stack.frame_levels(shared)).collect()}
+    assert gains == {0: 1.0, 1: 0.5}
+
+
+def test_auto_softening_brings_the_median_to_its_target(spark):
+    pixels = spark.createDataFrame([(0, 0, i, 0.01 * (i + 1)) for i in range(9)], "frame long, y int, x int, v double")
+    got = sorted(r["v"] for r in raster.auto_asinh(pixels, 0.6).collect())
+    assert abs(got[4] - 0.6) < 1e-9
+
+
+def test_colours_keep_their_ratios(spark):
+    df = spark.createDataFrame([(0.2, 0.1, 0.3), (0.0, 0.0, 0.0), (0.9, 0.1, 0.1)], "r double, g double, b double")
+    bent = imaging.colour_preserving(F.col("r"), F.col("g"), F.col("b"), lambda v: raster.asinh_stretch(v, 0.05))
+    got = [tuple(r) for r in df.select(*bent).collect()]
+    assert got[1] == (0.0, 0.0, 0.0) and max(map(max, got)) <= 1.0 + 1e-12
+    assert np.allclose(np.array(got[0]) / got[0][1], (2, 1, 3)) and math.isclose(got[2][0], 1.0)
+
+
+def test_rigid_fit_finds_turn_and_shift(spark):
+    pick = np.random.default_rng(1)
+    places = pick.uniform(0, 100, (20, 2))
+    a = 0.3
+    rows = [(0, float(x), float(y), float(math.cos(a) * x - math.sin(a) * y + 5), float(math.sin(a) * x + math.cos(a) * y - 7)) for x, y in places]
+    r = catalog.rigid(spark.createDataFrame(rows, "frame long, rx double, ry double, tx double, ty double")).first()
+    assert np.allclose((r["angle"], r["dx"], r["dy"]), (a, 5, -7))
+    shift = np.array([[t[3] - t[1], t[4] - t[2]] for t in rows]).mean(axis=0)
+    assert np.allclose((r["shift_x"], r["shift_y"]), shift)
+
+
+def test_noisy_channels_count_less(spark):
+    rows = [(f, y, x, f + 0.1 * (f + 1) * ((-1) ** (x + y))) for f in (0, 1) for y in range(8) for x in range(8)]
+    pixels = spark.createDataFrame(rows, "frame long, y int, x int, v double")
+    tiles = spark.createDataFrame([(0, 0, 0, 1.0), (1, 0, 0, 2.0), (1, 0, 1, 0.0)], "frame long, ty int, tx int, sigma double")
+    got = {(r["y"], r["x"]): r["v"] for r in raster.combine_channels(pixels, tiles).collect()}
+    assert math.isclose(got[(0, 0)], (0.1 * 1 + 1.2 * 0.25) / 1.25)
