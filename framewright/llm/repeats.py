@@ -10,13 +10,13 @@ whole, and take no part in what follows. Three steps for the others:
 2. Confirmation. The windows of the anchors left are shuffled; those of two documents or more are recurring passages, each
    with the smallest document that has it.
 3. Location. Documents go through in shards of about ``SHARD_WORDS`` words. The confirmed passages that a join by document
-   says may occur in a shard are compiled, word by word (a word is one symbol), into automata of at most ``PATTERNS``
+   says may occur in a shard are compiled, word by word, into automata of at most ``PATTERNS``
    passages; every document of the shard is streamed through each. The places that an automaton reports, and nothing else,
    decide: a reported passage of a smaller document is removed.
 
 One key may be in a third of all documents: each task first gathers a key's documents of about ``CHUNK_WORDS`` words into
-one row, so a key has at most a row for each such chunk, of bounded size. Candidates are known by 64-bit hashes; a word's
-symbol stands for its 64-bit hash.
+one row, so a key has at most a row for each such chunk, of bounded size. Candidates are known by 64-bit hashes, and an
+automaton's words by theirs.
 
 Edge cases: null and empty texts have no words and stay empty; texts shorter than a window lose nothing; documents without
 doc_id are not smaller or greater than any other, lose nothing and take nothing; rows with the same doc_id do not take
@@ -42,7 +42,7 @@ from .words import NON_SPACE, Words, covered, mix, slices, split
 
 CHUNK_WORDS = 1 << 20
 SHARD_WORDS = 300_000
-PATTERNS = 50_000
+PATTERNS = 20_000
 
 
 def _runs(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -154,30 +154,37 @@ def recurring_windows(docs: DataFrame, copies: DataFrame, window: int = 13, anch
     return shared_keys(joined.mapInArrow(candidates, "win long, doc long, docs array<long>"), "win").filter("lo < doc_id")
 
 
-def _symbols(codes: np.ndarray) -> str:
-    """One character for each number up to 1,112,063; surrogates are left out."""
-    return (codes + np.where(codes < 0xD800, 0, 0x800)).astype("<u4").tobytes().decode("utf-32-le")
+def _line(known: np.ndarray, codes: np.ndarray, text: np.ndarray) -> tuple[str, np.ndarray]:
+    """The words of passages (at the places ``known``) as one line, and where each begins in it. A word is three characters
+    of three alphabets of 64, as an automaton looks through a node's characters one by one; a gap or a text's end is a bar."""
+    broken = np.ones(len(known), np.int64)
+    broken[1:] = (known[1:] != known[:-1] + 1) | (text[known[1:]] != text[known[:-1]])
+    begins = np.cumsum(broken + 3) - 3
+    line = np.full(begins[-1] + 3 if len(begins) else 0, ord("|"), "<u4")
+    for k in range(3):
+        line[begins + k] = 256 * (k + 1) + ((codes >> (6 * k)) & 63)
+    return line.tobytes().decode("utf-32-le"), begins
 
 
 def located(words: Words, passages: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(first words, passages) of every occurrence inside one text. ``passages``: first words of one occurrence of each."""
-    places = np.arange(len(words.hashes)) + words.text_of_word()
-    codes = np.zeros(len(words.hashes) + len(words.first), np.int64)
-    word_at = np.zeros(len(codes), np.int64)
-    word_at[places] = np.arange(len(places))
-    for start in range(0, len(passages), PATTERNS):
-        some = passages[start : start + PATTERNS]
-        # a symbol for each word of these passages; 0 stands between texts, 1 for all other words
+    text = words.text_of_word()
+    most = (64**3 - 1) // window
+    for start in range(0, len(passages), min(PATTERNS, most)):
+        some = passages[start : start + min(PATTERNS, most)]
+        # a code for each word of these passages; no other word can be part of one
         kinds = np.unique(words.hashes[some[:, None] + np.arange(window)])
         at = np.minimum(np.searchsorted(kinds, words.hashes), len(kinds) - 1)
-        codes[places] = np.where(kinds[at] == words.hashes, at + 2, 1)
-        line = _symbols(codes)
+        known = np.flatnonzero(kinds[at] == words.hashes)
+        line, begins = _line(known, at[known], text)
         automaton = ahocorasick.Automaton()
-        for k, first in enumerate(places[some].tolist(), start):
-            automaton.add_word(line[first : first + window], k)
+        for k, begin in enumerate(begins[np.searchsorted(known, some)].tolist(), start):
+            automaton.add_word(line[begin : begin + 3 * window], k)
         automaton.make_automaton()
-        ends, found = np.array(list(automaton.iter(line)), np.int64).reshape(-1, 2).T
-        yield word_at[ends - window + 1], found
+        found = np.fromiter(automaton.iter(line), np.dtype([("end", np.int64), ("passage", np.int64)]))
+        word_at = np.zeros(len(line), np.int64)
+        word_at[begins] = known
+        yield word_at[found["end"] - 3 * window + 1], found["passage"]
 
 
 def _removed(words: Words, ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], window: int) -> np.ndarray:

@@ -16,7 +16,7 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, packed): the text compressed; null counts as empty."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=5)
         for batch in batches:
             for row in range(0, len(batch), ROWS):
                 part = batch.slice(row, ROWS)
