@@ -90,6 +90,14 @@ def auto_asinh_beta(median: Column, target: float = 0.2) -> Column:
     return F.reduce(F.sequence(F.lit(1), F.lit(HALVINGS)), start, half, lambda p: F.pow(F.lit(10.0), (p["lo"] + p["hi"]) / 2))
 
 
+def remapped(r: Column, g: Column, b: Column, to: Column) -> tuple[Column, Column, Column]:
+    """Channels scaled so that their mean becomes ``to``, the brightest at most 1 and none below 0; without light untouched."""
+    mean = (r + g + b) / 3
+    gain = to / mean
+    gain = gain / F.greatest(gain * F.greatest(r, g, b), F.lit(1.0))
+    return tuple(F.when(mean <= 0, c).otherwise(F.greatest(c * gain, F.lit(0.0))) for c in (r, g, b))
+
+
 def colour_preserving(r: Column, g: Column, b: Column, curve) -> tuple[Column, Column, Column]:
     """Channels scaled by what the curve does to their mean, the brightest at most 1; black stays black."""
     mean = (r + g + b) / 3

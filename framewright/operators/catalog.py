@@ -6,10 +6,12 @@ brightest N of a frame, never by pairing all stars.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+from .levels import medians
+
 
 def reject_reason(peak: float = 0.95, snr: float = 10.0, sharpness: float = 0.7, fwhm: float = 4.8) -> Column:
     """The first test that a star fails, in order; null if it passes all."""
@@ -35,13 +37,12 @@ def brightest(stars: DataFrame, n: int) -> DataFrame:
 def width_outliers(stars: DataFrame, k: float = 3.0) -> DataFrame:
     """Stars not wider than median + k * max(MAD, a tenth of the median), of the frame's brighter half (at least five)."""
     order = Window.partitionBy("frame").orderBy(F.desc("flux"), "star")
-    counted = stars.withColumns({"rank": F.row_number().over(order), "many": F.count("*").over(Window.partitionBy("frame"))})
+    counted = stored(stars.withColumns({"rank": F.row_number().over(order), "many": F.count("*").over(Window.partitionBy("frame"))}))
     half = counted.filter(F.col("rank") <= F.greatest(F.floor(F.col("many") / 2), F.lit(5)))
-    levels = half.groupBy("frame").agg(F.median("fwhm").alias("m"))
-    off = half.join(F.broadcast(levels), "frame").withColumn("off", F.abs(F.col("fwhm") - F.col("m")))
-    levels = off.groupBy("frame", "m").agg(F.median("off").alias("d"))
+    off = half.join(medians(half, ["frame"], "fwhm", "m"), "frame").withColumn("off", F.abs(F.col("fwhm") - F.col("m")))
+    levels = medians(off, ["frame", "m"], "off", "d")
     bound = F.col("m") + k * F.greatest("d", F.col("m") * 0.1)
-    kept = counted.join(F.broadcast(levels), "frame").filter((F.col("many") < 5) | (F.col("fwhm") <= bound))
+    kept = counted.join(levels, "frame").filter((F.col("many") < 5) | (F.col("fwhm") <= bound))
     return kept.select("frame", "star", "fwhm")
 
 
@@ -80,8 +81,6 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
 
     Rounds of mutual first choices give the same matches as going through the pairs one by one, without a frame in one task.
     """
-    from ..sources.shared import stored
-
     order = F.struct("distance", "a", "b")
     left, taken = stored(pairs.select("frame", "a", "b", "distance")), None
     while not left.isEmpty():
@@ -99,8 +98,6 @@ def without_duplicates(stars: DataFrame, separation: float = 8.0) -> DataFrame:
 
     Rounds: a star whose brighter neighbours are all decided is decided; a chain of neighbours takes a round for each link.
     """
-    from ..sources.shared import stored
-
     pairs = within(stars, stars, separation).filter((F.col("distance") < separation) & (F.col("a") != F.col("b")))
     flux = stars.select("frame", "star", "flux")
     brighter = pairs.join(flux.select("frame", F.col("star").alias("a"), F.col("flux").alias("fa")), ["frame", "a"])
@@ -154,6 +151,46 @@ def similarity(matches: DataFrame) -> DataFrame:
     )
 
 
+def diagnostics(stars: DataFrame, **limits) -> DataFrame:
+    """(frame, n, n_kept, width, snr): stars found and kept, and the kept ones' median width and signal."""
+    judged = stars.withColumn("kept", reject_reason(**limits).isNull())
+    counts = judged.groupBy("frame").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))
+    kept = judged.filter("kept")
+    return counts.join(medians(kept, ["frame"], "fwhm", "width"), "frame", "left").join(medians(kept, ["frame"], "snr", "snr"), "frame", "left")
+
+
+#: Deviations about the median, its least share, and the width where no star tells it.
+NEAR, LEAST_SPREAD, WIDTH = 3.0, 0.1, 4.0
+
+
+def typical_width(stars: DataFrame, **limits) -> DataFrame:
+    """(frame, n, width): median width of the stars that pass the tests and lie near the median of these; ``WIDTH`` for a
+    frame without any."""
+    good = stored(stars.filter(reject_reason(**limits).isNull()).select("frame", "fwhm"))
+    levels = medians(good, ["frame"], "fwhm", "m")
+    off = good.join(levels, "frame").withColumn("off", F.abs(F.col("fwhm") - F.col("m")))
+    spread = medians(off, ["frame"], "off", "d")
+    near = off.join(spread, "frame").filter(F.col("off") <= NEAR * F.greatest("d", F.col("m") * LEAST_SPREAD))
+    found = near.groupBy("frame").agg(F.count("*").alias("n")).join(medians(near, ["frame"], "fwhm", "width"), "frame")
+    frames = stars.select("frame").distinct().join(found, "frame", "left")
+    return frames.select("frame", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("width", F.lit(WIDTH)).alias("width"))
+
+
+def composed(after: list[float], before: list[float]) -> list[float]:
+    """The 3x3 transform that applies ``before`` and then ``after``."""
+    return [sum(after[3 * i + k] * before[3 * k + j] for k in range(3)) for i in range(3) for j in range(3)]
+
+
+def inverse(m: list[float]) -> list[float]:
+    """The transform that undoes a 3x3 one, by cofactors."""
+    at = lambda i, j: m[3 * (i % 3) + j % 3]
+    minor = lambda i, j: at(i + 1, j + 1) * at(i + 2, j + 2) - at(i + 1, j + 2) * at(i + 2, j + 1)
+    size = sum(at(0, j) * minor(0, j) for j in range(3))
+    if abs(size) < 1e-300:
+        raise ValueError("the transform has no inverse")
+    return [minor(j, i) / size for i in range(3) for j in range(3)]
+
+
 def transformed(stars: DataFrame, m: list[float]) -> DataFrame:
     """Positions under a projective 3x3 transform, rows first."""
     w = m[6] * F.col("x") + m[7] * F.col("y") + m[8]

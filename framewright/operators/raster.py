@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import imaging, robust
+from ..sources.shared import stored
+from .levels import medians
 
 KEYS = ("frame", "y", "x")
 
@@ -26,9 +28,9 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 def auto_stretch(pixels: DataFrame, k: float = 1.5, target: float = 0.2) -> DataFrame:
     """Black point below the median by ``k`` deviations, then midtones that bring the median to ``target``."""
-    levels = pixels.groupBy("frame").agg(F.median("v").alias("m"))
-    off = pixels.join(F.broadcast(levels), "frame").withColumn("off", F.abs(F.col("v") - F.col("m")))
-    levels = off.groupBy("frame", "m").agg((F.median("off") * robust.MAD_TO_SIGMA).alias("d"))
+    levels = stored(medians(pixels, ["frame"], "v", "m"))
+    off = pixels.join(levels, "frame").withColumn("off", F.abs(F.col("v") - F.col("m")))
+    levels = medians(off, ["frame", "m"], "off", "mad").withColumn("d", F.col("mad") * robust.MAD_TO_SIGMA)
     levels = levels.withColumn("black", clamp(F.col("m") - k * F.col("d")))
     rescaled = clamp((F.col("m") - F.col("black")) / (1 - F.col("black")))
     levels = levels.withColumn("mid", clamp(midtones(rescaled, F.lit(target)), 1e-4, 1 - 1e-4))
@@ -39,7 +41,7 @@ def auto_stretch(pixels: DataFrame, k: float = 1.5, target: float = 0.2) -> Data
 
 def auto_asinh(pixels: DataFrame, target: float = 0.2) -> DataFrame:
     """Asinh stretch with the softening that brings each frame's median to ``target``."""
-    levels = pixels.groupBy("frame").agg(F.median("v").alias("m"))
+    levels = medians(pixels, ["frame"], "v", "m")
     levels = levels.select("frame", imaging.auto_asinh_beta(F.col("m"), target).alias("beta"))
     lit = pixels.join(F.broadcast(levels), "frame")  # a row for each frame
     return lit.select(*KEYS, clamp(F.asinh(F.col("v") / F.col("beta")) / F.asinh(1 / F.col("beta"))).alias("v"))
@@ -127,6 +129,38 @@ def tile_background(pixels: DataFrame, tile: int) -> DataFrame:
     return stats.select("frame", "ty", "tx", sky.alias("sky"), d.alias("sigma"))
 
 
+def smoothed_tiles(tiles: DataFrame) -> DataFrame:
+    """Sky and noise of each tile as the medians of its 3x3 neighbourhood, smaller at the edges; frames with fewer than
+    three tiles on an axis stay as they are."""
+    few = tiles.groupBy("frame").agg((F.least(F.max("ty") - F.min("ty"), F.max("tx") - F.min("tx")) < 2).alias("few"))
+    for c in ("sky", "sigma"):
+        near = median_3x3(tiles.select("frame", F.col("ty").alias("y"), F.col("tx").alias("x"), F.col(c).alias("v")))
+        near = near.select("frame", F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("v").alias(f"near_{c}"))
+        tiles = tiles.join(near, ["frame", "ty", "tx"])
+    best = lambda c: F.when(F.col("few"), F.col(c)).otherwise(F.col(f"near_{c}")).alias(c)
+    return tiles.join(F.broadcast(few), "frame").select("frame", "ty", "tx", best("sky"), best("sigma"))  # a row a frame
+
+
+#: Share of the typical noise, and the least noise at all.
+FLOOR_SHARE, LEAST_NOISE = 1e-4, 1e-12
+
+
+def noise_floor(tiles: DataFrame) -> DataFrame:
+    """(frame, floor): a small share of the median of the tiles' positive noise, or of their sky where no tile has any."""
+    levels = tiles.groupBy("frame").agg(F.median(F.when(F.col("sigma") > 0, F.col("sigma"))).alias("noise"), F.median(F.abs("sky")).alias("sky"))
+    return levels.select("frame", F.greatest(FLOOR_SHARE * F.coalesce("noise", "sky"), F.lit(LEAST_NOISE)).alias("floor"))
+
+
+def matched_filter(pixels: DataFrame, tiles: DataFrame, tile: int, kernel: list[tuple[int, int, float]], k: float) -> DataFrame:
+    """(frame, y, x, v): the kernel's response to what lies above the tiles' sky, brought to the noise of one pixel, where
+    it is more than ``k`` times the tile's noise."""
+    placed = pixels.withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
+    lit = placed.join(tiles, ["frame", "ty", "tx"])
+    norm = sum(w * w for _, _, w in kernel) ** 0.5
+    answer = spread(lit.select(*KEYS, (F.col("v") - F.col("sky")).alias("v")), kernel).groupBy(*KEYS).agg((F.sum(F.col("v") * F.col("k")) / norm).alias("f"))
+    return lit.join(answer, list(KEYS)).filter(F.col("f") > k * F.col("sigma")).select(*KEYS, F.col("f").alias("v"))
+
+
 def above_background(pixels: DataFrame, tiles: DataFrame, tile: int, k: float, floor: float = 1e-6) -> DataFrame:
     """Pixels more than ``k`` times the noise above their tile's sky."""
     placed = pixels.withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
@@ -147,14 +181,16 @@ def tile_histogram(pixels: DataFrame, tile: int, bins: int = 256) -> DataFrame:
 def neutralised(pixels: DataFrame, kappa: float = 2.5, passes: int = 5) -> DataFrame:
     """Each frame shifted so that its clipped median is the least of all frames'. Clipping is by aggregates, pass by pass,
     so that no frame is gathered."""
-    levels = pixels.groupBy("frame").agg(F.median("v").alias("m"))
-    bounds = levels.withColumns({"low": F.lit(float("-inf")), "high": F.lit(float("inf"))})
+    pixels = stored(pixels)
+    bounds = pixels.select("frame").distinct().withColumns({"low": F.lit(float("-inf")), "high": F.lit(float("inf"))})
     for _ in range(passes):
-        inside = pixels.join(F.broadcast(bounds), "frame").filter(F.col("v").between(F.col("low"), F.col("high")))
-        centre = inside.groupBy("frame", "low", "high").agg(F.median("v").alias("m"))
-        off = inside.drop("m").join(F.broadcast(centre.select("frame", "m")), "frame").withColumn("off", F.abs(F.col("v") - F.col("m")))
-        spread_ = off.groupBy("frame", "m", "low", "high").agg((F.median("off") * robust.MAD_TO_SIGMA * kappa).alias("d"))
-        bounds = spread_.select("frame", "m", F.greatest("low", F.col("m") - F.col("d")).alias("low"), F.least("high", F.col("m") + F.col("d")).alias("high"))
+        inside = pixels.join(bounds.drop("m"), "frame").filter(F.col("v").between(F.col("low"), F.col("high")))
+        centre = stored(medians(inside, ["frame", "low", "high"], "v", "m"))
+        off = pixels.join(centre, "frame").filter(F.col("v").between(F.col("low"), F.col("high")))
+        off = medians(off.withColumn("off", F.abs(F.col("v") - F.col("m"))), ["frame", "m", "low", "high"], "off", "mad")
+        d = F.col("mad") * robust.MAD_TO_SIGMA * kappa
+        # a row for each frame, written once for its two uses in the next pass
+        bounds = stored(off.select("frame", "m", F.greatest("low", F.col("m") - d).alias("low"), F.least("high", F.col("m") + d).alias("high")))
     least = bounds.groupBy().agg(F.min("m").alias("least"))
     shift = bounds.crossJoin(F.broadcast(least)).select("frame", (F.col("least") - F.col("m")).alias("shift"))  # one row
     return pixels.join(F.broadcast(shift), "frame").select(*KEYS, (F.col("v") + F.col("shift")).alias("v"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import robust
+from ..sources.shared import stored
+from .levels import medians
 
 REJECTIONS = {
     "sigma": robust.sigma_clip,
@@ -64,11 +66,10 @@ def weighted_rejected_stack(samples: DataFrame, low: float = 2.5, high: float =
 
 
 def frame_levels(samples: DataFrame) -> DataFrame:
-    """(frame, median, mad): exact, over all samples of a frame, without gathering them."""
-    levels = samples.groupBy("frame").agg(F.median("v").alias("median"))
-    # a row for each frame of the stack
-    off = samples.join(F.broadcast(levels), "frame").withColumn("off", F.abs(F.col("v") - F.col("median")))
-    return off.groupBy("frame", "median").agg(F.median("off").alias("mad"))
+    """(frame, median, mad): exact, over all samples of a frame, without gathering them; a row for each frame, stored."""
+    levels = stored(medians(samples, ["frame"], "v", "median"))
+    off = samples.join(levels, "frame").withColumn("off", F.abs(F.col("v") - F.col("median")))
+    return stored(medians(off, ["frame", "median"], "off", "mad"))
 
 
 def reference_frame(levels: DataFrame) -> DataFrame:
@@ -177,6 +178,12 @@ def common_domain(samples: DataFrame, key: str = "px") -> DataFrame:
     return samples.join(whole, key, "left_semi")
 
 
+def sample_faults(samples: DataFrame) -> DataFrame:
+    """(frame, n, n_missing, n_not_finite): what a stack must not be fed with."""
+    odd = F.isnan("v") | (F.abs("v") == float("inf"))
+    return samples.groupBy("frame").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("n_missing"), F.count_if(odd).alias("n_not_finite"))
+
+
 def covered(samples: DataFrame, least: float = 1e-3) -> DataFrame:
     """Samples whose coverage is more than ``least``."""
     return samples.filter(F.col("coverage") > least)

@@ -633,3 +633,100 @@ def combined_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames as channels, weighted by the inverse variance of their background."""
     pixels = views.raster(spark, sf_dir)
     return stack.rounded(raster.combine_channels(pixels, raster.tile_background(pixels, 8)), "v")
+
+
+@query(f"""
+WITH {views.RASTER}, {_TILES}, n AS (
+  SELECT a.frame, a.ty, a.tx, median(b.sky) AS sky, median(b.sigma) AS sigma FROM tiles a JOIN tiles b
+  ON a.frame = b.frame AND abs(a.ty - b.ty) <= 1 AND abs(a.tx - b.tx) <= 1 GROUP BY ALL)
+SELECT t.frame, t.ty, t.tx, round(CASE WHEN s <= 16 THEN t.sky ELSE n.sky END, 6) AS sky, round(CASE WHEN s <= 16 THEN t.sigma ELSE n.sigma END, 6) AS sigma
+FROM tiles t JOIN n USING (frame, ty, tx), side""")
+def smooth_backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stack.rounded(raster.smoothed_tiles(raster.tile_background(views.raster(spark, sf_dir), 8)), "sky", "sigma")
+
+
+@query(f"""
+WITH {views.RASTER}, {_TILES}
+SELECT frame, round(greatest(1e-4 * coalesce(median(sigma) FILTER (sigma > 0), median(abs(sky))), 1e-12), 12) AS floor FROM tiles GROUP BY frame""")
+def noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stack.rounded(raster.noise_floor(raster.tile_background(views.raster(spark, sf_dir), 8)), "floor", places=12)
+
+
+@query(f"""
+WITH {views.RASTER}, {_TILES}, lit AS (
+  SELECT r.frame, y, x, v - sky AS v, sigma FROM raster r JOIN tiles t ON t.frame = r.frame AND ty = y // 8 AND tx = x // 8), f AS (
+  SELECT a.frame, a.y, a.x, a.sigma, sum(b.v * (2 - abs(a.y - b.y)) * (2 - abs(a.x - b.x)) / 16) / (6.0::DOUBLE / 16) AS f FROM lit a JOIN lit b
+  ON a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL)
+SELECT frame, y, x, round(f, 6) AS v FROM f WHERE f > 1.5 * sigma""")
+def matched_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = views.raster(spark, sf_dir)
+    return stack.rounded(raster.matched_filter(pixels, raster.tile_background(pixels, 8), 8, _KERNEL, 1.5), "v")
+
+
+@query(f"""
+WITH {views.STARS}, k AS (SELECT *, NOT (peak > 0.95 OR snr < 10 OR sharpness > 0.7 OR fwhm > 4.8) AS kept FROM stars)
+SELECT frame, count(*) AS n, count(*) FILTER (kept) AS n_kept, round(median(fwhm) FILTER (kept), 6) AS width, round(median(snr) FILTER (kept), 6) AS snr FROM k GROUP BY frame""")
+def star_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stack.rounded(catalog.diagnostics(views.stars(spark, sf_dir)), "width", "snr")
+
+
+@query(f"""
+WITH {views.STARS}, g AS (SELECT frame, fwhm FROM stars WHERE NOT (peak > 0.95 OR snr < 10 OR sharpness > 0.7 OR fwhm > 4.8)), m AS (
+  SELECT frame, median(fwhm) AS m FROM g GROUP BY frame), d AS (SELECT frame, m, median(abs(fwhm - m)) AS d FROM g JOIN m USING (frame) GROUP BY frame, m), n AS (
+  SELECT frame, count(*) AS n, median(fwhm) AS w FROM g JOIN d USING (frame) WHERE abs(fwhm - m) <= 3.0 * greatest(d, m * 0.1) GROUP BY frame)
+SELECT frame, coalesce(n, 0)::BIGINT AS n, round(coalesce(w, 4.0), 6) AS width FROM (SELECT DISTINCT frame FROM stars) LEFT JOIN n USING (frame)""")
+def typical_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stack.rounded(catalog.typical_width(views.stars(spark, sf_dir)), "width")
+
+
+_PROJECTIVE = [1.1, -0.2, 5.0, 0.3, 0.9, -4.0, 1e-4, 2e-4, 1.0]
+
+
+@query(f"""
+WITH {views.STARS}, w AS (SELECT frame, star, x, y, 1e-4 * x + 2e-4 * y + 1 AS w FROM stars)
+SELECT frame, star, round((1.1 * x - 0.2 * y + 5) / w, 6) AS px, round((0.3 * x + 0.9 * y - 4) / w, 6) AS py, round(x, 6) AS bx, round(y, 6) AS by_ FROM w""")
+def moved_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places under a projective transform, and brought back by its inverse after a composition with no effect."""
+    there = catalog.transformed(views.stars(spark, sf_dir), _PROJECTIVE)
+    same = catalog.composed(catalog.inverse(_PROJECTIVE), catalog.composed(_PROJECTIVE, [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0]))
+    back = catalog.transformed(catalog.transformed(there, catalog.inverse(_PROJECTIVE)), same)
+    both = there.select("frame", "star", F.col("x").alias("px"), F.col("y").alias("py"))
+    found = both.join(back.select("frame", "star", F.col("x").alias("bx"), F.col("y").alias("by_")), ["frame", "star"])
+    return stack.rounded(found, "px", "py", "bx", "by_")
+
+
+@query(f"""
+WITH RECURSIVE {views.RASTER}, mask AS (SELECT frame, y, x FROM raster WHERE v > 0.58), reach AS (
+  SELECT frame, y, x, y * 100000 + x AS seed FROM mask UNION
+  SELECT m.frame, m.y, m.x, r.seed FROM reach r JOIN mask m ON m.frame = r.frame AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1), p AS (
+  SELECT frame, y, x, min(seed) AS seed FROM reach GROUP BY frame, y, x), g AS (
+  SELECT frame, seed, count(*) AS area, min(x) AS x_from, max(x) + 1 AS x_to, min(y) AS y_from, max(y) + 1 AS y_to FROM p GROUP BY frame, seed)
+SELECT frame, (seed // 100000)::INT AS y0, (seed % 100000)::INT AS x0, area FROM g, side
+WHERE area BETWEEN 2 AND 20 AND x_from >= 2 AND x_to <= s - 2 AND y_from >= 2 AND y_to <= s - 2""")
+def usable_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, pixels = views.side(spark, sf_dir), views.raster(spark, sf_dir)
+    found = regions.region_stats(pixels, regions.label_regions(pixels.filter("v > 0.58")))
+    return regions.usable_regions(found, n, n, 2, 20, 2).select("frame", "y0", "x0", "area")
+
+
+@query(f"""
+WITH {views.PART_STACK}, o AS (SELECT frame, CASE WHEN px % 11 = 0 THEN NULL WHEN px % 7 = 0 THEN 'nan'::DOUBLE WHEN px % 13 = 0 THEN 'inf'::DOUBLE ELSE v END AS v FROM part_stack)
+SELECT frame, count(*) AS n, count(*) FILTER (v IS NULL) AS n_missing, count(*) FILTER (isnan(v) OR isinf(v)) AS n_not_finite FROM o GROUP BY frame""")
+def sample_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part stack with some samples spoilt."""
+    spoilt = F.when(F.col("px") % 11 == 0, None).when(F.col("px") % 7 == 0, float("nan")).when(F.col("px") % 13 == 0, float("inf")).otherwise(F.col("v"))
+    return stack.sample_faults(views.part_stack(spark, sf_dir).withColumn("v", spoilt))
+
+
+@query(f"""
+WITH {views.RASTER}, rgb AS (
+  SELECT y, x, max(v) FILTER (frame = 1) AS r, max(v) FILTER (frame = 2) AS g, max(v) FILTER (frame = 3) AS b FROM raster WHERE frame <= 3 GROUP BY y, x), i AS (
+  SELECT *, (r + g + b) / 3 AS i FROM rgb WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL), c AS (
+  SELECT *, sqrt(i) / i / greatest(sqrt(i) / i * greatest(r, g, b), 1) AS gain FROM i)
+SELECT y, x, round(r * gain, 6) AS r, round(g * gain, 6) AS g, round(b * gain, 6) AS b FROM c""")
+def intensity_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers 1 to 3 are the channels; their mean becomes its square root."""
+    channels = views.raster(spark, sf_dir).groupBy("y", "x").pivot("frame", [1, 2, 3]).agg(F.max("v")).dropna()
+    r, g, b = (F.col(f"`{c}`") for c in (1, 2, 3))
+    bent = imaging.remapped(r, g, b, F.sqrt((r + g + b) / 3))
+    return stack.rounded(channels.select("y", "x", *(c.alias(n) for c, n in zip(bent, "rgb", strict=True))), "r", "g", "b")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import imaging, robust, scalar
-from framewright.operators import catalog, raster, stack
+from framewright.operators import catalog, levels, raster, stack
 from framewright.streaming import events
 
 
@@ -297,3 +297,19 @@ def test_noisy_channels_count_less(spark):
     tiles = spark.createDataFrame([(0, 0, 0, 1.0), (1, 0, 0, 2.0), (1, 0, 1, 0.0)], "frame long, ty int, tx int, sigma double")
     got = {(r["y"], r["x"]): r["v"] for r in raster.combine_channels(pixels, tiles).collect()}
     assert math.isclose(got[(0, 0)], (0.1 * 1 + 1.2 * 0.25) / 1.25)
+
+
+def test_bracketed_medians_are_exact(spark):
+    pick = random.Random(7)
+    groups = {g: [round(pick.gauss(0, 1), 2 if g % 2 else 9) for _ in range(n)] for g, n in enumerate((1, 2, 3, 4, 999, 1000, 30_000, 30_001))}
+    rows = [(g, v) for g, values in groups.items() for v in [*values, None]]
+    got = {r["g"]: r["m"] for r in levels.medians(spark.createDataFrame(rows, "g int, v double").repartition(4), ["g"], "v", "m").collect()}
+    assert got == pytest.approx({g: float(np.median(values)) for g, values in groups.items()}, abs=1e-15)
+
+
+def test_transforms_compose_and_invert():
+    m, k = [1.1, -0.2, 5.0, 0.3, 0.9, -4.0, 1e-4, 2e-4, 1.0], [0.5, 0.1, -3.0, 0.0, 2.0, 1.0, 0.0, 0.0, 1.0]
+    a, b = np.array(m).reshape(3, 3), np.array(k).reshape(3, 3)
+    assert np.allclose(catalog.composed(m, k), (a @ b).ravel()) and np.allclose(catalog.inverse(m), np.linalg.inv(a).ravel())
+    with pytest.raises(ValueError):
+        catalog.inverse([1.0] * 9)
