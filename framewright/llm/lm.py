@@ -8,9 +8,8 @@ of target loss less background loss (nats): the lower, the more it is like the t
 Words and bigrams are counted under 64-bit hashes, so that the tables grow with the corpus; they are dealt to shards by hash,
 a shard for every ``SHARD`` bytes of text, never gathered. The documents are joined with the target's ids, compressed, and
 stored in slices of about ``SLICE`` bytes. Each slice sends a shard its distinct hashes with their counts, one row for each
-shard; the shard adds them up and answers each slice, in the slice's own order, with the totals of those hashes that it has
-seen elsewhere too; the slice is scored from its own counts and the answers. A hot word is one entry of a slice, however often
-it stands there, so no key is dealt unevenly. Only totals (words, documents, distinct words) reach the driver.
+shard; the shard adds them up and answers each slice with the totals in the slice's own order; the slice is scored from the
+answers. A hot word is one entry of a slice, however often it stands there, so no key is dealt unevenly. Only totals (words, documents, distinct words) reach the driver.
 
 Edge cases: null and empty texts have 0 tokens, null losses and score 0; a target without documents gives the unsmoothed
 prior for the target; repeated rows count and are scored each time; texts of any length are whole; an empty table gives an
@@ -136,22 +135,13 @@ def _requests(keys: np.ndarray, counts: np.ndarray, piece: int, target: bool, bi
     return pa.RecordBatch.from_arrays(columns, ["shard", "slice", "target", "n", "keys", "counts"])
 
 
-def _answer(own: np.ndarray, totals: np.ndarray) -> bytes:
-    """Which keys have other totals than the slice's own counts, and these totals."""
-    other = np.any(own != totals, axis=0)
-    # byte by byte of all totals, so that the upper zero bytes cost nothing
-    values = np.ascontiguousarray(totals[:, other]).view(np.uint8).reshape(-1, 8).T
-    return np.int32(np.count_nonzero(other)).tobytes() + _packed(np.concatenate([np.packbits(other), values.reshape(-1)]))
+def _answer(totals: np.ndarray) -> bytes:
+    """Byte by byte of all totals, so that the upper zero bytes cost nothing."""
+    return _packed(np.ascontiguousarray(totals).view(np.uint8).reshape(-1, 8).T)
 
 
-def _apply(blob: bytes, own: np.ndarray) -> None:
-    """Puts an answer's totals in the place of the slice's own counts."""
-    n, changed = own.shape[1], int(np.frombuffer(blob[:4], np.int32)[0])
-    bits = -(-n // 8)
-    plain = _unpacked(blob[4:], np.uint8, bits + 48 * changed)
-    other = np.unpackbits(plain[:bits], count=n).astype(bool)
-    values = np.ascontiguousarray(plain[bits:].reshape(8, 6 * changed).T).view(np.int64)
-    own[:, other] = values.reshape(6, changed)
+def _answered(blob: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(_unpacked(blob, np.uint8, 48 * n).reshape(8, 6 * n).T).view(np.int64).reshape(6, n)
 
 
 def _sliced(docs: DataFrame, text: str, target: DataFrame | None) -> DataFrame:
@@ -206,16 +196,13 @@ def cross_entropy_difference(
     def text_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
         return _unpacked(row["data"], np.uint8, row["size"]), _unpacked(row["offsets"], np.int64, len(row["ids"]) + 1)
 
-    def counted(row: dict) -> tuple[tuple, np.ndarray, np.ndarray]:
-        found = _keys(*text_of(row), known, bits)
-        marks = np.frombuffer(row["marks"], np.uint8) == 1
-        return found, *_counts(found[0], *found[2:], (marks, np.ones(len(marks), bool)))
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 row = batch.slice(row, 1).to_pylist()[0]
-                yield _requests(*counted(row)[1:], row["slice"], False, shards)
+                n, _, *keys = _keys(*text_of(row), known, bits)
+                marks = np.frombuffer(row["marks"], np.uint8) == 1
+                yield _requests(*_counts(n, *keys, (marks, np.ones(len(n), bool))), row["slice"], False, shards)
 
     def ask_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,12 +217,12 @@ def cross_entropy_difference(
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
         # of the target and of all documents: words, words before, bigrams
         totals = np.zeros((6, len(every)), np.int64)
-        at, held = 0, []
+        at, places = 0, []
         for r, own in zip(rows, keys, strict=True):
-            held.append((place[at : at + len(own)], _unpacked(r["counts"], np.uint32, 6 * len(own)).reshape(6, -1)))
+            places.append(place[at : at + len(own)])
             at += len(own)
-            totals[:, held[-1][0]] += held[-1][1]
-        answers = [(r["slice"], _answer(own, totals[:, mine])) for r, (mine, own) in zip(rows, held, strict=True) if not r["target"]]
+            totals[:, places[-1]] += _unpacked(r["counts"], np.uint32, 6 * len(own)).reshape(6, -1)
+        answers = [(r["slice"], _answer(totals[:, mine])) for r, mine in zip(rows, places, strict=True) if not r["target"]]
         sums = [*totals[[0, 1, 3, 4]].sum(axis=1), np.count_nonzero(totals[3])]
         shard = rows[0]["shard"]
         columns = [pa.array([shard] * (len(answers) + 1), pa.int32()), pa.array([s for s, _ in answers] + [-1], pa.int64())]
@@ -254,12 +241,13 @@ def cross_entropy_difference(
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        (n, first, word, before, bigram), keys, own = counted(row)
-        totals = own.astype(np.int64)
+        n, first, word, before, bigram = _keys(*text_of(row), known, bits)
+        keys = np.unique(np.concatenate([word, bigram]))
+        totals = np.zeros((6, len(keys)), np.int64)
         edges = _edges(keys, shards)
         for r in right.to_pylist():
-            part = slice(edges[r["shard"]], edges[r["shard"] + 1])
-            _apply(r["answer"], totals[:, part])
+            a, b = edges[r["shard"]], edges[r["shard"] + 1]
+            totals[:, a:b] = _answered(r["answer"], b - a)
         w, g = np.searchsorted(keys, word), np.searchsorted(keys, bigram)
         start = before == 0
         p = np.where(start, 0, np.searchsorted(keys, before))
