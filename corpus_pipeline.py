@@ -21,10 +21,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that failed and n_chars brought in line. Texts of fewer
     than 50 words go, null and empty ones among them. The results are stored, so that the filter reads them."""
-    kept = stored(quality.quality_rules(docs.select(*COLUMNS)).select(*COLUMNS, "clean_text", "kept")).filter("kept")
+    judged = quality.quality_rules(docs.select(*COLUMNS))
     changed = F.col("clean_text") != F.col("text")
     n_chars = F.when(changed, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", n_chars).withColumn("text", F.col("clean_text")).select(*COLUMNS)
+    cleaned = judged.withColumn("n_chars", n_chars).withColumn("text", F.col("clean_text")).select(*COLUMNS, "kept")
+    return stored(cleaned).filter("kept").select(*COLUMNS)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
