@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, near_copies, pieces, private_data, quality, repeats, toxicity, urls
+from . import decontaminate, licenses, lm, near_copies, pieces, private_data, quality, repeats, toxicity, urls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,23 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.replace_private_data(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(vectors, most=4)
+    each = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    shares = F.array(*(F.lit(float(x)) for x in (model.explained if model else []))).cast("array<double>")
+    return each.select(
+        "vec_id",
+        (F.col("k") + 1).cast("int").alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("k")).alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
 #: Stands in for a secret that a deployment would pass; fixed here so that results are repeatable.
 SURROGATE_KEY = "surrogate-key-1"
 
@@ -85,4 +102,5 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_private_data": op10_private_data,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
