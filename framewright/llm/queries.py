@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, near_copies, pieces, private_data, quality, repeats, toxicity, urls, whitening
+from . import alignment, decontaminate, licenses, lm, near_copies, pieces, private_data, quality, repeats, toxicity, urls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 #: Stands in for a secret that a deployment would pass; fixed here so that results are repeatable.
 SURROGATE_KEY = "surrogate-key-1"
 
@@ -103,4 +108,5 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_private_data": op10_private_data,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
