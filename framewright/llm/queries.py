@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, licenses, lm, near_copies, pieces, private_data, quality, repeats, toxicity, urls, whitening
+from . import alignment, decontaminate, licenses, lm, main_text, near_copies, pieces, private_data, quality, repeats, toxicity, urls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,11 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.replace_private_data(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = main_text.extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), name="text")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each vector and component."""
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -107,6 +112,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_private_data": op10_private_data,
+    "op11_html_extraction": op11_html_extraction,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
