@@ -4,7 +4,8 @@ A document is the set of its distinct ``k``-word shingles (lower-case A-Z; a sho
 Two documents link if |A & B| * 100 >= percent * |A | B|. Every link is found, but links inside a group that is already
 known to be connected are not spelled out, so no quadratic list of pairs of copies is made:
 
-1. One document stands for all with the same set.
+1. One document stands for all with the same set. Sets are told apart by their size and two sums of hashes, and known by the
+   first of these sums from here on, so that the texts of a doc_id that has several are judged apart.
 2. All documents use one order of shingles: rare ones first by hash, then the ``FREQUENT`` most frequent by count. With
    t = percent / 100, a link's smallest common shingle lies in the first n - ceil(t n) + 1 shingles of both (their
    prefixes). More: if a's prefix ends first, then all but ceil(t n_a) - 1 shingles of the overlap lie in both prefixes, so
@@ -24,7 +25,8 @@ that is in a third of all documents has no more than a row for each such chunk.
 members and block of queries, so that neither side of a large group meets in one task, and a text goes once to each block.
 
 Edge cases: null and empty texts have the empty set and link with nothing; documents without doc_id link with nothing and
-have no component; repeated rows have equal results; texts of any length are whole; an empty table stays empty.
+have no component; each row has its own result, by its own text, whether its doc_id is repeated or not; texts of any length
+are whole; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -33,12 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .chunks import Chunks, shared_keys
-from .store import stored
-from .texts import packed, unpacked
+from .store import free_name, schema_with, stored
+from .texts import unpacked
 from .words import NON_SPACE, mix, slices, split, windows
 
 CHUNK = 1 << 20
@@ -71,6 +75,10 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _set_sums(tokens: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
+    return _sums(mix(tokens + np.uint64(salt)), first).astype(np.int64)
+
+
 def _plain(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -82,7 +90,7 @@ def set_sizes(docs: DataFrame, k: int = 4, text: str = "text") -> DataFrame:
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
                 tokens, first = shingle_sets(data, offsets, k)
-                a, b = (_sums(mix(tokens + np.uint64(salt)), first).astype(np.int64) for salt in (1, 2))
+                a, b = (_set_sums(tokens, first, salt) for salt in (1, 2))
                 columns = [batch.column("doc_id").slice(row, len(a)), pa.array(np.diff(first), pa.int64()), pa.array(a), pa.array(b)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "a", "b"])
 
@@ -116,7 +124,8 @@ def frequent_shingles(docs: DataFrame, k: int = 4, text: str = "text") -> np.nda
 
 
 def prefix_shingles(docs: DataFrame, frequent: np.ndarray, k: int = 4, percent: int = 85, text: str = "text") -> DataFrame:
-    """(token, doc, docs): prefix shingles and a document, or the least of several and an array of all, chunk by chunk."""
+    """(token, doc, docs): prefix shingles and a set, or the least of several and an array of all, chunk by chunk. Sets are
+    known by their first sum."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.uint64)))
 
@@ -135,8 +144,7 @@ def prefix_shingles(docs: DataFrame, frequent: np.ndarray, k: int = 4, percent:
                 by = np.lexsort((key, text_of))
                 place = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
                 take = place < np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes)
-                ids = batch.column("doc_id").slice(row, len(sizes)).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield from chunks.add(tokens[by][take], ids[text_of[take]], len(tokens))
+                yield from chunks.add(tokens[by][take], _set_sums(tokens, first, 1)[text_of[take]], len(tokens))
         yield from chunks.flush()
 
     return _plain(docs, text).filter("doc_id IS NOT NULL").mapInArrow(run, "token long, doc long, docs array<long>")
@@ -152,16 +160,40 @@ def least_shared(n: Column, m: Column, percent: int) -> Column:
     return F.greatest(overlap - F.greatest(_part(n, percent), _part(m, percent)) + 1, F.lit(1))
 
 
-def compared(members: DataFrame, queries: DataFrame, texts: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
+def may_link(n: Column, least: Column, most: Column, shared: Column, percent: int) -> Column:
+    """Whether a set of size n that has ``shared`` prefix shingles of a group's union can link with a member whose size is in
+    least to most. But for its two round-ups the least count of a link rises up to n and falls from there on, so it is smallest
+    at an end of the sizes that can link; as each round-up adds less than one, no size asks for more than one less."""
+    small, large = F.greatest(least, _part(n, percent)), F.least(most, F.floor(n * 100 / percent + 1e-9))
+    need = F.least(least_shared(n, small, percent), least_shared(n, large, percent)) - 1
+    return (small <= large) & (shared >= F.greatest(need, F.lit(1)))
+
+
+def packed_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, node, packed): each text compressed, with its set's first sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=5)
+        for batch in batches:
+            for row, data, offsets in slices(batch.column("text")):
+                nodes = _set_sums(*shingle_sets(data, offsets, k), 1)
+                blobs = [packer.compress(data[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(nodes)), pa.array(nodes), pa.array(blobs, pa.binary())], ["doc_id", "node", "packed"])
+
+    return docs.filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, node long, packed binary")
+
+
+def compared(members: DataFrame, queries: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, every: bool) -> DataFrame:
     """Links (a, b) of queries a with members b of their groups: all, or the first in each block. ``members``/``queries``:
-    grp and doc_id; ``texts``: doc_id and packed text."""
+    grp and node; ``reps``: the document of each node; ``texts``: doc_id, node and packed text."""
     sides = [x.groupBy("grp").agg(F.count("*").alias(n)) for x, n in ((members, "m"), (queries, "q"))]
     sizes = sides[0].join(sides[1], "grp").select("grp", F.ceil(F.col("m") / BLOCK).alias("mp"), F.ceil(F.col("q") / QUERIES).alias("qp"))
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), n)
+    own = lambda n: F.pmod(F.xxhash64("node"), n)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = members.join(sizes, "grp").select("grp", own(F.col("mp")).alias("block"), each("qp").alias("turn"), F.lit(0).alias("side"), "doc_id")
-    right = queries.join(sizes, "grp").select("grp", each("mp").alias("block"), own(F.col("qp")).alias("turn"), F.lit(1).alias("side"), "doc_id")
-    rows = left.union(right).join(texts, "doc_id").repartition("grp", "block", "turn").sortWithinPartitions("grp", "block", "turn", "side")
+    left = members.join(sizes, "grp").select("grp", own(F.col("mp")).alias("block"), each("qp").alias("turn"), F.lit(0).alias("side"), "node")
+    right = queries.join(sizes, "grp").select("grp", each("mp").alias("block"), own(F.col("qp")).alias("turn"), F.lit(1).alias("side"), "node")
+    rows = left.union(right).join(reps.select("node", "doc_id"), "node").join(texts, ["doc_id", "node"]).drop("doc_id")
+    rows = rows.repartition("grp", "block", "turn").sortWithinPartitions("grp", "block", "turn", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, Block(percent)
@@ -169,7 +201,7 @@ def compared(members: DataFrame, queries: DataFrame, texts: DataFrame, k: int, p
             for row in range(0, len(batch), 256):
                 part = batch.slice(row, 256)
                 keys = list(zip(*(part.column(c).to_pylist() for c in ("grp", "block", "turn")), strict=True))
-                sides, ids = part.column("side").to_pylist(), part.column("doc_id").to_pylist()
+                sides, ids = part.column("side").to_pylist(), part.column("node").to_pylist()
                 links: tuple[list[int], list[int]] = ([], [])
                 for at, data, offsets in slices(unpacked(part.column("packed").to_pylist())):
                     tokens, first = shingle_sets(data, offsets, k)
@@ -224,60 +256,81 @@ class Block:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, component): for each end of an edge (a, b) the smallest document that it is connected with."""
+    """(node, component): for each end of an edge (a, b) the smallest node that it is connected with."""
     edges = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "doc_id"))
+    labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component")).withColumnRenamed("a", "node"))
     while True:
-        near = edges.join(labels.select(F.col("doc_id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        least = labels.join(near, labels["doc_id"] == near["a"]).select("doc_id", "component", F.least("component", "near").alias("to"))
-        jump = least.select(F.col("doc_id").alias("to"), F.col("to").alias("further"))
-        least = stored(least.join(jump, "to", "left").select("doc_id", F.col("component").alias("was"), F.least("to", "further").alias("component")))
-        labels = least.select("doc_id", "component")
+        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
+        least = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("to"))
+        jump = least.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        least = stored(least.join(jump, "to", "left").select("node", F.col("component").alias("was"), F.least("to", "further").alias("component")))
+        labels = least.select("node", "component")
         if least.filter("was <> component").isEmpty():
             return labels
 
 
 def near_copy_groups(docs: DataFrame, k: int = 4, percent: int = 85, text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) and set_id (the same
+    for equal sets, null for the empty one)."""
     docs = _plain(docs, text)
     sizes = stored(set_sizes(docs, k))
     # stored, so that Spark can split a hot set's rows in the join
-    same = stored(sizes.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
-    of_rep = stored(sizes.filter("doc_id IS NOT NULL").join(same, ["n", "a", "b"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")).distinct())
-    links = near_copy_links(docs, of_rep.filter("doc_id = rep").select("doc_id", "n"), k, percent)
-    groups = components(links)
-    groups = groups.select(F.col("doc_id").alias("rep"), "component")
-    found = of_rep.join(groups, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id")).distinct()
-    return sizes.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
+    reps = stored(sizes.filter("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("a").alias("node"), "n", "b").agg(F.min("doc_id").alias("doc_id")))
+    groups = components(near_copy_links(docs, reps, k, percent))
+    placed = reps.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = stored(placed.join(first, "component").select(F.col("node").alias("a"), "n", "b", "component_id"))
+    rows = sizes.join(found, ["n", "a", "b"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("n") > 0, F.col("a")).alias("set_id"))
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """Of each group the rows of the smallest doc_id; rows without doc_id and texts without words stay. All columns stay."""
+    name, words = free_name(docs, "_set"), free_name(docs, "_words")
+    schema = schema_with(docs, name, LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(words)
+            nodes = [_set_sums(*shingle_sets(data, offsets, k), 1) for _, data, offsets in slices(texts)]
+            nodes = np.concatenate([np.empty(0, np.int64), *nodes])
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns([words]).columns, pa.array(nodes)], schema.names)
+
+    rows = docs.withColumn(words, F.col(text).cast("string")).mapInArrow(run, schema)
+    groups = near_copy_groups(docs, k, percent, text).filter("component_id < doc_id")
+    gone = groups.select(F.col("doc_id").alias("gone_id"), F.col("set_id").alias("gone_set")).distinct()
+    same = (rows["doc_id"] == gone["gone_id"]) & (rows[name] == gone["gone_set"])
+    return rows.join(gone, same, "left_anti").drop(name)
 
 
 def near_copy_links(docs: DataFrame, reps: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """Links (a, b) among ``reps`` (doc_id and n of documents with different sets) that connect all that are connected."""
-    rows = shared_keys(prefix_shingles(docs, frequent_shingles(docs, k), k, percent), "token").select("token", "doc_id")
-    share = F.count("*").over(Window.partitionBy("doc_id")) / (F.col("n") - _part(F.col("n"), percent) + 1)
-    rows = stored(rows.join(reps, "doc_id").select("token", "doc_id", F.col("n").cast("int").alias("n"), F.floor(1000 * share).cast("int").alias("share")))
-    texts = packed(docs)
-
-    leads = rows.groupBy("token").agg(F.max(F.struct("share", (-F.col("doc_id")).alias("lead"))).alias("lead"), F.count("*").alias("many")).filter("many > 1")
-    led = rows.join(leads.select("token", (-F.col("lead.lead")).alias("grp")), "token").filter("grp <> doc_id")
-    led = led.groupBy("doc_id", "n", "grp").agg(F.count("*").alias("shared"))
-    best = led.groupBy("doc_id", "n").agg(F.max(F.struct("shared", (-F.col("grp")).alias("grp"))).alias("best"))
+    """Links (a, b) of nodes that connect all that are connected. ``reps``: node, n and a document of each different set."""
+    rows = shared_keys(prefix_shingles(docs, frequent_shingles(docs, k), k, percent), "token")
+    # a set that several chunks hold; no shuffle, as the rows of a shingle are together
+    rows = rows.select("token", F.col("doc_id").alias("node")).distinct()
+    share = F.count("*").over(Window.partitionBy("node")) / (F.col("n") - _part(F.col("n"), percent) + 1)
+    rows = stored(rows.join(reps.select("node", "n"), "node").select("token", "node", F.col("n").cast("int").alias("n"), F.floor(1000 * share).cast("int").alias("share")))
+    texts = packed_sets(docs, k)
+
+    leads = rows.groupBy("token").agg(F.max(F.struct("share", F.bitwise_not("node").alias("lead"))).alias("lead"), F.count("*").alias("many")).filter("many > 1")
+    led = rows.join(leads.select("token", F.bitwise_not("lead.lead").alias("grp")), "token").filter("grp <> node")
+    led = led.groupBy("node", "n", "grp").agg(F.count("*").alias("shared"))
+    best = led.groupBy("node", "n").agg(F.max(F.struct("shared", F.bitwise_not("grp").alias("grp"))).alias("best"))
     # a lead with too few shingles in common can't be linked but to a set of another size; step 4 finds those
     near = F.col("best.shared") >= least_shared(F.col("n"), F.col("n"), percent)
-    stars = stored(best.filter(near).select((-F.col("best.grp")).alias("grp"), "doc_id"))
-    linked = stored(compared(stars, stars.select("grp", F.col("grp").alias("doc_id")).distinct(), texts, k, percent, True))
+    stars = stored(best.filter(near).select(F.bitwise_not("best.grp").alias("grp"), "node"))
+    linked = stored(compared(stars, stars.select("grp", F.col("grp").alias("node")).distinct(), reps, texts, k, percent, True))
     groups = components(linked)
 
-    members = rows.join(groups, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("grp"))
+    members = rows.join(groups, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("grp"))
     members = stored(members)
     of_group = members.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = members.select("token", "grp").distinct()
-    query = members.select("token", "doc_id", "n", F.col("grp").alias("own"))
+    query = members.select("token", "node", "n", F.col("grp").alias("own"))
     # a pair of groups is opened from its later one
-    counted = query.join(matrix, "token").filter(F.col("grp") < F.col("own")).groupBy("doc_id", "n", "grp").agg(F.count("*").alias("shared"))
-    n, small, large = F.col("n"), F.greatest("least", _part(F.col("n"), percent)), F.least("most", F.floor(F.col("n") * 100 / percent + 1e-9))
-    # the least count falls from n on, and rises up to it
-    need = F.least(least_shared(n, small, percent), least_shared(n, large, percent))
-    opened = stored(counted.join(of_group, "grp").filter((small <= large) & (F.col("shared") >= need)).select("grp", "doc_id"))
-    inside = members.select("grp", "doc_id").distinct().join(opened.select("grp").distinct(), "grp", "left_semi")
-    return linked.union(compared(inside, opened, texts, k, percent, False))
+    counted = query.join(matrix, "token").filter(F.col("grp") < F.col("own")).groupBy("node", "n", "grp").agg(F.count("*").alias("shared"))
+    opened = counted.join(of_group, "grp").filter(may_link(F.col("n"), F.col("least"), F.col("most"), F.col("shared"), percent))
+    opened = stored(opened.select("grp", "node"))
+    inside = members.select("grp", "node").distinct().join(opened.select("grp").distinct(), "grp", "left_semi")
+    return linked.union(compared(inside, opened, reps, texts, k, percent, False))

@@ -14,7 +14,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies.near_copy_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    groups = near_copies.near_copy_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
