@@ -77,20 +77,27 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches of each frame by rising distance (ties by a, b): a pair counts if both stars are free.
+    """One-to-one matches of each frame by rising distance (ties by a, b): a pair counts if both stars are free."""
+    return greedy(pairs.select("frame", "a", "b", "distance"), F.col("distance").alias("rank"))
+
+
+def greedy(pairs: DataFrame, rank: Column) -> DataFrame:
+    """The pairs (frame, a, b, ...) that stay if each frame's are taken by rising ``rank`` (ties by a, b), each if both its stars
+    are free.
 
     Rounds of mutual first choices give the same matches as going through the pairs one by one, without a frame in one task.
     """
-    order = F.struct("distance", "a", "b")
-    left, taken = stored(pairs.select("frame", "a", "b", "distance")), None
+    order = F.struct("rank", "a", "b")
+    left, taken = stored(pairs.select("*", rank.alias("rank"))), None
+    columns = pairs.columns
     while not left.isEmpty():
         first_a = left.groupBy("frame", "a").agg(F.min(order).alias("p")).select("frame", "a", F.col("p.b").alias("b"))
         first_b = left.groupBy("frame", "b").agg(F.min(order).alias("p")).select("frame", "b", F.col("p.a").alias("a"))
-        mutual = stored(left.join(first_a.join(first_b, ["frame", "a", "b"]), ["frame", "a", "b"]))
+        mutual = stored(left.join(first_a.join(first_b, ["frame", "a", "b"]), ["frame", "a", "b"]).select(*columns))
         taken = mutual if taken is None else taken.unionByName(mutual)
         left = left.join(mutual.select("frame", "a"), ["frame", "a"], "left_anti")
-        left = stored(left.join(mutual.select("frame", "b"), ["frame", "b"], "left_anti").select("frame", "a", "b", "distance"))
-    return taken if taken is not None else left
+        left = stored(left.join(mutual.select("frame", "b"), ["frame", "b"], "left_anti").select(*columns, "rank"))
+    return taken if taken is not None else left.select(*columns)
 
 
 def without_duplicates(stars: DataFrame, separation: float = 8.0) -> DataFrame:
