@@ -1,6 +1,6 @@
 """Registered queries and their SQL: importing the package registers all."""
 
-from . import registration
+from . import measurement, registration
 from .queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "registration"]
+__all__ = ["QUERIES", "SQL", "measurement", "registration"]
