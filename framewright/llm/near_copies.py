@@ -4,8 +4,9 @@ A document is the set of its distinct ``k``-word shingles (lower-case A-Z; a sho
 Two documents link if |A & B| * 100 >= percent * |A | B|. Every link is found, but links inside a group that is already
 known to be connected are not spelled out, so no quadratic list of pairs of copies is made:
 
-1. One document stands for all with the same set. Sets are told apart by their size and two sums of hashes, and known by the
-   first of these sums from here on, so that the texts of a doc_id that has several are judged apart.
+1. One document stands for all with the same set. Sets are told apart by their size and two sums of hashes. A set is known by
+   that document's doc_id from here on, or by the first of its sums where the doc_id has other texts, too, so that these are
+   judged apart.
 2. All documents use one order of shingles: rare ones first by hash, then the ``FREQUENT`` most frequent by count. With
    t = percent / 100, a link's smallest common shingle lies in the first n - ceil(t n) + 1 shingles of both (their
    prefixes). More: if a's prefix ends first, then all but ceil(t n_a) - 1 shingles of the overlap lie in both prefixes, so
@@ -83,6 +84,12 @@ def _plain(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def _nodes(batch: pa.RecordBatch, row: int, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What the sets of a slice are known by: their doc_id, or their first sum where that doc_id has several sets."""
+    ids, several = (batch.column(c).slice(row, len(first) - 1) for c in ("doc_id", "several"))
+    return np.where(several.to_numpy(zero_copy_only=False), _set_sums(tokens, first, 1), ids.to_numpy(zero_copy_only=False))
+
+
 def set_sizes(docs: DataFrame, k: int = 4, text: str = "text") -> DataFrame:
     """(doc_id, n, a, b): size of the set and two sums of hashes that tell sets apart."""
 
@@ -123,9 +130,9 @@ def frequent_shingles(docs: DataFrame, k: int = 4, text: str = "text") -> np.nda
     return top["token"].to_numpy(np.int64).astype(np.uint64)[::-1]
 
 
-def prefix_shingles(docs: DataFrame, frequent: np.ndarray, k: int = 4, percent: int = 85, text: str = "text") -> DataFrame:
-    """(token, doc, docs): prefix shingles and a set, or the least of several and an array of all, chunk by chunk. Sets are
-    known by their first sum."""
+def prefix_shingles(docs: DataFrame, frequent: np.ndarray, k: int = 4, percent: int = 85) -> DataFrame:
+    """(token, doc, docs): prefix shingles and a node, or the least of several and an array of all, chunk by chunk.
+    ``docs``: doc_id, text and ``several``."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.uint64)))
 
@@ -144,10 +151,10 @@ def prefix_shingles(docs: DataFrame, frequent: np.ndarray, k: int = 4, percent:
                 by = np.lexsort((key, text_of))
                 place = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
                 take = place < np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes)
-                yield from chunks.add(tokens[by][take], _set_sums(tokens, first, 1)[text_of[take]], len(tokens))
+                yield from chunks.add(tokens[by][take], _nodes(batch, row, tokens, first)[text_of[take]], len(tokens))
         yield from chunks.flush()
 
-    return _plain(docs, text).filter("doc_id IS NOT NULL").mapInArrow(run, "token long, doc long, docs array<long>")
+    return docs.filter("doc_id IS NOT NULL").mapInArrow(run, "token long, doc long, docs array<long>")
 
 
 def _part(n: Column, percent: int) -> Column:
@@ -170,13 +177,13 @@ def may_link(n: Column, least: Column, most: Column, shared: Column, percent: in
 
 
 def packed_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, node, packed): each text compressed, with its set's first sum."""
+    """(doc_id, node, packed): each text compressed, with what its set is known by. ``docs``: doc_id, text and ``several``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=5)
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
-                nodes = _set_sums(*shingle_sets(data, offsets, k), 1)
+                nodes = _nodes(batch, row, *shingle_sets(data, offsets, k))
                 blobs = [packer.compress(data[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(nodes)), pa.array(nodes), pa.array(blobs, pa.binary())], ["doc_id", "node", "packed"])
 
@@ -224,9 +231,12 @@ class Block:
     """Members of a group: their sets, and the union of these."""
 
     def __init__(self, percent: int):
-        self.percent, self.ids, self.sets, self.union = percent, [], [], None
+        self.percent, self.ids, self.held, self.sets, self.union = percent, [], set(), [], None
 
     def add(self, doc: int, tokens: np.ndarray) -> None:
+        if doc in self.held:  # a repeated row
+            return
+        self.held.add(doc)
         # a copy: the slice would hold its whole batch
         self.ids.append(doc)
         self.sets.append(tokens.copy())
@@ -275,11 +285,16 @@ def near_copy_groups(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     docs = _plain(docs, text)
     sizes = stored(set_sizes(docs, k))
     # stored, so that Spark can split a hot set's rows in the join
-    reps = stored(sizes.filter("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("a").alias("node"), "n", "b").agg(F.min("doc_id").alias("doc_id")))
-    groups = components(near_copy_links(docs, reps, k, percent))
+    known = sizes.filter("n > 0 AND doc_id IS NOT NULL")
+    # Spark broadcasts it, or not, by its size
+    several = stored(known.groupBy("doc_id").agg((F.min("a") != F.max("a")).alias("several")).filter("several"))
+    reps = known.groupBy("n", "a", "b").agg(F.min("doc_id").alias("doc_id")).join(several, "doc_id", "left")
+    reps = stored(reps.select("doc_id", "n", "a", "b", F.when(F.col("several"), F.col("a")).otherwise(F.col("doc_id")).alias("node")))
+    marked = docs.join(several, "doc_id", "left").select("doc_id", "text", F.coalesce("several", F.lit(False)).alias("several"))
+    groups = components(near_copy_links(marked, reps, k, percent))
     placed = reps.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = stored(placed.join(first, "component").select(F.col("node").alias("a"), "n", "b", "component_id"))
+    found = stored(placed.join(first, "component").select("n", "a", "b", "component_id"))
     rows = sizes.join(found, ["n", "a", "b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(F.col("n") > 0, F.col("a")).alias("set_id"))
@@ -305,7 +320,8 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, text: st
 
 
 def near_copy_links(docs: DataFrame, reps: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """Links (a, b) of nodes that connect all that are connected. ``reps``: node, n and a document of each different set."""
+    """Links (a, b) of nodes that connect all that are connected. ``docs``: doc_id, text and ``several``; ``reps``: node, n and a
+    document of each different set."""
     rows = shared_keys(prefix_shingles(docs, frequent_shingles(docs, k), k, percent), "token")
     # a set that several chunks hold; no shuffle, as the rows of a shingle are together
     rows = rows.select("token", F.col("doc_id").alias("node")).distinct()
