@@ -180,7 +180,7 @@ def packed_sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, node, packed): each text compressed, with what its set is known by. ``docs``: doc_id, text and ``several``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=5)
+        packer = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
                 nodes = _nodes(batch, row, *shingle_sets(data, offsets, k))
