@@ -178,6 +178,50 @@ def tile_histogram(pixels: DataFrame, tile: int, bins: int = 256) -> DataFrame:
     return counts.select("frame", "ty", "tx", "bin", "n", (F.sum("n").over(below) / F.sum("n").over(of_tile)).alias("share"))
 
 
+#: Fixed value: bins of a local histogram.
+BINS = 256
+
+
+def tile_curves(pixels: DataFrame, tile_h: int, tile_w: int, clip: float) -> DataFrame:
+    """(frame, ty, tx, curve): for each tile the share of its pixels up to each of ``BINS`` bins, after no bin kept more than
+    ``clip`` times an even share and what was taken away was dealt out evenly, the rest to the first bins."""
+    bin_ = F.round(clamp(F.col("v")) * (BINS - 1)).cast("int").alias("bin")
+    place = (F.floor(F.col("y") / tile_h).cast("int").alias("ty"), F.floor(F.col("x") / tile_w).cast("int").alias("tx"))
+    counts = pixels.groupBy("frame", *place, bin_).agg(F.count("*").alias("n"))
+    of_tile = counts.groupBy("frame", "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"), F.sum("n").alias("n"))
+    most = F.greatest(F.floor(F.lit(clip) * F.col("n") / BINS), F.lit(1))
+    bins = F.sequence(F.lit(0), F.lit(BINS - 1))
+    clipped = F.transform(bins, lambda b: F.least(F.coalesce(F.try_element_at("held", b), F.lit(0)), F.col("most")))
+    cut = of_tile.withColumn("most", most).withColumn("kept", clipped)
+    total = F.aggregate("kept", F.lit(0).cast("long"), lambda a, c: a + c)
+    cut = cut.withColumn("spare", F.col("n") - total)
+    upto = lambda b: F.aggregate(F.slice("kept", 1, b + 1), F.lit(0).cast("long"), lambda a, c: a + c)
+    dealt = lambda b: F.floor(F.col("spare") / BINS) * (b + 1) + F.least(b + 1, F.col("spare") % BINS)
+    return cut.select("frame", "ty", "tx", F.transform(bins, lambda b: (upto(b) + dealt(b)) / F.col("n")).alias("curve"))
+
+
+def local_contrast(pixels: DataFrame, height: int, width: int, tiles: int = 8, clip: float = 3.0, strength: float = 1.0) -> DataFrame:
+    """Contrast-limited adaptive equalisation: each pixel goes through the curves of the four tiles whose middles are nearest,
+    blended by distance, and then by ``strength`` with itself. There are as many tiles along each side as ``tiles``, fewer if a
+    tile would have less than four pixels a bin. Tiles without pixels leave values as they are."""
+    n = min(tiles, max(int((height * width / (4 * BINS)) ** 0.5), 1))
+    tile_h, tile_w = -(-height // n), -(-width // n)
+    curves = stored(tile_curves(pixels, tile_h, tile_w, clip))
+    bin_ = F.round(clamp(F.col("v")) * (BINS - 1)).cast("int")
+    middle = lambda c, size: clamp((F.col(c) + 0.5) / size - 0.5, 0.0, n - 1.0)
+    at = pixels.select(*KEYS, "v", bin_.alias("bin"), middle("y", tile_h).alias("gy"), middle("x", tile_w).alias("gx"))
+    at = at.withColumns({"y0": F.floor("gy").cast("int"), "x0": F.floor("gx").cast("int")})
+    for k, (dy, dx) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1)]):
+        # a row for each tile; Spark broadcasts them or not by their size
+        own = curves.select("frame", F.col("ty").alias("_y"), F.col("tx").alias("_x"), F.col("curve").alias(f"_{k}"))
+        at = at.withColumns({"_y": F.least(F.col("y0") + dy, F.lit(n - 1)), "_x": F.least(F.col("x0") + dx, F.lit(n - 1))})
+        at = at.join(own, ["frame", "_y", "_x"], "left").withColumn(f"m{k}", F.coalesce(F.get(f"_{k}", F.col("bin")), F.col("bin") / (BINS - 1.0))).drop("_y", "_x", f"_{k}")
+    fy, fx = F.col("gy") - F.col("y0"), F.col("gx") - F.col("x0")
+    top, bottom = F.col("m0") + fx * (F.col("m1") - F.col("m0")), F.col("m2") + fx * (F.col("m3") - F.col("m2"))
+    mapped = top + fy * (bottom - top)
+    return at.select(*KEYS, (F.col("v") + strength * (mapped - F.col("v"))).alias("v"))
+
+
 def neutralised(pixels: DataFrame, kappa: float = 2.5, passes: int = 5) -> DataFrame:
     """Each frame shifted so that its clipped median is the least of all frames'. Clipping is by aggregates, pass by pass,
     so that no frame is gathered."""
