@@ -1,6 +1,6 @@
 """Registered queries and their SQL: importing the package registers all."""
 
-from . import background, masters, measurement, registration
+from . import background, masters, measurement, registration, resampling
 from .queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "background", "masters", "measurement", "registration"]
+__all__ = ["QUERIES", "SQL", "background", "masters", "measurement", "registration", "resampling"]
