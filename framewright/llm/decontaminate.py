@@ -11,9 +11,9 @@ more; some 100 bytes a window). One block is searched in a single pass. With mor
 the documents, and what the passes found in a row is put together, so that a worker never holds more than one block.
 
 Edge cases: null and empty texts have no words and no hits; items without words match nothing; equal items and repeated
-item ids each count once by id; null item ids are ignored; repeated documents each get their row; empty tables on either
-side give no hits or no rows; other columns of the documents are dropped by ``benchmark_hits`` and kept by
-``decontaminate``. Texts of any length are searched whole.
+item ids each count once by id; the words of items without an id are hit, but nothing is counted for them; repeated
+documents each get their row; empty tables on either side give no hits or no rows; other columns of the documents are
+dropped by ``benchmark_hits`` and kept by ``decontaminate``. Texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -123,7 +123,6 @@ def _blocks(items: DataFrame, window: int, limit: int) -> Iterator[dict[int, dic
     """For each block: by length, the distinct strings and the item ids of each."""
     rows = (
         items.select("item_id", F.col("text").cast("string").alias("text"))
-        .filter("item_id IS NOT NULL")
         .mapInArrow(_item_words, items.select("item_id").schema.add("words", ArrayType(BinaryType())))
         .filter(F.size("words") > 0)
     )
@@ -133,7 +132,9 @@ def _blocks(items: DataFrame, window: int, limit: int) -> Iterator[dict[int, dic
         words = [bytes(w) for w in row["words"]]
         m = min(window, len(words))
         for i in range(len(words) - m + 1):
-            block[m][b" ".join(words[i : i + m])].add(str(row["item_id"]))
+            ids = block[m][b" ".join(words[i : i + m])]
+            if row["item_id"] is not None:
+                ids.add(str(row["item_id"]))
         n += len(words) - m + 1
         if n >= limit:
             yield block

@@ -312,3 +312,14 @@ def test_stored_tables_can_be_dropped(spark, monkeypatch):
     assert os.path.isdir(path)
     store.drop_stored(spark)
     assert not os.path.exists(path) and not store._written
+
+
+def test_items_without_an_id_hit(spark):
+    """Their words count as hit; they have no id to be counted by, in one pass over the documents or in several."""
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "nothing here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two three"), (None, None), (7, "three four")], "item_id long, text string")
+    empty = decontaminate.benchmark_hits(docs, items.filter("item_id IS NULL")).collect()
+    assert {(r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in empty} == {(1, 2, 0, True), (2, 0, 0, False)}
+    for shard in (10_000, 1):
+        rows = decontaminate.benchmark_hits(docs, items, shard_windows=shard).collect()
+        assert {(r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in rows} == {(1, 3, 1, True), (2, 0, 0, False)}
