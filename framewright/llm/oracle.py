@@ -148,9 +148,9 @@ WITH bodies AS (
 ), blocks AS (
   SELECT page_id, url, string_split(regexp_replace(regexp_replace(body, '{SPACE}|<br>', ' ', 'g'), '</?(p|h1)>', chr(10), 'g'), chr(10)) AS b FROM bodies
 ), lines AS (
-  SELECT page_id, url, list_filter(list_transform(b, x -> trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  SELECT page_id, url, list_filter(list_transform(b, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
            regexp_replace(regexp_replace(x, '</?[a-z]+>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;?', chr(39), 'g'),
-           '&amp;?', '&', 'g'), '{SPACE}', ' ', 'g'))), x -> x <> '') AS l
+           '&amp;?', '&', 'g'), '{SPACE}', ' ', 'g'))), lambda x: x <> '') AS l
   FROM blocks
 )
 SELECT page_id, url, array_to_string(l, chr(10)) AS text, length(array_to_string(l, chr(10)))::BIGINT AS n_chars FROM lines
