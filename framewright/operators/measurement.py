@@ -33,16 +33,26 @@ def stamp_radius(fwhm: float) -> int:
 
 
 def stamps(pixels: DataFrame, peaks: DataFrame, reach: int) -> DataFrame:
-    """(frame, star, py, px, peak, v, sky, noise): the square of ``reach`` pixels around each peak as arrays by line; places
-    without a pixel are NaN."""
+    """(frame, star, py, px, k, v, sky, noise): the pixels up to ``reach`` lines and columns around each peak as arrays, with
+    their places ``k`` in that square, counted by line."""
     side = 2 * reach + 1
     near = peaks.select("frame", "star", "py", "px", F.posexplode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("k", "_"))
     asked = near.withColumns({"y": (F.col("py") + F.floor(F.col("k") / side) - reach).cast("int"), "x": (F.col("px") + F.col("k") % side - reach).cast("int")})
     cells = asked.select("frame", "star", "py", "px", "k", "y", "x").join(pixels.select("frame", "y", "x", "v", "sky", "noise"), ["frame", "y", "x"])
-    found = cells.groupBy("frame", "star", "py", "px").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("v", "sky", "noise")))).alias("cell"))
-    places = F.sequence(F.lit(0), F.lit(side * side - 1))
-    get = lambda c: F.transform(places, lambda k: F.coalesce(F.try_element_at("cell", k)[c].cast("double"), F.lit(float("nan")))).alias(c)
-    return found.select("frame", "star", "py", "px", get("v"), get("sky"), get("noise"))
+    found = cells.groupBy("frame", "star", "py", "px").agg(F.collect_list(F.struct("k", "v", "sky", "noise")).alias("cell"))
+    return found.select("frame", "star", "py", "px", F.col("cell.k").alias("k"), *(F.col(f"cell.{c}").cast("array<double>").alias(c) for c in ("v", "sky", "noise")))
+
+
+def _grids(batch: pa.RecordBatch, side: int) -> list[np.ndarray]:
+    """(star, line, column) of v, sky and noise; NaN where a stamp has no pixel."""
+    sizes = np.asarray(batch.column("k").value_lengths(), np.int64)
+    row, k = np.repeat(np.arange(len(batch)), sizes), batch.column("k").flatten().to_numpy(zero_copy_only=False)
+    grids = []
+    for c in ("v", "sky", "noise"):
+        grid = np.full((len(batch), side * side), np.nan)
+        grid[row, k] = batch.column(c).flatten().to_numpy(zero_copy_only=False)
+        grids.append(grid.reshape(-1, side, side))
+    return grids
 
 
 @dataclass
@@ -303,9 +313,7 @@ def measured_stars(pixels: DataFrame, peaks: DataFrame, fwhm: float, method: str
         for whole in batches:
             for row in range(0, len(whole), 256):
                 batch = whole.slice(row, 256)
-                side = 2 * reach + 1
-                v, sky, noise = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, side, side) for c in ("v", "sky", "noise"))
-                found = Stamps(v, sky, noise, *(batch.column(c).to_numpy(zero_copy_only=False).astype(int) for c in ("py", "px")))
+                found = Stamps(*_grids(batch, 2 * reach + 1), *(batch.column(c).to_numpy(zero_copy_only=False).astype(int) for c in ("py", "px")))
                 x, y = centroids(found, fwhm, radius, steps if method == "moments" else 2)
                 around = rings(found, np.nan_to_num(x), np.nan_to_num(y), radius) if ring else None
                 fit = None
