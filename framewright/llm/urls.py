@@ -12,8 +12,8 @@ pages get that of the model.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no rule and the verdict of the classes' prior;
 without judged pages of both classes the model allows; repeated rows, also of one page_id, each get their row; a name's
-substrings of up to ``LONGEST`` letters are looked up, so very long names take time linear in their length; an empty table
-stays empty; only page_id, url and html are read.
+substrings of up to ``HEAD`` letters are looked up and longer words by their first ones, so very long names take time linear in
+their length and words may have any length; an empty table stays empty; only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 SAMPLE = 100_000
-#: A name's substrings up to this length are looked up; no word of the kept languages is longer.
-LONGEST = 32
+#: A name's substrings up to this length are looked up as they are, longer words by so many first letters.
+HEAD = 32
 COHESION = 30.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,29 +76,38 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
 
 def split_name(name: str, counts: dict[str, int], total: int) -> list[str]:
-    """The likeliest words of a name. Any run of letters may be an unknown word, ten times less likely with each letter."""
-    own: dict[str, float | None] = {}
-
-    def cost(part: str) -> float:
-        if part not in own:
-            own[part] = math.log(total + 1) + (len(part) - 1) * math.log(10)
-            if part in counts:
-                alone = math.log(total / counts[part])
-                # a word, if it is more than its best split
-                if alone + math.log(COHESION) < best(part, len(part) - 1)[0][-1]:
-                    own[part] = alone
-        return own[part]
-
-    def best(part: str, longest: int) -> tuple[list[float], list[int]]:
+    """The likeliest words of a name, of any length. Any run of letters may be an unknown word, ten times less likely with each
+    letter: of the runs that end at a letter the likeliest start is carried along, so a name takes time linear in its length."""
+    unknown, letter = math.log(total + 1), math.log(10)
+    own: dict[str, float] = {}  # of strings that are words of their own
+    lengths = sorted({len(word) for word in counts})
+
+    def best(part: str, whole: bool) -> tuple[float, list[int]]:
+        """Cost and last starts; ``whole``: the part may be one word."""
         costs, back = [0.0], [0]
+        start, later = 0, None  # of the likeliest unknown run; the same without the first letter
         for end in range(1, len(part) + 1):
-            found = [(costs[start] + cost(part[start:end]), start) for start in range(max(0, end - longest), end)]
+            new = end - 1
+            if costs[new] - new * letter < costs[start] - start * letter:
+                start = new
+            if new and (later is None or costs[new] - new * letter < costs[later] - later * letter):
+                later = new
+            run = start if whole or end < len(part) else later
+            found = [] if run is None else [(costs[run] + unknown + (end - run - 1) * letter, run)]
+            for k in lengths:
+                if k <= end and (whole or k < len(part)) and (cost := own.get(part[end - k : end])) is not None:
+                    found.append((costs[end - k] + cost, end - k))
             top, at = min(found, default=(math.inf, 0))
             costs.append(top)
             back.append(at)
-        return costs, back
-
-    back = best(name, LONGEST)[1]
+        return costs[-1], back
+
+    for word in sorted(counts, key=len):
+        alone = math.log(total / counts[word])
+        # a word, if it is more than its best split
+        if alone + math.log(COHESION) < best(word, False)[0]:
+            own[word] = alone
+    back = best(name, True)[1]
     words, end = [], len(name)
     while end:
         words.append(name[back[end] : end])
@@ -116,7 +125,7 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
         for batch in batches:
             for name in batch.column("name").to_pylist():
                 for row in range(0, len(name), 4096):
-                    parts = {name[i : i + k] for i in range(row, min(row + 4096, len(name))) for k in range(2, LONGEST + 1) if i + k <= len(name)}
+                    parts = {name[i : i + k] for i in range(row, min(row + 4096, len(name))) for k in range(2, HEAD + 1) if i + k <= len(name)}
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts), pa.string()), pa.array(list(parts), pa.string())], ["name", "word"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +135,11 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
 
     found = names.mapInArrow(substrings, "name string, word string").join(counts, "word")
-    found = found.groupBy("name").agg(F.collect_set(F.struct("word", "n")).alias("found"))
+    # longer words by their first letters
+    long = counts.filter(F.length("word") > HEAD).select(F.substring("word", 1, HEAD).alias("head"), F.col("word").alias("long"), "n")
+    heads = names.mapInArrow(substrings, "name string, word string").filter(F.length("word") == HEAD)
+    longer = heads.join(long, F.col("word") == F.col("head")).filter(F.contains("name", "long")).select(F.col("long").alias("word"), "name", "n")
+    found = found.unionByName(longer).groupBy("name").agg(F.collect_set(F.struct("word", "n")).alias("found"))
     return names.join(found, "name", "left").mapInArrow(cut, "name string, words array<string>")
 
 

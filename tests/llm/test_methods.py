@@ -323,3 +323,18 @@ def test_items_without_an_id_hit(spark):
     for shard in (10_000, 1):
         rows = decontaminate.benchmark_hits(docs, items, shard_windows=shard).collect()
         assert {(r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in rows} == {(1, 3, 1, True), (2, 0, 0, False)}
+
+
+def test_names_with_words_of_any_length(spark):
+    """A word of 40 letters is looked up by its first ones, and a path of many thousand letters is split, too."""
+    long = "abcdefghij" * 4
+    text = " ".join([long] * 500 + ["shop"] * 500 + ["other"] * 5000)
+    rows = [
+        (1, f"http://shop{long}.net/x", f"<p>{text}</p>"),
+        (2, f"http://{long}.net/{'shop' * 5000}", ""),
+        (3, f"http://{long[:36]}.net/shop", None),
+    ]
+    got = {r["page_id"]: r["words"] for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1][:2] == ["h:shop", f"h:{long}"]
+    assert got[2][0] == f"h:{long}" and got[2].count("p:shop") == 5000
+    assert got[3] == [f"h:{long[:36]}", "h:net", "p:shop"]
