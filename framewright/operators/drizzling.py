@@ -129,13 +129,14 @@ def drizzled(
     left = deposits(pixels, transforms, height, width, kernel, scale, drop)
     # no filter here: it would be pushed through the steps above and compute them anew
     w = F.when(F.abs("w") > 1e-12, F.col("w"))
-    sums = left.groupBy(F.col("oy").alias("y"), F.col("ox").alias("x")).agg(
-        F.sum(F.col("v") * w).alias("total"),
-        F.sum(w).alias("weight"),
-        F.sum(w * w).alias("squares"),
-        F.size(F.collect_set(F.when(w.isNotNull(), F.col("frame")))).alias("coverage"),  # as long as the stack is deep
+    # by frame first, so that frames are counted by plain sums
+    by_frame = left.groupBy("frame", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(
+        F.sum(F.col("v") * w).alias("total"), F.sum(w).alias("weight"), F.sum(w * w).alias("squares"), F.count(w).alias("n")
     )
-    sums = stored(sums.filter("coverage > 0"))
+    whole = by_frame.filter("n > 0").groupBy("y", "x").agg(
+        F.sum("total").alias("total"), F.sum("weight").alias("weight"), F.sum("squares").alias("squares"), F.count("*").cast("int").alias("coverage")
+    )
+    sums = stored(whole)
     most = sums.groupBy().agg(F.max("weight").alias("most"))
     mean = F.col("total") / F.col("weight")
     mean = F.greatest(mean, F.lit(0.0)) if kernel == "lanczos3" else mean
