@@ -6,10 +6,10 @@ word's unigram probability, over the count of the word before plus ``prior``. A
 of target loss less background loss (nats): the lower, the more it is like the target.
 
 Words and bigrams are counted under 64-bit hashes, so that the tables grow with the corpus; they are dealt to shards by hash,
-a shard for every ``SHARD`` bytes of text, never gathered. The documents are joined with the target's ids, compressed, and
-stored in slices of about ``SLICE`` bytes. Each slice sends a shard its distinct hashes with their counts, one row for each
-shard; the shard adds them up and answers each slice with the totals in the slice's own order; the slice is scored from the
-answers. A hot word is one entry of a slice, however often it stands there, so no key is dealt unevenly. Only totals (words, documents, distinct words) reach the driver.
+a shard for every ``SHARD`` bytes of text, never gathered. The documents are stored, compressed, in slices of about ``SLICE``
+bytes; their ids alone are joined with the target's, which gives each slice a bit for each of its documents. Each slice sends a
+shard its distinct hashes with their counts, one row for each shard; the shard adds them up and answers each slice with the
+totals in the slice's own order; the slice is scored from the answers. A hot word is one entry of a slice, however often it stands there, so no key is dealt unevenly. Only totals (words, documents, distinct words) reach the driver.
 
 Edge cases: null and empty texts have 0 tokens, null losses and score 0; a target without documents gives the unsmoothed
 prior for the target; repeated rows count and are scored each time; texts of any length are whole; an empty table gives an
@@ -22,13 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import stored
-from .texts import packed, unpacked_bytes
 from .words import ALNUM, mix, slices, split
 
 SLICE = 10 << 20
@@ -144,42 +142,60 @@ def _answered(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(_unpacked(blob, np.uint8, 48 * n).reshape(8, 6 * n).T).view(np.int64).reshape(6, n)
 
 
-def _sliced(docs: DataFrame, text: str, target: DataFrame | None) -> DataFrame:
-    """(slice, ids, marks, offsets, size, data): the documents in stored slices; marks: one byte for each, 1 in the target."""
-    rows = packed(docs, text)
-    if target is None:
-        rows = rows.withColumn("mark", F.lit(False))
-    else:
-        ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("good", F.lit(True))
-        rows = rows.join(ids, "doc_id", "left").select("doc_id", "packed", F.coalesce("good", F.lit(False)).alias("mark"))
+def _sliced(docs: DataFrame, text: str) -> DataFrame:
+    """(slice, ids, offsets, size, data): the documents in stored slices, cut where they are read."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
+        ids: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
+        texts: list[bytes] = []
 
         def sliced() -> pa.RecordBatch:
-            texts = [x for part in held for x in unpacked_bytes(part.column("packed").to_pylist())]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-            ids = pa.concat_arrays([part.column("doc_id") for part in held])
-            marks = np.concatenate([part.column("mark").to_numpy(zero_copy_only=False) for part in held])
-            columns = [pa.array([piece]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
-            columns += [pa.array([marks.astype(np.uint8).tobytes()], pa.binary()), pa.array([_packed(offsets)], pa.binary())]
-            columns += [pa.array([int(offsets[-1])], pa.int64()), pa.array([_packed(np.frombuffer(b"".join(texts), np.uint8))], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["slice", "ids", "marks", "offsets", "size", "data"])
+            held = pa.concat_arrays(ids)
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+            columns = [pa.array([piece]), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)]
+            columns += [pa.array([_packed(offsets)], pa.binary()), pa.array([int(offsets[-1])], pa.int64())]
+            columns.append(pa.array([_packed(np.frombuffer(b"".join(texts), np.uint8))], pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, ["slice", "ids", "offsets", "size", "data"])
 
         size = 0
         for batch in batches:
-            sizes = np.array([zstandard.frame_content_size(x) for x in batch.column("packed").to_pylist()])
-            for row, n in enumerate(sizes.tolist()):
-                held.append(batch.slice(row, 1))
-                size += n
+            for row, data, offsets in slices(batch.column("text"), max(1, SLICE // 8)):
+                ids.append(batch.column("doc_id").slice(row, len(offsets) - 1))
+                sizes.append(np.diff(offsets))
+                texts.append(data.tobytes())
+                size += len(data)
                 if size >= SLICE:
                     yield sliced()
-                    held, size, piece = [], 0, piece + 1
-        if held:
+                    ids, sizes, texts, size, piece = [], [], [], 0, piece + 1
+        if ids:
             yield sliced()
 
-    return stored(rows.mapInArrow(cut, "slice long, ids array<long>, marks binary, offsets binary, size long, data binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return stored(rows.mapInArrow(cut, "slice long, ids array<long>, offsets binary, size long, data binary"))
+
+
+def _marks(pieces: DataFrame, target: DataFrame) -> DataFrame:
+    """(slice, marks): a bit for each document of a slice, 1 in the target; none after the last 1, no row without a 1."""
+
+    def bits(table: pa.Table) -> pa.Table:
+        places = table.column("place").to_numpy()
+        marks = np.zeros(places.max() + 1, bool)
+        marks[places] = True
+        return pa.table({"slice": table.column("slice").slice(0, 1), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+    ids = pieces.select("slice", F.posexplode("ids").alias("place", "doc_id"))
+    met = ids.join(target.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    return stored(met.select("slice", "place").groupBy("slice").applyInArrow(bits, "slice long, marks binary"))
+
+
+def _marked(marks: bytes | None, n: int) -> np.ndarray:
+    found = np.zeros(n, bool)
+    if marks is not None:
+        ones = np.unpackbits(np.frombuffer(marks, np.uint8))[:n]
+        found[: len(ones)] = ones == 1
+    return found
 
 
 def cross_entropy_difference(
@@ -189,7 +205,7 @@ def cross_entropy_difference(
     doc_id alone if it has no text column (then they are those of ``docs``), or with texts of their own."""
     known = None if vocabulary is None else vocabulary_of(docs, vocabulary, text)
     by_id = text not in target.columns
-    pieces = _sliced(docs, text, target if by_id else None)
+    pieces = _sliced(docs, text)
     size = pieces.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(LEAST_BITS, (size // SHARD).bit_length())
 
@@ -201,7 +217,7 @@ def cross_entropy_difference(
             for row in range(len(batch)):
                 row = batch.slice(row, 1).to_pylist()[0]
                 n, _, *keys = _keys(*text_of(row), known, bits)
-                marks = np.frombuffer(row["marks"], np.uint8) == 1
+                marks = _marked(row["marks"], len(n)) if by_id else np.zeros(len(n), bool)
                 yield _requests(*_counts(n, *keys, (marks, np.ones(len(n), bool))), row["slice"], False, shards)
 
     def ask_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +245,9 @@ def cross_entropy_difference(
         columns += [pa.array([b for _, b in answers] + [np.array(sums, np.int64).tobytes()], pa.binary())]
         return pa.Table.from_arrays(columns, ["shard", "slice", "answer"])
 
-    asked = pieces.mapInArrow(ask, _REQUEST)
+    # the marks are a small row for each slice, not the target's ids, so that the slices stay where they are as long as those fit
+    marked = pieces.join(_marks(pieces, target), "slice", "left") if by_id else pieces
+    asked = marked.mapInArrow(ask, _REQUEST)
     if not by_id:
         asked = asked.unionByName(_texts(target, text).mapInArrow(ask_target, _REQUEST))
     answers = stored(asked.groupBy("shard").applyInArrow(add, "shard int, slice long, answer binary"))

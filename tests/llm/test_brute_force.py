@@ -221,3 +221,32 @@ def test_cross_entropy_counts_every_word(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD", 10_000)
     small = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, by_id).collect()}
     assert all(np.isclose(small[i]["score"], got[i]["score"]) for i in got)
+
+
+def test_labels_meet_slices_without_the_texts(spark, monkeypatch):
+    """The target's ids, here of unknown size, are joined with the slices' ids alone: no text moves for them."""
+    pick = random.Random(11)
+    rows = [(i, " ".join(f"w{pick.randint(0, 300)}" for _ in range(pick.randint(0, 40)))) for i in range(500)]
+    rows += [(7, "again w1"), (None, "w2 w3"), (600, None), (601, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = spark.createDataFrame([(i,) for i in [*range(0, 500, 3), 7, 7, 600, 9999, None]], "doc_id long")
+    good = {r["doc_id"] for r in ids.collect()} - {None}
+    plans, keep = [], lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df: plans.append((df.columns, df._jdf.queryExecution().sparkPlan().toString())) or keep(df))
+    order = lambda df: sorted(df.collect(), key=str)
+    got = order(lm.cross_entropy_difference(docs, ids))
+    assert len(got) == len(rows)
+    for columns, plan in plans:
+        if "data" in columns or "answer" in columns:
+            assert "SortMergeJoin" not in plan, plan
+    # the same counts as of the target's own texts, also in many slices, and when the slices' marks are too large for a broadcast
+    texts = docs.filter(docs.doc_id.isin(sorted(good)))
+    assert got == order(lm.cross_entropy_difference(docs, texts))
+    monkeypatch.setattr(lm, "SLICE", 400)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = order(lm.cross_entropy_difference(docs, ids))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for a, b in zip(many, got, strict=True):
+        assert a["doc_id"] == b["doc_id"] and a["n_tokens"] == b["n_tokens"] and np.isclose(a["score"], b["score"])
