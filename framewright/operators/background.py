@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import robust
 from ..sources.shared import stored
 from .levels import medians
-from .raster import KEYS, noise_floor, spread, tile_background
+from .raster import KEYS, noise_floor, smoothed_tiles, spread, tile_background
 
 
 def centres(size: int, tile: int) -> list[float]:
@@ -113,20 +113,20 @@ def spline_planes(pixels: DataFrame, tiles: DataFrame, tile: int, height: int, w
 def refined_background(pixels: DataFrame, tile: int, height: int, width: int, sigmas: float = 3.0, dilation: int = 1, rounds: int = 2) -> DataFrame:
     """(frame, y, x, v, sky, noise): splines through tiles that leave objects out. In each round the pixels more than ``sigmas``
     noise above the background, and those up to ``dilation`` lines and columns away, are masked and the tiles measured again; a
-    tile without pixels left keeps its values."""
+    tile without pixels left keeps its values. The background that masks goes through medians of 3x3 tiles, so that an object
+    does not hide its wings by the sky and noise of its own tile; frames of fewer than three tiles on an axis have no such medians."""
     tiles = stored(tile_background(pixels, tile))
-    found = spline_planes(pixels, tiles, tile, height, width)
     around = [(dy, dx, 1.0) for dy in range(-dilation, dilation + 1) for dx in range(-dilation, dilation + 1)]
     for _ in range(rounds):
-        lit = found.join(F.broadcast(noise_floor(tiles)), "frame")  # a row for each frame
+        smooth = stored(smoothed_tiles(tiles))
+        lit = spline_planes(pixels, smooth, tile, height, width).join(F.broadcast(noise_floor(smooth)), "frame")  # a row for each frame
         objects = lit.filter(F.col("v") > F.col("sky") + sigmas * F.greatest("noise", "floor"))
         mask = spread(objects.select(*KEYS, "v"), around).select(*KEYS).distinct()
         again = tile_background(pixels.join(mask, list(KEYS), "left_anti"), tile)
         again = again.select("frame", "ty", "tx", F.col("sky").alias("new_sky"), F.col("sigma").alias("new_sigma"))
         merged = tiles.join(again, ["frame", "ty", "tx"], "left")
         tiles = stored(merged.select("frame", "ty", "tx", F.coalesce("new_sky", "sky").alias("sky"), F.coalesce("new_sigma", "sigma").alias("sigma")))
-        found = spline_planes(pixels, tiles, tile, height, width)
-    return found
+    return spline_planes(pixels, tiles, tile, height, width)
 
 
 def _terms(degree: int) -> list[tuple[int, int]]:

@@ -75,6 +75,20 @@ def test_refinement_leaves_objects_out(spark):
     assert errors[1] < 0.01 and errors[1] < errors[0] / 3
 
 
+def test_one_round_finds_the_wings(spark):
+    """An object that lifts the sky and noise of its own tile is masked as a whole at once, for several noises."""
+    gy, gx = np.mgrid[0:48, 0:48].astype(float)
+    sky = 0.2 + 0.001 * gy
+    images = [sky + np.random.default_rng(k).normal(scale=0.004, size=sky.shape) + 0.5 * np.exp(-((gx - 20) ** 2 + (gy - 22) ** 2) / 30) for k in range(4)]
+    pixels = frame_of(spark, images[0], 0)
+    for k in (1, 2, 3):
+        pixels = pixels.union(frame_of(spark, images[k], k))
+    found = background.refined_background(pixels.coalesce(2), 16, 48, 48, rounds=1, dilation=2).toPandas()
+    found = found[found.y.between(8, 39) & found.x.between(8, 39)]
+    worst = (found.sky - 0.2 - 0.001 * found.y).abs().groupby(found.frame).max()
+    assert len(worst) == 4 and worst.max() < 0.015
+
+
 @pytest.mark.parametrize("degree", [1, 2, 3, 4])
 def test_planted_sky_is_removed(spark, degree):
     size, tile = 64, 8
