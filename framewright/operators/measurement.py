@@ -1,13 +1,12 @@
 """Measuring stars: stamps around peaks, iterated weighted centroids, windowed covariances, sky rings, profile fits, metrics.
 
-Pixels are (frame, y, x, v, sky, noise); peaks are (frame, star, py, px). Each star asks for the pixels of its stamp by an
-equi-join, so a pixel goes to as many stars as lie near it and a frame is never in one task. From there on a star is one row
-with its stamp as arrays, and Arrow batches of stars are measured at once, each on its own.
+Pixels are (frame, y, x, v, sky, noise); peaks are (frame, star, py, px). Frames go in tiles with a border as wide as a stamp
+reaches, so a pixel is shuffled once or a few times near an edge, however many stars lie near it, and a frame is never in one
+task. A tile's stamps are cut out of its grid a few at a time and measured at once, each on its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +24,8 @@ WINDOW, LEAST_SIGMA, SMALL_STEP, STEPS = 0.8, 1.0, 1e-4, 10
 LEAST_VARIANCE, MOST_VARIANCE, SAME_VARIANCE, WINDOWS = 0.25, 100.0, 1e-3, 4
 #: Clipping of a ring's pixels, its rounds, and the pixels that it needs.
 RING_CLIP, RING_ROUNDS, RING_LEAST = 3.0, 2, 10
+#: Side of a tile, and stamps that are measured at once.
+TILE, AT_ONCE = 64, 256
 _EPSILON = 2.220446049250313e-16
 
 
@@ -32,29 +33,6 @@ def stamp_radius(fwhm: float) -> int:
     return int(min(max(np.ceil(STAMP_OF_WIDTH * fwhm), LEAST_RADIUS), MOST_RADIUS))
 
 
-def stamps(pixels: DataFrame, peaks: DataFrame, reach: int) -> DataFrame:
-    """(frame, star, py, px, k, v, sky, noise): the pixels up to ``reach`` lines and columns around each peak as arrays, with
-    their places ``k`` in that square, counted by line."""
-    side = 2 * reach + 1
-    near = peaks.select("frame", "star", "py", "px", F.posexplode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("k", "_"))
-    asked = near.withColumns({"y": (F.col("py") + F.floor(F.col("k") / side) - reach).cast("int"), "x": (F.col("px") + F.col("k") % side - reach).cast("int")})
-    cells = asked.select("frame", "star", "py", "px", "k", "y", "x").join(pixels.select("frame", "y", "x", "v", "sky", "noise"), ["frame", "y", "x"])
-    found = cells.groupBy("frame", "star", "py", "px").agg(F.collect_list(F.struct("k", "v", "sky", "noise")).alias("cell"))
-    return found.select("frame", "star", "py", "px", F.col("cell.k").alias("k"), *(F.col(f"cell.{c}").cast("array<double>").alias(c) for c in ("v", "sky", "noise")))
-
-
-def _grids(batch: pa.RecordBatch, side: int) -> list[np.ndarray]:
-    """(star, line, column) of v, sky and noise; NaN where a stamp has no pixel."""
-    sizes = np.asarray(batch.column("k").value_lengths(), np.int64)
-    row, k = np.repeat(np.arange(len(batch)), sizes), batch.column("k").flatten().to_numpy(zero_copy_only=False)
-    grids = []
-    for c in ("v", "sky", "noise"):
-        grid = np.full((len(batch), side * side), np.nan)
-        grid[row, k] = batch.column(c).flatten().to_numpy(zero_copy_only=False)
-        grids.append(grid.reshape(-1, side, side))
-    return grids
-
-
 @dataclass
 class Stamps:
     """``v``, ``sky``, ``noise``: (star, line, column); ``py``, ``px``: the place of the middle."""
@@ -65,6 +43,13 @@ class Stamps:
     py: np.ndarray
     px: np.ndarray
 
+    @staticmethod
+    def cut(grids: list[np.ndarray], py: np.ndarray, px: np.ndarray, top: int, left: int, reach: int) -> Stamps:
+        """The stamps around places out of the grids of v, sky and noise, whose first pixel is at (top, left)."""
+        span = np.arange(-reach, reach + 1)
+        at = ((py - top)[:, None, None] + span[:, None], (px - left)[:, None, None] + span)
+        return Stamps(*(g[at] for g in grids), py, px)
+
     @property
     def reach(self) -> int:
         return self.v.shape[1] // 2
@@ -296,12 +281,13 @@ def _metrics(found: Stamps, x: np.ndarray, y: np.ndarray, radius: int, ring: tup
             "peak": cut.v.max((1, 2)), "sharpness": sharpness, "ground": ground, "sround": sround, "good": good}
 
 
-def measured_stars(pixels: DataFrame, peaks: DataFrame, fwhm: float, method: str = "moments", beta: float = 2.5, steps: int = STEPS, ring: bool = False) -> DataFrame:
+def measured_stars(pixels: DataFrame, peaks: DataFrame, fwhm: float, method: str = "moments", beta: float = 2.5, steps: int = STEPS, ring: bool = False, tile: int = TILE) -> DataFrame:
     """(frame, star, x, y, flux, fwhm, eccentricity, snr, peak, sharpness, ground, sround): the stars around ``peaks`` whose
     stamps lie in the frame.
 
     ``method``: centres by windowed moments, or by a ``gaussian`` or ``moffat`` profile from two of their steps, whose widths then
     count, too, where the fit converges. ``ring``: the sky and noise of a ring around the stamp instead of the pixels' own.
+    Results don't depend on ``tile``.
     """
     if method not in ("moments", "gaussian", "moffat"):
         raise ValueError(f"unknown method {method}")
@@ -309,31 +295,44 @@ def measured_stars(pixels: DataFrame, peaks: DataFrame, fwhm: float, method: str
     reach = int(np.ceil(radius * RING)) + radius // 2 + 1
     names = [f.split()[0] for f in METRICS.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for row in range(0, len(whole), 256):
-                batch = whole.slice(row, 256)
-                found = Stamps(*_grids(batch, 2 * reach + 1), *(batch.column(c).to_numpy(zero_copy_only=False).astype(int) for c in ("py", "px")))
-                x, y = centroids(found, fwhm, radius, steps if method == "moments" else 2)
-                around = rings(found, np.nan_to_num(x), np.nan_to_num(y), radius) if ring else None
-                fit = None
-                if method != "moments":
-                    at = found.around(x, y, radius)[1]
-                    level = at.sky[:, radius, radius] if around is None else np.where(np.isfinite(around[0]), around[0], at.sky[:, radius, radius])
-                    level = np.nan_to_num(level)
-                    fit = fit_gaussians(found, x, y, radius, fwhm / FWHM_OF_SIGMA, level) if method == "gaussian" else fit_moffats(found, x, y, radius, fwhm, beta, level)
-                    x, y = np.where(fit["converged"], fit["x"], x), np.where(fit["converged"], fit["y"], y)
-                out = _metrics(found, x, y, radius, around) | {"x": x, "y": y}
-                if fit is not None:
-                    wide = fit["fwhm"] if method == "moffat" else FWHM_OF_SIGMA * np.sqrt(fit["sigma_x"] * fit["sigma_y"])
-                    out["fwhm"] = np.where(fit["converged"], wide, out["fwhm"])
-                if method == "gaussian":
-                    low, high = np.minimum(fit["sigma_x"], fit["sigma_y"]), np.maximum(fit["sigma_x"], fit["sigma_y"])
-                    out["eccentricity"] = np.where(fit["converged"], np.sqrt(np.clip(1 - (low / high) ** 2, 0, 1)), out["eccentricity"])
-                good = pa.array(out["good"] & np.isfinite(x))
-                columns = [*batch.select(["frame", "star"]).columns, *(pa.array(out[n]) for n in names)]
-                yield pa.RecordBatch.from_arrays(columns, ["frame", "star", *names]).filter(good)
-
+    def measured(found: Stamps) -> tuple[np.ndarray, list[np.ndarray]]:
+        x, y = centroids(found, fwhm, radius, steps if method == "moments" else 2)
+        around = rings(found, np.nan_to_num(x), np.nan_to_num(y), radius) if ring else None
+        fit = None
+        if method != "moments":
+            at = found.around(x, y, radius)[1]
+            level = at.sky[:, radius, radius] if around is None else np.where(np.isfinite(around[0]), around[0], at.sky[:, radius, radius])
+            level = np.nan_to_num(level)
+            fit = fit_gaussians(found, x, y, radius, fwhm / FWHM_OF_SIGMA, level) if method == "gaussian" else fit_moffats(found, x, y, radius, fwhm, beta, level)
+            x, y = np.where(fit["converged"], fit["x"], x), np.where(fit["converged"], fit["y"], y)
+        out = _metrics(found, x, y, radius, around) | {"x": x, "y": y}
+        if fit is not None:
+            wide = fit["fwhm"] if method == "moffat" else FWHM_OF_SIGMA * np.sqrt(fit["sigma_x"] * fit["sigma_y"])
+            out["fwhm"] = np.where(fit["converged"], wide, out["fwhm"])
+        if method == "gaussian":
+            low, high = np.minimum(fit["sigma_x"], fit["sigma_y"]), np.maximum(fit["sigma_x"], fit["sigma_y"])
+            out["eccentricity"] = np.where(fit["converged"], np.sqrt(np.clip(1 - (low / high) ** 2, 0, 1)), out["eccentricity"])
+        return out["good"] & np.isfinite(x), [out[n] for n in names]
+
+    def run(wanted: pa.Table, found: pa.Table) -> pa.Table:
+        done = [(np.zeros(0, bool), [np.zeros(0)] * len(names))]
+        if len(wanted) and len(found):
+            top, left = (wanted[c][0].as_py() * tile - reach for c in ("ty", "tx"))
+            grids = [np.full((tile + 2 * reach, tile + 2 * reach), np.nan) for _ in range(3)]
+            for grid, c in zip(grids, ("v", "sky", "noise")):
+                grid[found["_y"].to_numpy() - top, found["_x"].to_numpy() - left] = found[c].to_numpy()
+            py, px = (wanted[c].to_numpy().astype(int) for c in ("py", "px"))
+            done += [measured(Stamps.cut(grids, py[i : i + AT_ONCE], px[i : i + AT_ONCE], top, left, reach)) for i in range(0, len(py), AT_ONCE)]
+        good, *values = (np.concatenate(c) for c in zip(*((g, *v) for g, v in done)))
+        rows = wanted.select(["frame", "star"]).slice(0, len(good))
+        return pa.table([*rows.columns, *values], ["frame", "star", *names]).filter(pa.array(good))
+
+    given = lambda c: F.floor(F.col(c) / tile).cast("int")
+    asked = peaks.filter("frame IS NOT NULL AND py IS NOT NULL AND px IS NOT NULL").select("frame", "star", "py", "px").distinct()
+    asked = asked.select("frame", given("py").alias("ty"), given("px").alias("tx"), "star", "py", "px")
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / tile).cast("int"), F.floor((F.col(c) + reach) / tile).cast("int")))
+    source = pixels.filter("y IS NOT NULL AND x IS NOT NULL").withColumn("_ty", tiles("y")).withColumn("_tx", tiles("x"))
+    source = source.select(F.col("frame").alias("_frame"), "_ty", "_tx", F.col("y").alias("_y"), F.col("x").alias("_x"), *(F.col(c).cast("double").alias(c) for c in ("v", "sky", "noise")))
     kinds = dict(peaks.dtypes)
-    rows = stamps(pixels, peaks, reach)
-    return rows.mapInArrow(run, f"frame {kinds['frame']}, star {kinds['star']}, {METRICS}")
+    out = asked.groupBy("frame", "ty", "tx").cogroup(source.groupBy("_frame", "_ty", "_tx"))
+    return out.applyInArrow(run, f"frame {kinds['frame']}, star {kinds['star']}, {METRICS}")

@@ -67,6 +67,18 @@ def test_ring_takes_the_local_sky(spark):
     assert flux[True] == pytest.approx(2 * np.pi * 1.7**2, rel=0.03) and flux[False] > 1.8 * flux[True] * 0.9
 
 
+def test_a_peak_at_every_pixel_moves_tiles_only(spark):
+    pixels, _ = sky(spark, STARS, ROUND, size=80, noise=0.01)
+    every = pixels.selectExpr("frame", "y * 1000 + x AS star", "y AS py", "x AS px")
+    found = {t: measurement.measured_stars(pixels, every.union(every), 3.0, steps=2, tile=t) for t in (32, 100)}
+    assert "collect_list" not in found[32]._jdf.queryExecution().toString()
+    small, large = (sorted(map(tuple, df.collect())) for df in found.values())
+    assert small == large and len(small) > 3000
+    few = every.filter("star % 97 = 0")
+    alone = sorted(map(tuple, measurement.measured_stars(pixels, few, 3.0, steps=2).collect()))
+    assert alone == [r for r in small if r[1] % 97 == 0]
+
+
 def test_unknown_method(spark):
     pixels, peaks = sky(spark, STARS, ROUND, size=16)
     with pytest.raises(ValueError):
