@@ -176,6 +176,32 @@ def test_duplicates_keep_the_far_end_of_a_chain(spark):
     assert sorted(r["star"] for r in catalog.without_duplicates(df, 8.0).collect()) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_duplicates_one_by_one(spark, few):
+    pick = random.Random(3)
+    rows = [(pick.choice([1, 2, None]), k, pick.uniform(-30, 30), pick.uniform(-30, 30), pick.choice([None, 1.0, 2.5, float("nan"), float(k % 40)])) for k in range(400)]
+    rows += [(1, 900 + k, 100.0 + 7.9 * k, 5.0, 50.0 - k) for k in range(20)] + [(1, 950, None, 5.0, 99.0), (2, 951, float("inf"), 5.0, 99.0), (2, 952, float("nan"), 0.0, 99.0)]
+    df = spark.createDataFrame(rows, "frame int, star long, x double, y double, flux double")
+    falling = lambda r: (r[4] is None, not r[4] != r[4] if r[4] is not None else True, -(r[4] or 0) if r[4] == r[4] else 0, r[1])
+    kept = []
+    for r in sorted(rows, key=falling):
+        near = lambda q, r=r: r[2] is not None and q[2] is not None and q[0] == r[0] and ((q[2] - r[2]) ** 2 + (q[3] - r[3]) ** 2) ** 0.5 < 8
+        if not any(near(q) for q in kept):
+            kept.append(r)
+    got = sorted(r["star"] for r in catalog.without_duplicates(df, 8.0, few=few).collect())
+    assert got == sorted(r[1] for r in kept)
+
+
+def test_dense_stars_are_not_paired(spark):
+    """5,000 stars within one separation: 12 million pairs, of which one star stays."""
+    from framewright.sources import shared
+
+    df = spark.range(5000).selectExpr("1 AS frame", "id AS star", "cast(id % 71 AS double) / 10 AS x", "cast(id % 67 AS double) / 10 AS y", "cast(id * 37 % 5003 AS double) AS flux")
+    before = len(shared._written)
+    assert [r["star"] for r in catalog.without_duplicates(df, 20.0, few=0).collect()] == [df.orderBy("flux", ascending=False).first()["star"]]
+    assert sum(spark.read.parquet(path).count() for path in shared._written[before:]) < 6000
+
+
 def test_stream_of_bursts(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 01:00:00"), (1, "2024-01-02 00:00:00"), (1, "2024-01-05 00:00:00")]
     source = spark.createDataFrame(rows, "user_id long, t string").select("user_id", F.col("t").cast("timestamp").alias("ts"))
